@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterative operators call it once per round."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession, root: str) -> None:
+    """Send the Python package to the workers once per session; Arrow functions import it there."""
+
+
+
+    if getattr(spark, "_rolescope_shipped", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="rolescope-package-"), "rolescope.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "rolescope")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(target)
+    spark._rolescope_shipped = True
