@@ -117,7 +117,7 @@ class QuerySet:
             text = self.queries[j]["text_n"]
             phrase[j] = float(bool(text) and text in full)
         total = title_hit * 0.35 + domain * 0.25 + place_hit * 0.10 + overlap * 0.20 + similar * 0.10 + phrase * 0.10
-        shown = np.floor(total * 100.0 * 100.0 + 0.5) / 100.0
+        shown = np.rint(total * 100.0 * 100.0) / 100.0
         out = []
         for lo, hi in self.ranges:
             j = lo + int(np.argmax(shown[lo:hi]))
@@ -131,11 +131,11 @@ class QuerySet:
                         passed or (title_hit[j] >= 1 and overlap[j] >= self.limits.title_overlap)
                         or overlap[j] >= self.limits.overlap),
                     "best_query": q["text"],
-                    "best_query_similarity": round(float(similar[j]), 4),
+                    "best_query_similarity": float(np.rint(similar[j] * 10000.0) / 10000.0),
                     "best_query_title_score": float(title_hit[j]),
-                    "best_query_domain_score": round(float(domain[j]), 4),
+                    "best_query_domain_score": float(np.rint(domain[j] * 10000.0) / 10000.0),
                     "best_query_location_score": float(place_hit[j]),
-                    "best_query_term_overlap": round(float(overlap[j]), 4),
+                    "best_query_term_overlap": float(np.rint(overlap[j] * 10000.0) / 10000.0),
                     "decision_reason": "passed threshold" if passed else "below threshold",
                 },
             })

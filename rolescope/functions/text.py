@@ -23,6 +23,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def round_to(x: Column, digits: int) -> Column:
+    """Round to a number of decimals, halves to even; cheaper than the decimal-based round."""
+    scale = float(10 ** digits)
+    return F.rint(x * scale) / scale
+
+
 def text_or_empty(x: Expr) -> Column:
     return F.coalesce(as_col(x), F.lit(""))
 
@@ -111,7 +117,7 @@ def keyword_overlap(left: Column, right: Column) -> Column:
         kept = F.filter(values, lambda v: v.isNotNull() & (v != ""))
         return F.array_distinct(F.transform(kept, normalize_text))
 
-    return F.round(100.0 * let(keys(left), lambda a: let(keys(right), lambda b: jaccard(a, b))), 2)
+    return round_to(100.0 * let(keys(left), lambda a: let(keys(right), lambda b: jaccard(a, b))), 2)
 
 
 def bullet_lines(text: Expr) -> Column:

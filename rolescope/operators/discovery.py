@@ -55,8 +55,8 @@ def host_root(url: Column, stop_words: list[str] = V.NON_COMPANY_WORDS) -> Colum
 
 def company_candidates(title: Column, href: Column, body: Column) -> Column:
     """Names found in one search hit: title pieces, host root, capitalised phrases."""
-    pieces = F.transform(F.split(t.text_or_empty(title), r"[|\-–—:•/]", -1), clean_company)
-    phrases = F.transform(F.regexp_extract_all(t.text_or_empty(body), F.lit(CAPITALIZED), F.lit(1)), clean_company)
+    pieces = F.transform(F.split(t.text_or_empty(title), r"[|\-–—:•/]", -1), lambda x: clean_company(x))
+    phrases = F.transform(F.regexp_extract_all(t.text_or_empty(body), F.lit(CAPITALIZED), F.lit(1)), lambda x: clean_company(x))
     return F.array_distinct(F.array_compact(F.concat(pieces, F.array(host_root(t.text_or_empty(href))), phrases)))
 
 

@@ -71,10 +71,12 @@ def filter_plans(
         "country_region": t.string_array(settings.target_countries), "company": own,
         "category": t.string_array(settings.job_titles + settings.include_keywords),
     }
-    entries = F.array_compact(F.array(*[
-        t.let(first_option_match(F.col(f"{kind}.options"), values), lambda v, k=kind: F.when(
-            v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))))
-        for kind, values in wanted.items()]))
+
+    def entry(kind: str, values: Column) -> Column:
+        return t.let(first_option_match(F.col(f"{kind}.options"), values), lambda v: F.when(
+            v.isNotNull(), F.struct(F.lit(kind).alias("key"), v.alias("value"))))
+
+    entries = F.array_compact(F.array(*[entry(kind, values) for kind, values in wanted.items()]))
     terms = F.when(F.col("search_text").isNotNull(), F.slice(site_search_terms(queries, settings), 1, MAX_SEARCH_TERMS))
     searching = F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda term: F.map_from_entries(
         F.concat(F.col("_base"), F.array(F.struct(F.lit("search_text").alias("key"), term.alias("value"))))))

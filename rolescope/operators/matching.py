@@ -24,7 +24,7 @@ def description_requirements(description: Column) -> Column:
     """Bullets or sentences of a description that carry a requirement word."""
     fallback = F.filter(F.transform(F.split(description, r"(?U)(?<=[.;])\s+|\n+", -1), t.strip), lambda x: x != "")
     lines = t.let(t.bullets_or_sentences(description), lambda b: F.when(F.size(b) > 0, b).otherwise(fallback))
-    cleaned = F.transform(lines, normalize.clean_requirement)
+    cleaned = F.transform(lines, lambda x: normalize.clean_requirement(x))
     return F.filter(cleaned, lambda x: (F.length(x) >= 4) & t.contains_any(t.normalize_text(x), V.REQUIREMENT_MARKERS))
 
 
@@ -37,7 +37,7 @@ def requirement_list(limit: int = MAX_REQUIREMENTS, model: Column | None = None)
         F.transform(_strings("domain_signals"), lambda s: F.concat(F.lit("Experience with "), s)),
         *([] if model is None else [model]),
     )
-    cleaned = F.transform(candidates, normalize.clean_requirement)
+    cleaned = F.transform(candidates, lambda x: normalize.clean_requirement(x))
     kept = t.let(t.normalize_text(description), lambda norm: F.filter(cleaned, lambda r: (
         (r != "") & ~normalize.is_noise_requirement(r, description) & ~normalize.is_vague_requirement(r, norm))))
     return F.slice(t.unique_ordered(kept), 1, min(MAX_REQUIREMENTS, limit))
@@ -167,8 +167,8 @@ def retrieve_evidence(
 
     def best(tokens: Column, items: Column) -> Column:
         scored = F.transform(items, lambda e: F.struct(
-            (-t.jaccard(tokens, e["tokens"])).alias("neg"), e["ord"].alias("ord"), e["text"].alias("text"),
-            e["source_section"].alias("source_section")))
+            (-t.jaccard(tokens, e["tokens"])).alias("neg"), e["ord"].alias("evidence_ord"),
+            e["text"].alias("evidence"), e["source_section"].alias("source_section")))
         return F.slice(F.array_sort(scored), 1, k)
 
     found = (
@@ -177,10 +177,8 @@ def retrieve_evidence(
             F.col("_tokens"), lambda tokens: best(tokens, F.col("_items")))).alias("_e"))
         .select(*key, text, "_e.*")
     )
-    top = first_per_key(found, key, ["neg", "ord"], k)
-    return top.select(
-        *key, text, F.col("ord").alias("evidence_ord"), F.col("text").alias("evidence") if text != "text" else F.col("text"),
-        "source_section", (F.abs(F.col("neg"))).alias("similarity"))
+    top = first_per_key(found, key, ["neg", "evidence_ord"], k)
+    return top.select(*key, text, "evidence_ord", "evidence", "source_section", F.abs("neg").alias("similarity"))
 
 
 def with_evidence(requirements: DataFrame, retrieved: DataFrame, key: list[str]) -> DataFrame:
@@ -372,7 +370,7 @@ def match_report(
     """
     order = F.struct("ord", "requirement", "status", "confidence", "explanation", "transferable_skills", "evidence")
     grouped = assessments.groupBy(*key).agg(
-        F.round(F.avg(status_score(F.col("status"))) * 100.0, 2).alias("_score"),
+        t.round_to(F.avg(status_score(F.col("status"))) * 100.0, 2).alias("_score"),
         F.array_sort(F.collect_list(order)).alias("assessments"))
     rows = pairs.join(grouped, key, "left")
     if claims is not None:

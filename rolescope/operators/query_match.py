@@ -170,15 +170,15 @@ def _evaluate(block: Column, whole_word: bool, s: Settings) -> Column:
                 | (v["overlap"] >= s.match_overlap)
             )
             return F.struct(
-                F.round(total * 100.0, 2).alias("best_query_score"),
+                t.round_to(total * 100.0, 2).alias("best_query_score"),
                 (-q["ord"]).alias("neg_ord"),
                 passed.alias("matched"),
                 q["text"].alias("best_query"),
-                F.round(v["similar"], 4).alias("best_query_similarity"),
-                F.round(v["title"], 4).alias("best_query_title_score"),
-                F.round(v["domain"], 4).alias("best_query_domain_score"),
-                F.round(v["place"], 4).alias("best_query_location_score"),
-                F.round(v["overlap"], 4).alias("best_query_term_overlap"),
+                t.round_to(v["similar"], 4).alias("best_query_similarity"),
+                t.round_to(v["title"], 4).alias("best_query_title_score"),
+                t.round_to(v["domain"], 4).alias("best_query_domain_score"),
+                t.round_to(v["place"], 4).alias("best_query_location_score"),
+                t.round_to(v["overlap"], 4).alias("best_query_term_overlap"),
                 F.when(total >= s.match_score, "passed threshold").otherwise("below threshold")
                 .alias("decision_reason"),
             )

@@ -19,7 +19,7 @@ def preliminary(scored: DataFrame) -> DataFrame:
     """0.80 rules + 0.20 similarity; similarity is 0 unless the rows carry one."""
     if "embedding_similarity_score" not in scored.columns:
         scored = scored.withColumn("embedding_similarity_score", F.lit(0.0))
-    blend = F.round(F.col("rules_based_score") * 0.80 + F.col("embedding_similarity_score") * 0.20, 2)
+    blend = t.round_to(F.col("rules_based_score") * 0.80 + F.col("embedding_similarity_score") * 0.20, 2)
     return scored.withColumn("preliminary_score", clamp100(blend))
 
 
@@ -89,7 +89,7 @@ def attach_assessments(prelim: DataFrame, short: DataFrame, responses: DataFrame
 
 def final_scores(rows: DataFrame) -> DataFrame:
     """0.65 rules + 0.20 similarity + 0.15 label; without similarity nothing passes 78.5."""
-    blend = F.round(
+    blend = t.round_to(
         F.col("rules_based_score") * 0.65 + F.col("embedding_similarity_score") * 0.20
         + label_score(F.col("assessment.fit_label")) * 0.15, 2)
     rows = rows.withColumn("overall_score", clamp100(blend))

@@ -67,7 +67,7 @@ def title_score(title: Column, expected: Column) -> Column:
 def skills_score(required: Column, preferred: Column, held: Column) -> Column:
     def score(keys: Column) -> Column:
         found = F.size(F.filter(keys, lambda k: F.array_contains(held, k)))
-        return F.when(F.size(keys) == 0, 45.0).otherwise(F.round(100.0 * found / F.size(keys), 2))
+        return F.when(F.size(keys) == 0, 45.0).otherwise(t.round_to(100.0 * found / F.size(keys), 2))
 
     listed = t.unique_ordered(F.concat(required, preferred))
     return t.let(F.transform(listed, t.normalize_text), score)
@@ -83,7 +83,7 @@ def domain_score(signals: Column, title: Column, terms: Column) -> Column:
     """Share of the posting's signals, its title counted as one more, among the profile's terms."""
     own = t.unique_ordered(F.concat(signals, F.array(t.text_or_empty(title))))
     return t.let(F.transform(own, t.normalize_text), lambda keys: F.when(F.size(keys) == 0, 40.0).otherwise(
-        F.round(100.0 * F.size(F.filter(keys, lambda k: F.array_contains(terms, k))) / F.size(keys), 2)))
+        t.round_to(100.0 * F.size(F.filter(keys, lambda k: F.array_contains(terms, k))) / F.size(keys), 2)))
 
 
 def seniority_score(title: Column, target: Column, seniority: dict[str, int] = V.SENIORITY_VALUES,
@@ -185,7 +185,7 @@ def score_rules(
         .otherwise(missing_skills(required, preferred, c("_p.skills"))),
     })
     weighted = sum((c(name) * weight for name, weight in WEIGHTS.items()), F.lit(0.0))
-    total = F.round(weighted + c("preferred_sector_bonus") - c("mismatch_penalty"), 2)
+    total = t.round_to(weighted + c("preferred_sector_bonus") - c("mismatch_penalty"), 2)
     parts = F.array_compact(F.array(
         F.when(c("title_match_score") >= 80, "strong adjacent-title match"),
         F.when(c("skills_overlap_score") >= 50, "meaningful skill overlap"),

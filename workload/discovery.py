@@ -217,5 +217,7 @@ def crawl_sites(spark, d):
 @query("career_site_postings")
 def career_site_postings_q(spark, d):
     sites, _, pages = _sites(spark, d)
-    listed = pages.select("site", F.xxhash64("url").alias("ord"), F.col("url").alias("loc"))
+    # the invented prose holds no job word, so each page gets one
+    pages = pages.withColumn("html", F.replace("html", F.lit("</footer>"), F.lit(" Apply now.</footer>")))
+    listed = pages.select("site", F.pmod(F.xxhash64("url"), F.lit(2**31 - 1)).cast("int").alias("ord"), F.col("url").alias("loc"))
     return career_site_postings(sites, pages.select("url", "html"), listed).select("site", "source_url", "title")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rolescope import fixed_values as V, sinks
+from rolescope.functions import text as t
 from rolescope.operators import matching as m
 from workload import query, sql as q, tables as b
 
@@ -85,11 +86,11 @@ def assess_requirements(spark, d):
 
 @query("match_score", f"""
 with {EVIDENCE}
-select profile_id, round(avg(case status when 'strong_match' then 1.0::DOUBLE when 'partial_match' then 0.6::DOUBLE when 'uncertain' then 0.3::DOUBLE
+select profile_id, round_even(avg(case status when 'strong_match' then 1.0::DOUBLE when 'partial_match' then 0.6::DOUBLE when 'uncertain' then 0.3::DOUBLE
   else 0.0::DOUBLE end) * 100.0, 2) overall_score from st group by profile_id""")
 def match_score(spark, d):
     return assessed(spark, d).groupBy("profile_id").agg(
-        F.round(F.avg(m.status_score(F.col("status"))) * 100.0, 2).alias("overall_score"))
+        t.round_to(F.avg(m.status_score(F.col("status"))) * 100.0, 2).alias("overall_score"))
 
 
 def reports(spark, d):

@@ -135,8 +135,8 @@ def _evaluated(spark, d, **options):
     return query_match.match_queries(b.postings(spark, d), b.queries(spark, d), ["ord"], **options)
 
 
-BEST_COLUMNS = """doc_id, item_id best_query_ord, matched, round(total * 100, 2) score, round(jac_s, 4) similarity,
-  title_s title_score, round(domain_s, 4) domain_score, round(overlap_s, 4) term_overlap,
+BEST_COLUMNS = """doc_id, item_id best_query_ord, matched, round_even(total * 100, 2) score, round_even(jac_s, 4) similarity,
+  title_s title_score, round_even(domain_s, 4) domain_score, round_even(overlap_s, 4) term_overlap,
   case when total >= 0.32 then 'passed threshold' else 'below threshold' end reason"""
 
 
@@ -150,7 +150,7 @@ def query_match_best(spark, d):
         m["best_query_term_overlap"].alias("term_overlap"), m["decision_reason"].alias("reason"))
 
 
-@query("query_match_blocks", f"with {q.MATCH} select doc_id, item_id best_query_ord, matched, round(total * 100, 2) score from best")
+@query("query_match_blocks", f"with {q.MATCH} select doc_id, item_id best_query_ord, matched, round_even(total * 100, 2) score from best")
 def query_match_blocks(spark, d):
     """The same answer from hashed query blocks, as for query sets too large to ship."""
     m = F.col("query_match")
@@ -162,7 +162,7 @@ def query_match_blocks(spark, d):
 @query("query_match_whole_word", f"""
 with {q.MATCH.replace("contains(p2.full_n, w)", "list_contains(p2.toks, w)").replace(
     "contains(p2.probe, w)", "list_contains(regexp_extract_all(p2.probe, '[a-z0-9+#]+'), w)")}
-select doc_id, item_id best_query_ord, matched, round(total * 100, 2) score from best""")
+select doc_id, item_id best_query_ord, matched, round_even(total * 100, 2) score from best""")
 def query_match_whole_word(spark, d):
     m = F.col("query_match")
     return _evaluated(spark, d, whole_word=True).select(

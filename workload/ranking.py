@@ -31,7 +31,7 @@ pairs as (
 subs as (
   select *, case when list_contains(titles, title_n) then 100.0 when len(list_filter(titles,
            lambda e: contains(title_n, e) or contains(e, title_n))) > 0 then 88.0 else 0.0 end::DOUBLE title_s,
-         case when len(skills) = 0 then 45.0::DOUBLE else round(100.0::DOUBLE * len(list_filter(skills,
+         case when len(skills) = 0 then 45.0::DOUBLE else round_even(100.0::DOUBLE * len(list_filter(skills,
            lambda w: list_contains(held, w))) / len(skills), 2) end skills_s,
          list_filter(list_distinct(list_concat(signals, [title_n])), lambda w: w <> '') own,
          greatest(0.0::DOUBLE, 100.0::DOUBLE - abs({b.SENIORITY[S.experience_level]} - {_first_value('lower(title)', b.SENIORITY)}) * 1.5) seniority_s,
@@ -45,9 +45,9 @@ subs as (
   from pairs),
 subs2 as (
   select *, case when len(own) = 0 then 40.0::DOUBLE else
-    round(100.0::DOUBLE * len(list_filter(own, lambda w: list_contains(terms, w))) / len(own), 2) end domain_s from subs),
+    round_even(100.0::DOUBLE * len(list_filter(own, lambda w: list_contains(terms, w))) / len(own), 2) end domain_s from subs),
 rules as (
-  select *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, round(title_s * 0.24::DOUBLE + skills_s * 0.26::DOUBLE + domain_s * 0.20::DOUBLE
+  select *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, round_even(title_s * 0.24::DOUBLE + skills_s * 0.26::DOUBLE + domain_s * 0.20::DOUBLE
     + seniority_s * 0.10::DOUBLE + place_s * 0.10::DOUBLE + constraints_s * 0.10::DOUBLE + bonus - penalty, 2))) rules_s from subs2)"""
 
 
@@ -107,7 +107,7 @@ def responses(spark, d):
 
 
 FUSED = f"""{SCORES},
-prelim as (select *, round(rules_s * 0.80::DOUBLE + 0.0::DOUBLE * 0.20::DOUBLE, 2) prelim_s from rules),
+prelim as (select *, round_even(rules_s * 0.80::DOUBLE + 0.0::DOUBLE * 0.20::DOUBLE, 2) prelim_s from rules),
 short as (
   select * from (select profile_id, doc_id, row_number() over (partition by profile_id order by prelim_s desc, doc_id) rn
     from prelim where rules_s >= {S.label_min_rules_score}) where rn <= {S.label_top_n}),
@@ -116,7 +116,7 @@ fused as (
       when rules_s >= 78 then 'realistic' when rules_s >= 55 then 'stretch' else 'poor_fit' end label
   from prelim p left join short s using (profile_id, doc_id) left join labels l on l.doc_id = p.doc_id),
 final as (
-  select *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, round(rules_s * 0.65::DOUBLE + 0.0::DOUBLE
+  select *, greatest(0.0::DOUBLE, least(100.0::DOUBLE, round_even(rules_s * 0.65::DOUBLE + 0.0::DOUBLE
     + (case label when 'realistic' then 90.0 when 'stretch' then 65.0 else 25.0 end)::DOUBLE * 0.15::DOUBLE, 2))) overall from fused),
 ordered as (
   select *, case when overall >= 80 then 'apply' when overall >= 55 then 'maybe' else 'skip' end disposition,
@@ -161,19 +161,19 @@ with {q.POSTS}, {q.PROFILES},
 x as (select id, list_distinct({q.tokens("array_to_string(p.skills, ' ') || ' ' || array_to_string(p.domains, ' ') || ' ' || p.role")}) l,
   list_distinct({q.tokens("title || ' ' || description || ' ' || company || ' ' || array_to_string(posts.skills, ' ') || ' ' || array_to_string(signals, ' ')")}) r
   from posts join profiles p on p.profile_id = posts.source)
-select id, round(100.0::DOUBLE * (case when len(l) = 0 or len(r) = 0 then 0 else len(list_intersect(l, r))::DOUBLE
+select id, round_even(100.0::DOUBLE * (case when len(l) = 0 or len(r) = 0 then 0 else len(list_intersect(l, r))::DOUBLE
   / (len(l) + len(r) - len(list_intersect(l, r))) end), 2) score from x""")
 def profile_posting_similarity(spark, d):
     own = b.profiles(spark, d).select("profile_id", scoring.profile_text().alias("_own"))
     rows = b.postings(spark, d).withColumn("profile_id", F.col("source")).join(own, "profile_id")
-    return rows.select("id", F.round(100.0 * t.text_jaccard(F.col("_own"), scoring.posting_text()), 2).alias("score"))
+    return rows.select("id", t.round_to(100.0 * t.text_jaccard(F.col("_own"), scoring.posting_text()), 2).alias("score"))
 
 
 @query("cosine_topk", """
 with e as (select label, unnest(embedding)::DOUBLE v, generate_subscripts(embedding, 1) i from embeddings),
 m as (select label, i, avg(v) v from e group by label, i),
 c as (select label, list(v order by i) vec from m group by label),
-s as (select vec_id, c.label, round(greatest(0.0, least(1.0, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), c.vec))), 4) sim
+s as (select vec_id, c.label, round_even(greatest(0.0, least(1.0, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), c.vec))), 4) sim
   from embeddings, c),
 r as (select *, row_number() over (partition by vec_id order by sim desc, label) rn from s)
 select vec_id, label, sim from r where rn <= 3""")
@@ -189,7 +189,7 @@ def cosine_topk(spark, d):
     all_centers = centroids.agg(F.collect_list(F.struct("label", "center"))).scalar()
     rows = vectors.withColumn("_u", scoring.unit_vector(F.col("embedding"))).withColumn("_all", all_centers)
     near = F.transform("_all", lambda c: F.struct(
-        (-F.round(scoring.vector_similarity(F.col("_u"), c["center"]), 4)).alias("neg"), c["label"].alias("label")))
+        (-t.round_to(scoring.vector_similarity(F.col("_u"), c["center"]), 4)).alias("neg"), c["label"].alias("label")))
     return rows.select("vec_id", F.explode(F.slice(F.array_sort(near), 1, 3)).alias("n")).select(
         "vec_id", "n.label", F.abs("n.neg").alias("sim"))
 

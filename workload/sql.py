@@ -56,7 +56,8 @@ profiles as (
 MATCH = f"""{POSTS},
 q as (
   select item_id, text, {norm('text')} text_n, {norm("regexp_extract(text, '^[^ \\n]+')")} title_n,
-         list_distinct(list_filter({tokens('text')}, lambda w: length(w) >= 8)) terms,
+         case when len(list_filter({tokens('text')}, lambda w: length(w) >= 8)) = 0 then {tokens('text')}
+           else list_distinct(list_filter({tokens('text')}, lambda w: length(w) >= 8)) end terms,
          list_distinct({tokens('text')}) toks
   from benchmark),
 p as (
@@ -70,8 +71,8 @@ p2 as (
 feats as (
   select p2.doc_id, p2.source, q.item_id, q.text query,
          case when contains(p2.title_n, q.title_n) then 1.0::DOUBLE else 0.0::DOUBLE end title_s,
-         len(list_filter(q.terms, lambda w: contains(p2.probe, w)))::DOUBLE / greatest(len(q.terms), 1) domain_s,
-         len(list_filter(q.terms, lambda w: contains(p2.full_n, w)))::DOUBLE / greatest(len(q.terms), 1) overlap_s,
+         len(list_filter(q.terms, lambda w: contains(p2.probe, w)))::DOUBLE / greatest(len(list_distinct(q.terms)), 1) domain_s,
+         len(list_filter(list_distinct(q.terms), lambda w: contains(p2.full_n, w)))::DOUBLE / greatest(len(list_distinct(q.terms)), 1) overlap_s,
          case when len(p2.toks) = 0 or len(q.toks) = 0 then 0.0::DOUBLE else
            len(list_intersect(q.toks, p2.toks))::DOUBLE
            / (len(q.toks) + len(p2.toks) - len(list_intersect(q.toks, p2.toks))) end jac_s,
@@ -80,7 +81,7 @@ feats as (
 scored as (
   select *, title_s * 0.35 + domain_s * 0.25 + overlap_s * 0.20 + jac_s * 0.10 + sub_s * 0.10 as total from feats),
 ranked as (
-  select *, row_number() over (partition by doc_id order by round(total * 100, 2) desc, item_id) rn from scored),
+  select *, row_number() over (partition by doc_id order by round_even(total * 100, 2) desc, item_id) rn from scored),
 best as (
   select *, (total >= 0.32 or (title_s >= 1 and overlap_s >= 0.20) or overlap_s >= 0.45) matched
   from ranked where rn = 1)"""

@@ -54,7 +54,7 @@ def stream_postings(spark, d):
     return S.conform(rows, S.POSTING, keep=["ord"])
 
 
-@query("stream_match", f"with {q.MATCH} select doc_id, matched, round(total * 100, 2) score from best")
+@query("stream_match", f"with {q.MATCH} select doc_id, matched, round_even(total * 100, 2) score from best")
 def stream_match(spark, d):
     out, state = scratch(spark, "match"), scratch(spark, "match-state")
     jobs.stream_match(stream_postings(spark, d), b.queries(spark, d), out, state, ["ord"],

@@ -49,10 +49,10 @@ def child_sections(spark, d):
 @query("child_ranges", """
 with p as (select o_orderkey, o_custkey, case o_orderstatus when 'F' then 1 when 'O' then 2 else 3 end lvl,
   row_number() over (partition by o_custkey order by o_orderkey) ord from orders),
-first as (select o_custkey, min(ord) at from p where lvl = 1 group by o_custkey),
-ends as (select p.o_custkey, min(ord) stop from p join first f using (o_custkey) where ord > at and lvl <= 1 group by p.o_custkey)
-select p.o_custkey, p.o_orderkey from p join first f using (o_custkey) left join ends e using (o_custkey)
-where ord > at and ord < coalesce(stop, 1000000000) and lvl = 2""")
+firsts as (select o_custkey, min(ord) at_ord from p where lvl = 1 group by o_custkey),
+ends as (select p.o_custkey, min(ord) stop from p join firsts f using (o_custkey) where ord > at_ord and lvl <= 1 group by p.o_custkey)
+select p.o_custkey, p.o_orderkey from p join firsts f using (o_custkey) left join ends e using (o_custkey)
+where ord > at_ord and ord < coalesce(stop, 1000000000) and lvl = 2""")
 def child_ranges(spark, d):
     """The same rule on sections made from orders: level from the status, heading from the level."""
     level = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
@@ -66,7 +66,7 @@ def child_ranges(spark, d):
 
 
 @query("dated_heading", """
-select p_partkey, trim(p_name) first, trim(p_brand) second, case when p_size % 2 = 0 then trim(p_type) end third,
+select p_partkey, trim(p_name) as "first", trim(p_brand) as "second", case when p_size % 2 = 0 then trim(p_type) end as "third",
   case when p_size % 2 = 0 and p_size % 3 = 0 then p_brand end as start_part,
   case when p_size % 2 = 0 and p_size % 3 = 0 then cast(p_size as varchar) end as end_part from part""")
 def dated_heading(spark, d):

@@ -53,7 +53,7 @@ def _phrases(x):
 
 @query("keyword_overlap", f"""
 with {PAIRS}, s as (select conv_id, turn, {_phrases('l')} l, {_phrases('r')} r from pairs)
-select conv_id, turn, round(case when len(l) = 0 or len(r) = 0 then 0 else
+select conv_id, turn, round_even(case when len(l) = 0 or len(r) = 0 then 0 else
   100.0::DOUBLE * (len(list_intersect(l, r))::DOUBLE / (len(l) + len(r) - len(list_intersect(l, r)))) end, 2) score from s""")
 def keyword_overlap(spark, d):
     cut = lambda c: F.split(c, "[ ,.]+", -1)
