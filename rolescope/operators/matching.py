@@ -157,8 +157,8 @@ def retrieve_evidence(
              .alias("_items"))
         .withColumn("_salt", F.pmod(F.col("_block"), F.lit(salts)))
     )
-    spans = evidence.groupBy("profile_id").agg(
-        F.least(F.lit(salts), F.floor(F.max("ord") / EVIDENCE_BLOCK).cast("int") + 1).alias("_spread"))
+    # read from the blocks, so that the shuffle that built them is used twice
+    spans = blocks.groupBy("profile_id").agg(F.least(F.lit(salts), F.max("_block") + 1).alias("_spread"))
     asked = (
         requirements.where(t.strip(text) != "").join(spans, "profile_id")
         .withColumn("_tokens", t.token_set(text))

@@ -8,6 +8,7 @@ from rolescope import schemas as S
 from rolescope.functions import coerce, text as t
 from rolescope.operators.scoring import fit_label, label_score
 from rolescope.plans.spread import first_per_key, rank_rows
+from rolescope.session import cut_lineage
 from rolescope.settings import Settings
 
 
@@ -15,6 +16,18 @@ def clamp100(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
 
 
+WIDE_COLUMNS = ("description", "raw_payload", "responsibilities", "minimum_qualifications")
+
+
+def score_table(scored: DataFrame, wide: tuple[str, ...] = WIDE_COLUMNS) -> DataFrame:
+    """Scores written once without the posting texts.
+
+    Shortlist, labels, offsets and ranks all read the scored rows; without this every one of them
+    would read and score the whole texts again. The posting's own columns join back by its key.
+    """
+    return cut_lineage(scored.drop(*wide))
+
+
 def preliminary(scored: DataFrame) -> DataFrame:
     """0.80 rules + 0.20 similarity; similarity is 0 unless the rows carry one."""
     if "embedding_similarity_score" not in scored.columns:
@@ -107,8 +120,8 @@ def final_scores(rows: DataFrame) -> DataFrame:
 def rank_postings(
     scored: DataFrame, settings: Settings = Settings(), responses: DataFrame | None = None, ord_col: str = "ord"
 ) -> DataFrame:
-    """Every scored row with its final score and its rank within the profile."""
-    prelim = preliminary(scored)
+    """Every scored row, without its wide texts, with its final score and its rank within the profile."""
+    prelim = preliminary(score_table(scored))
     short = shortlist(prelim, settings, ord_col) if responses is not None else None
     rows = final_scores(attach_assessments(prelim, short, responses))
     return rank_rows(rows, ["profile_id"], [("overall_score", True), ("preliminary_score", True)], ord_col)
@@ -117,7 +130,7 @@ def rank_postings(
 def top_ranked(scored: DataFrame, n: int, settings: Settings = Settings(), responses: DataFrame | None = None,
                ord_col: str = "ord") -> DataFrame:
     """First n rows per profile; Spark limits each partition before the shuffle."""
-    prelim = preliminary(scored)
+    prelim = preliminary(score_table(scored))
     short = shortlist(prelim, settings, ord_col) if responses is not None else None
     rows = final_scores(attach_assessments(prelim, short, responses))
     order = [F.col("overall_score").desc(), F.col("preliminary_score").desc(), F.col(ord_col)]

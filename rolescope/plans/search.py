@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rolescope.operators import dedupe, matching, query_match, ranking, scoring, stats
 from rolescope.operators.query_generation import generate_queries
+from rolescope.session import cut_lineage
 from rolescope.settings import Settings
 
 POSTING_KEY = ["source", "id", "source_url", "source_ord", "ord"]
@@ -49,7 +50,7 @@ def explain_matches(
     """
     key = ["profile_id", "posting_id"]
     rows = pairs.select(*key).join(postings, "posting_id")
-    evidence = matching.build_evidence(profiles, raw_sections)
+    evidence = cut_lineage(matching.build_evidence(profiles, raw_sections))
     asked = matching.extract_requirements(rows, key, settings)
     found = matching.retrieve_evidence(asked, evidence, [*key, "ord"], settings.evidence_top_k)
     assessed = matching.assess_requirements(matching.with_evidence(asked, found, [*key, "ord"]), settings)
