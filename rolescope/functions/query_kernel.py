@@ -2,7 +2,7 @@
 
 Runs inside tasks on the columns prepared by `operators.query_match`. A token's contained terms
 depend on the token alone, so they are looked up once per distinct token and remembered; per
-posting, the hit rows of a (terms x queries) count matrix are summed with numpy.
+posting, the queries of all hit terms are counted with numpy.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ MEMO_LIMIT = 1 << 20
 NOTHING = ((), -1)
 
 
-@dataclass
+@dataclass(frozen=True)
 class Limits:
     score: float
     title_overlap: float
@@ -39,16 +39,18 @@ class QuerySet:
         self.simple = set(simple)
         self.loose = [] if whole_word else [(x, self.term_id[x]) for x in terms if x not in self.simple]
         self.lengths = sorted({len(x) for x in simple})
-        self.listed = np.zeros((len(terms) or 1, n))   # how often a query lists a term
-        self.has_term = np.zeros((len(terms) or 1, n))
-        self.has_word = np.zeros((len(words) or 1, n))
+        # queries per term (a query counts as often as it lists the term), and per word
+        listed, has_term, has_word = [[] for _ in terms], [[] for _ in terms], [[] for _ in words]
         for j, q in enumerate(self.queries):
             for x in q["terms"]:
-                self.listed[self.term_id[x], j] += 1
-                self.has_term[self.term_id[x], j] = 1
+                listed[self.term_id[x]].append(j)
+            for x in q["term_set"]:
+                has_term[self.term_id[x]].append(j)
             for x in q["tokens"]:
-                self.has_word[self.word_id[x], j] = 1
-        self.n_terms = np.maximum(self.has_term.sum(0), 1)
+                has_word[self.word_id[x]].append(j)
+        self.listed, self.has_term, self.has_word = (
+            [np.array(at, dtype=np.int64) for at in lists] for lists in (listed, has_term, has_word))
+        self.n_terms = np.array([max(len(q["term_set"]), 1) for q in self.queries], dtype=float)
         self.n_tokens = np.array([len(q["tokens"]) for q in self.queries], dtype=float)
         self.titles = self._by_value("title_n")
         self.places = self._by_value("location_n")
@@ -57,6 +59,12 @@ class QuerySet:
         self.ranges = list(zip(starts, starts[1:] + [n]))
         self.memo: dict[str, tuple] = {}
 
+    def _count(self, queries_of: list[np.ndarray], ids: list[int]) -> np.ndarray:
+        """How many of the given terms or words every query has."""
+        if not ids:
+            return np.zeros(len(self.queries))
+        return np.bincount(np.concatenate([queries_of[i] for i in ids]), minlength=len(self.queries)).astype(float)
+
     def _by_value(self, name: str) -> list[tuple[str, np.ndarray]]:
         found: dict[str, list[int]] = {}
         for j, q in enumerate(self.queries):
@@ -100,9 +108,9 @@ class QuerySet:
         n = len(self.queries)
         hit_terms, hit_words = self._terms_in(words.split(), full)
         near_terms, _ = self._terms_in(TOKEN_ONLY.findall(probe), probe)
-        common = self.has_word[hit_words].sum(0)
-        overlap = self.has_term[hit_terms].sum(0) / self.n_terms
-        domain = self.listed[near_terms].sum(0) / self.n_terms
+        common = self._count(self.has_word, hit_words)
+        overlap = self._count(self.has_term, hit_terms) / self.n_terms
+        domain = self._count(self.listed, near_terms) / self.n_terms
         with np.errstate(invalid="ignore", divide="ignore"):
             similar = np.where(common == 0, 0.0, common / (self.n_tokens + n_tokens - common))
         title_hit, place_hit, phrase = np.zeros(n), np.zeros(n), np.zeros(n)
@@ -140,3 +148,16 @@ class QuerySet:
                 },
             })
         return out
+
+
+_ready: dict[tuple, QuerySet] = {}
+
+
+def query_set(token: str, queries: list[dict], limits: Limits, whole_word: bool) -> QuerySet:
+    """One QuerySet per worker process and query set, kept with what it has learned about tokens."""
+    key = (token, limits, whole_word)
+    if key not in _ready:
+        if len(_ready) >= 4:
+            _ready.clear()
+        _ready[key] = QuerySet(queries, limits, whole_word)
+    return _ready[key]

@@ -50,6 +50,10 @@ def near_duplicates(rows: DataFrame, text: str, ord_col: str, group: list[str] =
     sets = first_per_key(
         exact.where(F.size("_tokens") > 0).withColumn("_set", F.array_sort("_tokens")), [*by, "_set"], [ord_col]
     ).select(*by, ord_col, "_tokens")
+    # two different sets of n or more tokens share at most n / (n + 1); shorter sets are alone
+    smallest = threshold / (1.0 - threshold) if threshold < 1.0 else float("inf")
+    alone = sets.where(F.size("_tokens") < F.lit(smallest) - 1e-9).select(*by, ord_col)
+    sets = sets.where(F.size("_tokens") >= F.lit(smallest) - 1e-9)
     tokens = sets.select(*by, ord_col, F.size("_tokens").alias("_n"), F.explode("_tokens").alias("_t"))
     frequency = tokens.groupBy(*by, "_t").agg(F.count("*").alias("_df"))
     rarest = W.partitionBy(*by, ord_col).orderBy("_df", "_t")
@@ -59,7 +63,7 @@ def near_duplicates(rows: DataFrame, text: str, ord_col: str, group: list[str] =
         .where(F.col("_at") <= prefix_size).select(*by, ord_col, "_t")
     )
     left = cut_lineage(prefixes.join(sets, [*by, ord_col]))
-    kept = []
+    kept = [alone]
     for _ in range(max_rounds):
         if left.isEmpty():
             break
@@ -69,6 +73,7 @@ def near_duplicates(rows: DataFrame, text: str, ord_col: str, group: list[str] =
             marked.groupBy(*by, ord_col).agg(F.min((F.col("_first") == F.col(ord_col)).cast("int")).alias("_lead"))
             .where("_lead = 1").select(*by, ord_col)
         )
+        leaders = cut_lineage(leaders)
         lead_rows = left.join(leaders, [*by, ord_col], "left_semi").select(
             *by, "_t", F.col(ord_col).alias("_lead_ord"), F.col("_tokens").alias("_lead_tokens"))
         near = (
@@ -76,7 +81,6 @@ def near_duplicates(rows: DataFrame, text: str, ord_col: str, group: list[str] =
             .where((F.col(ord_col) > F.col("_lead_ord")) & (t.jaccard(F.col("_tokens"), F.col("_lead_tokens")) >= threshold))
             .select(*by, ord_col).distinct()
         )
-        leaders = cut_lineage(leaders)
         kept.append(leaders)
         left = cut_lineage(
             left.join(near.unionByName(leaders), [*by, ord_col], "left_anti"))

@@ -24,7 +24,7 @@ def clean_company(name: Column, stop_words: list[str] = V.NON_COMPANY_WORDS) ->
         )
         return F.when(~bad, c)
 
-    return t.let(F.btrim(F.regexp_replace(name, rf"(?U){t.WS}+", " "), F.lit(" -|–—:,.")), check)
+    return t.let(F.btrim(F.regexp_replace(name, rf"{t.WS}+", " "), F.lit(" -|–—:,.")), check)
 
 
 def normalize_company(name: Column) -> Column:

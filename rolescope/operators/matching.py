@@ -72,7 +72,7 @@ def chunk_text(text: Column) -> Column:
     loose = F.filter(F.transform(F.split(body, PIECES, -1), t.strip), lambda x: x != "")
     pieces = t.let(t.bullets_or_sentences(body), lambda b: F.when(F.size(b) > 0, b).otherwise(loose))
     compact = F.filter(
-        F.transform(pieces, lambda p: F.btrim(F.regexp_replace(p, rf"(?U){t.WS}+", " "), F.lit(" -*\t\r\n"))),
+        F.transform(pieces, lambda p: F.btrim(F.regexp_replace(p, rf"{t.WS}+", " "), F.lit(" -*\t\r\n"))),
         lambda p: p != "")
     packed = F.flatten(F.transform(
         compact, lambda p: F.when(F.length(p) <= CHUNK, F.array(p)).otherwise(t.pack_words(p, CHUNK))))

@@ -85,7 +85,7 @@ def normalize_postings(postings: DataFrame) -> DataFrame:
 def clean_requirement(x: t.Expr, limit: int = 180) -> Column:
     """Tags out, spaces squeezed, edge marks and a leading label dropped, clipped to whole words."""
     c = F.regexp_replace(t.as_col(x), "<[^>]+>", " ")
-    c = F.regexp_replace(c, rf"(?U){t.WS}+", " ")
+    c = F.regexp_replace(c, rf"{t.WS}+", " ")
     c = F.btrim(c, F.lit(" -*\t\r\n:.;"))
     c = F.regexp_replace(
         c, r"(?i)\A(requirements?|responsibilities|qualifications?|preferred|nice to have)\s*[:\-]\s*", ""

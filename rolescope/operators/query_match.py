@@ -11,13 +11,14 @@ salted equi-join and are evaluated with array expressions; the blocks' winners a
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rolescope.functions import text as t
-from rolescope.functions.query_kernel import Limits, QuerySet
+from rolescope.functions.query_kernel import Limits, query_set
 from rolescope.settings import Settings
 
 INLINE_QUERIES = 4096        # largest query set shipped to every task
@@ -223,10 +224,12 @@ def _inline_evaluator(structs: DataFrame, whole_word: bool, s: Settings):
     shared = structs.sparkSession.sparkContext.broadcast(rows)
     limits = Limits(s.match_score, s.match_title_overlap, s.match_overlap)
 
+    token = uuid.uuid4().hex
+
     def evaluate(batches):
-        query_set = QuerySet(shared.value, limits, whole_word)
+        known = query_set(token, shared.value, limits, whole_word)
         for columns in batches:
-            yield pd.Series([query_set.best(*row) for row in zip(*columns)])
+            yield pd.Series([known.best(*row) for row in zip(*columns)])
 
     # annotations as objects: the evaluator is chosen from them
     evaluate.__annotations__ = {

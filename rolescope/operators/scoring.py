@@ -110,8 +110,14 @@ def location_score(mode: Column, location: Column, s: Settings) -> Column:
     )
 
 
+def _joined(*normalized: Column) -> Column:
+    """Normalized texts as if they had been joined by a space before normalizing."""
+    return F.concat_ws(" ", *[F.nullif(x, F.lit("")) for x in normalized])
+
+
 def constraints_score(description: Column, languages: Column, speaks_german: Column, s: Settings) -> Column:
-    visa = t.contains_any(t.normalize_text(t.text_or_empty(description)), ["no sponsorship", "must be authorized"])
+    """`description` is already normalized, as in the next two scores."""
+    visa = t.contains_any(description, ["no sponsorship", "must be authorized"])
     visa_cost = F.when(visa, 30.0).otherwise(0.0) if s.visa_constraints else F.lit(0.0)
     german = F.exists(languages, lambda l: F.lower(l) == "german") & ~speaks_german
     return F.greatest(F.lit(0.0), 75.0 - visa_cost - F.when(german, 15.0).otherwise(0.0))
@@ -119,9 +125,9 @@ def constraints_score(description: Column, languages: Column, speaks_german: Col
 
 def sector_bonus(signals: Column, description: Column, title: Column, s: Settings) -> Column:
     sectors = [x.lower() for x in s.criteria_industries + s.search_industries]
-    text = t.normalize_text(F.concat_ws(
-        " ", F.array_join(signals, " "), t.text_or_empty(description), t.text_or_empty(title)))
-    return F.when(t.contains_any(text, sectors), 10.0).otherwise(0.0)
+    text = _joined(
+        t.normalize_text(F.array_join(signals, " ")), description, t.normalize_text(t.text_or_empty(title)))
+    return t.let(text, lambda hay: F.when(t.contains_any(hay, sectors), 10.0).otherwise(0.0))
 
 
 def mismatch_penalty(title: Column, description: Column, company: Column, s: Settings,
@@ -129,7 +135,7 @@ def mismatch_penalty(title: Column, description: Column, company: Column, s: Set
     def norm(values: list[str]) -> list[str]:
         return [" ".join(v.lower().split()) for v in values]
 
-    body = t.normalize_text(F.concat_ws(" ", t.text_or_empty(title), t.text_or_empty(description)))
+    body = _joined(t.normalize_text(t.text_or_empty(title)), description)
 
     def cost(hay: Column) -> Column:
         has = (lambda words: F.size(t.phrase_matches(hay, words, True)) > 0) if whole_word else (
@@ -167,7 +173,8 @@ def score_rules(
     `pairs` is what the query match kept, so the join is an equi-join on profile_id and only
     related pairs exist. The profile side is one narrow row per profile.
     """
-    rows = pairs.join(prepared, "profile_id")
+    # one normalized description serves every score that searches it
+    rows = pairs.withColumn("_body", t.normalize_text(t.text_or_empty("description"))).join(prepared, "profile_id")
     c, s = F.col, settings
     required, preferred, signals = _strings("required_skills"), _strings("preferred_skills"), _strings("domain_signals")
     lists = F.size(t.unique_ordered(F.concat(required, preferred)))
@@ -178,9 +185,9 @@ def score_rules(
         "seniority_fit_score": seniority_score(c("title"), c("_p.seniority"), seniority),
         "location_fit_score": location_score(c("work_mode"), c("location"), s),
         "constraints_fit_score": constraints_score(
-            c("description"), _strings("language_requirements"), c("_p.speaks_german"), s),
-        "preferred_sector_bonus": sector_bonus(signals, c("description"), c("title"), s),
-        "mismatch_penalty": mismatch_penalty(c("title"), c("description"), c("company"), s, unrelated),
+            c("_body"), _strings("language_requirements"), c("_p.speaks_german"), s),
+        "preferred_sector_bonus": sector_bonus(signals, c("_body"), c("title"), s),
+        "mismatch_penalty": mismatch_penalty(c("title"), c("_body"), c("company"), s, unrelated),
         "missing_skills": F.when(lists == 0, F.array().cast("array<string>"))
         .otherwise(missing_skills(required, preferred, c("_p.skills"))),
     })
@@ -204,7 +211,7 @@ def score_rules(
             F.lit("Connect prior delivery experience to "), F.coalesce(F.get(signals, F.lit(0)), c("title")),
             F.lit(" impact at "), t.text_or_empty("company"), F.lit(".")),
         "disposition": rules_disposition(c("rules_based_score")),
-    }).drop("_p")
+    }).drop("_p", "_body")
 
 
 def profile_text() -> Column:

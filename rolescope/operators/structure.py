@@ -80,7 +80,7 @@ def dated_heading(heading: Column) -> Column:
 
 def date_range(value: Column) -> Column:
     """struct<start, end>; only a dash or "to" with spaces around it splits."""
-    parts = F.split(value, rf"(?U){t.WS}+-{t.WS}+|{t.WS}+to{t.WS}+", 2)
+    parts = F.split(value, rf"{t.WS}+-{t.WS}+|{t.WS}+to{t.WS}+", 2)
     return F.struct(
         F.when(value == "", None).when(F.size(parts) == 2, t.strip(F.get(parts, F.lit(0)))).otherwise(value)
         .alias("start"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rolescope.operators import normalize, query_match, stats
+from rolescope.plans.spread import spread_input
 from rolescope.settings import Settings
 
 
@@ -22,7 +23,7 @@ def stream_match(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = query_match.match_queries(normalize.normalize_postings(batch), queries, key, settings)
+        rows = query_match.match_queries(normalize.normalize_postings(spread_input(batch)), queries, key, settings)
         rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (

@@ -112,16 +112,15 @@ with l as (
     from documents) where length({q.strip('s')}) > 20
   union all
   select doc_id, 1 kind, pos, {q.strip('s')} s from (
-    select doc_id, unnest({N_LINES}[2:]) s, generate_subscripts({N_LINES}[2:], 1) pos from documents))
-select doc_id, kind, count(*) n, sha256(string_agg(s, '|' order by pos)) digest from l group by doc_id, kind""")
+    select doc_id, unnest({N_LINES}) s, generate_subscripts({N_LINES}, 1) pos from documents))
+select d.doc_id, k.kind, count(s) n, sha256(coalesce(string_agg(s, '|' order by pos), '')) digest
+from documents d cross join (values (0), (1)) k(kind) left join l on l.doc_id = d.doc_id and l.kind = k.kind group by d.doc_id, k.kind""")
 def bullets_or_sentences(spark, d):
     docs = b.wide(spark, d, "documents")
-    plain = docs.select("doc_id", F.lit(0).alias("kind"), t.bullets_or_sentences("text").alias("k"))
-    rest = F.substring(F.col("text"), F.length(b.first_line()) + 2, 10_000_000)
-    marked = docs.where(F.contains("text", F.lit("\n"))).select(
-        "doc_id", F.lit(1).alias("kind"),
-        t.bullets_or_sentences(F.concat(F.lit("- "), F.replace(rest, F.lit("\n"), F.lit("\n- ")))).alias("k"))
-    return plain.unionByName(marked).where(F.size("k") > 0).select(
+    marked = F.concat(F.lit("- "), F.replace("text", F.lit("\n"), F.lit("\n- ")))
+    both = docs.select("doc_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("text")), F.struct(F.lit(1).alias("kind"), marked.alias("text")))).alias("x"))
+    return both.select("doc_id", "x.kind", t.bullets_or_sentences("x.text").alias("k")).select(
         "doc_id", "kind", F.size("k").cast("bigint").alias("n"), F.sha2(F.array_join("k", "|"), 256).alias("digest"))
 
 
