@@ -226,8 +226,8 @@ def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
 
 def sitemap_locations(rows: DataFrame, key: list[str], xml: str = "xml") -> DataFrame:
     """(key, ord, loc): text of every element whose name ends in loc, in document order."""
-    well_formed = F.from_xml(F.col(xml), "_x STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    parsed = rows.withColumn("_ok", well_formed.isNotNull() & F.col(xml).rlike(r"(?s)<[^>]+>.*</[^>]+>\s*\z"))
+    parsed = F.from_xml(F.col(xml), "_bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    parsed = rows.withColumn("_ok", F.coalesce(F.col(xml), F.lit("")).rlike(r"\S") & parsed["_bad"].isNull())
     bare = F.regexp_replace(xml, r"(?s)<!--.*?-->", "")
     found = F.regexp_extract_all(bare, F.lit(r"(?s)<(?:[\w.\-]+:)?[\w.\-]*loc(?:\s[^>]*)?>([^<]+)<"), F.lit(1))
     entities = lambda x: F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
