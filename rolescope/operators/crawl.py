@@ -24,6 +24,8 @@ def crawl_sites(sites: DataFrame, links: DataFrame, max_levels: int = 1_000) ->
     visited max_pages. Each level is one equi-join with the link table; the next level takes only
     as many pages per site as the site may still visit, and is written to the checkpoint folder.
     """
+    # a literal bound lets Spark cut each partition to this many rows per site before the shuffle
+    most = sites.agg(F.max("max_pages")).first()[0] or 0
     rules = sites.select("site", url_host("url").alias("host"), "include", "exclude", "max_pages")
     start = sites.select("site", "max_pages", F.posexplode(F.concat(F.array("url"), "seed_urls")).alias("pos", "url"))
     first = start.groupBy("site", "url", "max_pages").agg(F.min("pos").alias("pos"))
@@ -52,7 +54,7 @@ def crawl_sites(sites: DataFrame, links: DataFrame, max_levels: int = 1_000) ->
         )
         done = visited.groupBy("site").agg(F.max("visit").alias("_done"))
         w = W.partitionBy("site").orderBy("_at")
-        numbered = following.withColumn("_rn", F.row_number().over(w)).join(done, "site")
+        numbered = following.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).join(done, "site")
         frontier = cut_lineage(
             numbered.where(F.col("_done") + F.col("_rn") <= F.col("max_pages"))
             .select("site", "url", (F.col("_done") + F.col("_rn")).cast("long").alias("visit")))

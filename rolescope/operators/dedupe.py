@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rolescope.functions import text as t
-from rolescope.plans.spread import first_per_key
+from rolescope.plans.spread import first_per_key, salted_join
 from rolescope.session import cut_lineage
 
 
@@ -59,7 +58,7 @@ def near_duplicates(rows: DataFrame, text: str, ord_col: str, group: list[str] =
     rarest = W.partitionBy(*by, ord_col).orderBy("_df", "_t")
     prefix_size = F.col("_n") - F.ceil(F.col("_n") * threshold) + 1
     prefixes = (
-        tokens.join(frequency, [*by, "_t"]).withColumn("_at", F.row_number().over(rarest))
+        salted_join(tokens, frequency, [*by, "_t"], [ord_col]).withColumn("_at", F.row_number().over(rarest))
         .where(F.col("_at") <= prefix_size).select(*by, ord_col, "_t")
     )
     left = cut_lineage(prefixes.join(sets, [*by, ord_col]))
@@ -68,7 +67,7 @@ def near_duplicates(rows: DataFrame, text: str, ord_col: str, group: list[str] =
         if left.isEmpty():
             break
         first = left.groupBy(*by, "_t").agg(F.min(ord_col).alias("_first"))
-        marked = left.join(first, [*by, "_t"])
+        marked = salted_join(left, first, [*by, "_t"], [ord_col])
         leaders = (
             marked.groupBy(*by, ord_col).agg(F.min((F.col("_first") == F.col(ord_col)).cast("int")).alias("_lead"))
             .where("_lead = 1").select(*by, ord_col)
@@ -77,7 +76,7 @@ def near_duplicates(rows: DataFrame, text: str, ord_col: str, group: list[str] =
         lead_rows = left.join(leaders, [*by, ord_col], "left_semi").select(
             *by, "_t", F.col(ord_col).alias("_lead_ord"), F.col("_tokens").alias("_lead_tokens"))
         near = (
-            left.join(lead_rows, [*by, "_t"])
+            salted_join(left, lead_rows, [*by, "_t"], [ord_col])  # at most one leader per bucket
             .where((F.col(ord_col) > F.col("_lead_ord")) & (t.jaccard(F.col("_tokens"), F.col("_lead_tokens")) >= threshold))
             .select(*by, ord_col).distinct()
         )
@@ -112,24 +111,32 @@ def changed_inputs(inputs: DataFrame, state: DataFrame, key: list[str]) -> DataF
 def fresh_requests(rows: DataFrame, key: list[str], ts: str, gap_seconds: float) -> DataFrame:
     """Times kept per key when a request within the gap after the last kept one is suppressed.
 
-    A time that follows its predecessor by at least the gap is always kept, so a key's times are
-    cut into independent runs there and only a run without such a pause is walked as one list.
+    Whether a time is kept depends on the last kept one, so a key's times are walked in order:
+    they are brought together, sorted on disk where needed, and streamed in Arrow batches that
+    jump from kept time to kept time. A task holds one batch and one number, however long a key is.
     """
-    seconds = F.col(ts).cast("timestamp").cast("double")
-    w = W.partitionBy(*key).orderBy("_s")
-    runs = (
-        rows.select(*key, seconds.alias("_s")).distinct()
-        .withColumn("_start", F.coalesce((F.col("_s") - F.lag("_s").over(w) >= gap_seconds).cast("int"), F.lit(1)))
-        .withColumn("_run", F.sum("_start").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    seconds = F.col(ts).cast("timestamp").cast("double").alias("_s")
+    ordered = (
+        rows.select(*key, seconds).distinct().repartition(*key).sortWithinPartitions(*key, "_s")
     )
-    times = runs.groupBy(*key, "_run").agg(F.array_sort(F.collect_list("_s")).alias("_times"))
-
-    def step(kept: Column, s: Column) -> Column:
-        last = F.get(kept, F.size(kept) - 1)
-        return F.when(last.isNull() | (s - last >= gap_seconds), F.concat(kept, F.array(s))).otherwise(kept)
 
-    kept = F.aggregate("_times", F.slice("_times", 1, 0), step)
-    return times.select(*key, F.explode(kept).alias("_s")).select(*key, F.timestamp_seconds("_s").alias(ts))
+    def walk(batches):
+        current, last = None, -np.inf
+        for batch in batches:
+            parts = []
+            for k, times in batch.groupby(key, sort=False, dropna=False)["_s"]:
+                if k != current:
+                    current, last = k, -np.inf
+                values, kept = times.to_numpy(), []
+                at = np.searchsorted(values, last + gap_seconds)
+                while at < len(values):
+                    last = values[at]
+                    kept.append(times.index[at])
+                    at = max(at + 1, np.searchsorted(values, last + gap_seconds))
+                parts.extend(kept)
+            yield batch.loc[parts]
+
+    return ordered.mapInPandas(walk, ordered.schema).select(*key, F.timestamp_seconds("_s").alias(ts))
 
 
 def dedupe_fields(fields: Column) -> Column:

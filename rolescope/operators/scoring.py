@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rolescope import fixed_values as V
 from rolescope.functions import text as t
+from rolescope.plans.spread import salted_join
 from rolescope.settings import Settings
 
 WEIGHTS = {
@@ -171,10 +172,12 @@ def score_rules(
     """Add every sub-score and text to (profile_id, posting columns) rows.
 
     `pairs` is what the query match kept, so the join is an equi-join on profile_id and only
-    related pairs exist. The profile side is one narrow row per profile.
+    related pairs exist. The profile side is one narrow row per profile, repeated per salt so that a
+    profile with a large share of the pairs is spread over several tasks.
     """
     # one normalized description serves every score that searches it
-    rows = pairs.withColumn("_body", t.normalize_text(t.text_or_empty("description"))).join(prepared, "profile_id")
+    rows = salted_join(
+        pairs.withColumn("_body", t.normalize_text(t.text_or_empty("description"))), prepared, ["profile_id"], ["id"])
     c, s = F.col, settings
     required, preferred, signals = _strings("required_skills"), _strings("preferred_skills"), _strings("domain_signals")
     lists = F.size(t.unique_ordered(F.concat(required, preferred)))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rolescope import fixed_values as V, schemas as S
 from rolescope.functions import text as t
 from rolescope.operators import normalize
-from rolescope.plans.spread import first_per_key
 
 HEADING = r"(?mU)^[^\S\n]*(#{1,6})[^\S\n]+(\S[^\n]*)$"
 LINK = r"(?U)https?://\S+"
@@ -87,14 +89,27 @@ def date_range(value: Column) -> Column:
         F.when(F.size(parts) == 2, t.strip(F.get(parts, F.lit(1)))).alias("end"))
 
 
+def term_counts(text: t.Expr, n: int = 15, stop_words: list[str] = V.TERM_STOP_WORDS) -> Column:
+    """array<struct<term, count>>: most frequent content words, earlier first on ties.
+
+    A text is one row, so it is counted where it lies; exploding its words would shuffle them all.
+    """
+    ignored = frozenset(stop_words)
+
+    @F.pandas_udf("array<struct<term:string,count:bigint>>")
+    def count(tokens: pd.Series) -> pd.Series:
+        def one(words):
+            counted = Counter(w for w in words if len(w) > 2 and w not in ignored)
+            return [{"term": w, "count": c} for w, c in counted.most_common(n)]
+        return tokens.map(one)
+
+    return count(t.tokenise(t.text_or_empty(text)))
+
+
 def top_terms(docs: DataFrame, key: list[str], text: str, n: int = 15, stop_words: list[str] = V.TERM_STOP_WORDS) -> DataFrame:
-    """(key, rank, term, count): most frequent content words, earlier first on ties."""
-    words = (
-        docs.select(*key, F.posexplode(t.tokenise(text)).alias("pos", "term"))
-        .where((F.length("term") > 2) & ~F.col("term").isin(stop_words))
-    )
-    counted = words.groupBy(*key, "term").agg(F.count("*").alias("count"), F.min("pos").alias("pos"))
-    return first_per_key(counted, key, [F.col("count").desc(), F.col("pos")], n)
+    """(key, pos, term, count) of the most frequent content words."""
+    counted = docs.select(*key, term_counts(text, n, stop_words).alias("_t"))
+    return counted.select(*key, F.posexplode_outer("_t").alias("pos", "x")).where("x is not null").select(*key, "pos", "x.*")
 
 
 def _skills(text: Column, skills: dict[str, list[str]]) -> Column:
@@ -145,17 +160,11 @@ def structure_profiles(
             t.first_filled(h["second"], h["first"]).alias("institution"), h["first"].alias("degree"),
             h["third"].alias("date_range"), t.bullets_or_sentences(s["content"]).alias("notes")))
 
-    terms = (
-        top_terms(docs, ["profile_id"], "raw_text", 12)
-        .groupBy("profile_id")
-        .agg(F.array_sort(F.collect_list(F.struct((-c("count")).alias("n"), "pos", "term"))).alias("_t"))
-        .select("profile_id", F.transform("_t", lambda x: x["term"]).alias("_terms"))
-    )
     first = F.get("sections", F.lit(0))
     lines = F.filter(F.transform(t.split_lines(t.text_or_empty(first["content"])), t.strip), lambda x: x != "")
     raw = c("raw_text")
-    base = docs.join(terms, "profile_id", "left").withColumns({
-        "_terms": F.coalesce("_terms", F.array().cast("array<string>")),
+    base = docs.withColumn("_counted", term_counts("raw_text", 12)).withColumns({
+        "_terms": F.transform("_counted", lambda x: x["term"]),
         "headline": F.get(lines, F.lit(0)),
         "_skills": _skills(raw, skills),
         "domain_strengths": t.unique_ordered(t.parents_matched(raw, domains)),

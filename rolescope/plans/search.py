@@ -11,7 +11,7 @@ from rolescope.operators.query_generation import generate_queries
 from rolescope.session import cut_lineage
 from rolescope.settings import Settings
 
-POSTING_KEY = ["source", "id", "source_url", "source_ord", "ord"]
+POSTING_KEY = ["source", "id", "source_ord", "ord"]
 
 
 @dataclass
@@ -31,8 +31,11 @@ def search_and_rank(
     `postings` carries `source_ord` and a row number `ord` unique over all sources.
     """
     queries = generate_queries(profiles, settings)
-    evaluated = query_match.match_queries(postings, queries, key, settings)
+    # every text is evaluated once; the narrow result serves the statistics and the ranking
+    evaluated = cut_lineage(query_match.match_queries(postings, queries, key, settings).select(
+        "profile_id", *key, "query_match"))
     kept, _ = query_match.split_by_match(evaluated)
+    kept = postings.join(kept, key)
     url = F.coalesce(F.nullif("application_url", F.lit("")), "source_url", F.lit(""))
     unique = dedupe.first_per_key(
         kept.withColumn("_url", url), ["profile_id", "source", "id", "_url"], ["source_ord", "ord"]).drop("_url")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rolescope import schemas as S
 from rolescope.functions import text as t
@@ -85,16 +85,17 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
     return normalize.normalize_postings(S.conform(rows, S.POSTING))
 
 
-def read_profile_docs(spark: SparkSession, files: DataFrame) -> DataFrame:
+def read_profile_docs(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     """(profile_id, raw_text, source_files, sections) of each person's ordered files.
 
-    `files` holds (profile_id, ord, path); the texts are read by Spark and joined on the path.
+    `files` holds (profile_id, ord, path); the texts below `folder` are joined on the path.
     """
-    paths = [r.path for r in files.select("path").distinct().collect()]
-    texts = spark.read.text(paths, wholetext=True).select(
-        F.regexp_replace(F.url_decode("_metadata.file_path"), r"\Afile:/*", "/").alias("path"),
+    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), r"\Afile:/*", "/")
+    texts = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True).select(
+        plain(F.col("_metadata.file_path")).alias("_path"),
         F.regexp_replace("value", "\\A\\x{FEFF}", "").alias("text"))
-    return profile_documents(files.join(texts, "path").select("profile_id", "ord", "path", "text"))
+    listed = files.withColumn("_path", F.regexp_replace("path", r"\Afile:/*", "/"))
+    return profile_documents(listed.join(texts, "_path").select("profile_id", "ord", "path", "text"))
 
 
 def profile_documents(parts: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def test_profile_files(spark, tmp_path):
     extra = tmp_path / "extra.md"
     extra.write_text("## Skills\nPython, SLAM")
     listed = spark.createDataFrame([("me", 0, str(main)), ("me", 1, str(extra))], "profile_id string, ord int, path string")
-    p = structure.structure_profiles(files.read_profile_docs(spark, listed)).first()
+    p = structure.structure_profiles(files.read_profile_docs(spark, str(tmp_path), listed)).first()
     assert (p.name, p.headline, p.summary) == ("Jo Doe", "Applied engineer", "Applied engineer")
     job, project, school = p.work_experience[0], p.projects[0], p.education[0]
     assert (job.title, job.company, job.start_date, job.end_date) == ("Dev", "Acme", "2020", "2022")
@@ -117,7 +117,7 @@ def test_profile_files(spark, tmp_path):
     assert counts["python"] == ("programming_languages", 2) and p.publications == ["https://x.org/publication"]
     assert p.source_files == [str(main), str(extra)] and "slam" in p.domain_strengths and p.seniority_hint is None
     insights = spark.createDataFrame([("me", '{"summary": "New", "industries": ["Space"]}')], "profile_id string, payload string")
-    base = structure.structure_profiles(files.read_profile_docs(spark, listed))
+    base = structure.structure_profiles(files.read_profile_docs(spark, str(tmp_path), listed))
     merged = structure.apply_insights(base, structure.insights_from_payload(insights, base)).first()
     assert merged.summary == "New" and merged.industries[-1] == "Space" and merged.skills == p.skills
     pack = sinks.keyword_pack(base).collect()

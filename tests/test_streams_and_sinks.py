@@ -1,5 +1,6 @@
 import csv
 import glob
+import random
 
 from pyspark.sql import functions as F
 
@@ -33,17 +34,30 @@ def test_stream_match_equals_batch_and_survives_restart(spark, tmp_path):
 
 def test_fresh_requests_match_a_walk(spark, tmp_path):
     seconds = {"a": [0, 10, 59, 60, 61, 119, 121, 500], "b": [5, 5, 70]}
-    rows = spark.createDataFrame([(k, float(s)) for k, v in seconds.items() for s in v], "url string, s double").select(
+    rows = spark.createDataFrame([(k, float(s) + 1e6) for k, v in seconds.items() for s in v], "url string, s double").select(
         "url", F.timestamp_seconds("s").alias("ts"))
     expected = set()
     for k, v in seconds.items():
         last = None
         for s in sorted(v):
             if last is None or s - last >= 60:
-                expected.add((k, float(s)))
+                expected.add((k, float(s) + 1e6))
                 last = s
+    random.seed(2)
+    many = [(random.choice("abc"), random.randint(0, 5000) / 4) for _ in range(3000)]
     plain = lambda df: {(r.url, r.s) for r in df.select("url", F.col("ts").cast("double").alias("s")).collect()}
     assert plain(dedupe.fresh_requests(rows, ["url"], "ts", 60.0)) == expected
+    walked = set()
+    for k in "abc":
+        last = None
+        for x in sorted(s for q, s in many if q == k):
+            if last is None or x - last >= 7.5:
+                walked.add((k, x))
+                last = x
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    more = spark.createDataFrame(many, "url string, s double").select("url", F.timestamp_seconds("s").alias("ts"))
+    assert plain(dedupe.fresh_requests(more.repartition(5), ["url"], "ts", 7.5)) == walked
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
     rows.coalesce(1).write.parquet(src)
     stream = spark.readStream.schema(rows.schema).parquet(src)
