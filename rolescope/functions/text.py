@@ -155,22 +155,29 @@ def string_array(values: list[str]) -> Column:
 
 
 def contains_any(hay: Expr, needles: list[str] | Column) -> Column:
-    if isinstance(needles, Column):
-        return F.exists(needles, lambda n: F.contains(as_col(hay), n))
-    if not needles:
-        return F.lit(False)
-    out = F.contains(as_col(hay), F.lit(needles[0]))
-    for needle in needles[1:]:
-        out = out | F.contains(as_col(hay), F.lit(needle))
-    return out
+    """Whether any needle is a substring of hay; an expression given as hay is evaluated once."""
+
+    def test(h: Column) -> Column:
+        if isinstance(needles, Column):
+            return F.exists(needles, lambda n: F.contains(h, n))
+        out = F.lit(False)
+        for needle in needles:
+            out = out | F.contains(h, F.lit(needle))
+        return out
+
+    return test(F.col(hay)) if isinstance(hay, str) else let(hay, test)
 
 
 def first_contained(hay: Expr, needles: list[str]) -> Column:
     """First needle, in list order, that is a substring of hay; null when none is."""
-    out = F.lit(None).cast("string")
-    for needle in reversed(needles):
-        out = F.when(F.contains(as_col(hay), F.lit(needle)), F.lit(needle)).otherwise(out)
-    return out
+
+    def choose(h: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for needle in reversed(needles):
+            out = F.when(F.contains(h, F.lit(needle)), F.lit(needle)).otherwise(out)
+        return out
+
+    return choose(F.col(hay)) if isinstance(hay, str) else let(hay, choose)
 
 
 def parents_matched(text: Expr, taxonomy: dict[str, list[str]]) -> Column:

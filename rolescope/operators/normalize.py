@@ -33,13 +33,16 @@ def salary_range(text: t.Expr) -> Column:
 
 
 def work_mode(*texts: t.Expr) -> Column:
-    hay = F.lower(F.concat_ws(" ", *[t.text_or_empty(x) for x in texts]))
-    return (
-        F.when(F.contains(hay, F.lit("hybrid")), "hybrid")
-        .when(t.contains_any(hay, ["remote", "work from home"]), "remote")
-        .when(t.contains_any(hay, ["on-site", "onsite", "office"]), "onsite")
-        .otherwise("unknown")
-    )
+    """First of hybrid, remote, onsite that the texts speak of, else unknown."""
+
+    def mode(hay: Column) -> Column:
+        has = lambda word: F.contains(hay, F.lit(word))
+        return (
+            F.when(has("hybrid"), "hybrid").when(has("remote") | has("work from home"), "remote")
+            .when(has("on-site") | has("onsite") | has("office"), "onsite").otherwise("unknown")
+        )
+
+    return t.let(F.lower(F.concat_ws(" ", *[t.text_or_empty(x) for x in texts])), mode)
 
 
 def skill_terms(skills: dict[str, list[str]] = V.SKILLS) -> list[str]:

@@ -91,10 +91,14 @@ def seniority_score(title: Column, target: Column, seniority: dict[str, int] = V
                     most_specific: bool = False) -> Column:
     """100 minus 1.5 per point of distance; the first listed hint in the title counts."""
     hints = sorted(seniority, key=len, reverse=True) if most_specific else list(seniority)
-    low = F.lower(t.text_or_empty(title))
-    own = F.lit(60)
-    for hint in reversed(hints):
-        own = F.when(F.contains(low, F.lit(hint)), F.lit(seniority[hint])).otherwise(own)
+
+    def value(low: Column) -> Column:
+        own = F.lit(60)
+        for hint in reversed(hints):
+            own = F.when(F.contains(low, F.lit(hint)), F.lit(seniority[hint])).otherwise(own)
+        return own
+
+    own = t.let(F.lower(t.text_or_empty(title)), value)
     return F.greatest(F.lit(0.0), 100.0 - F.abs(target - own) * 1.5)
 
 

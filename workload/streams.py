@@ -43,7 +43,8 @@ def drain(df, spark, name, mode="append"):
 
 
 def stream_postings(spark, d):
-    docs = stream(spark, d, "documents")
+    # one small file is one task; the texts are spread before anything is computed on them
+    docs = stream(spark, d, "documents").repartition(spark.sparkContext.defaultParallelism)
     rows = docs.select(
         F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), "source",
         F.concat(F.lit("https://example.org/doc/"), F.col("doc_id")).alias("source_url"),
