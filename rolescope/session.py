@@ -47,11 +47,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def ship_package(spark: SparkSession, root: str) -> None:
-    """Send the Python package to the workers once per session; Arrow functions import it there."""
+    """Send the Python package to the workers once per context; Arrow functions import it there."""
 
 
 
-    if getattr(spark, "_rolescope_shipped", False):
+    context = spark.sparkContext
+    if getattr(context, "_rolescope_shipped", False):
         return
     target = os.path.join(tempfile.mkdtemp(prefix="rolescope-package-"), "rolescope.zip")
     with zipfile.ZipFile(target, "w") as z:
@@ -60,5 +61,5 @@ def ship_package(spark: SparkSession, root: str) -> None:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     z.write(path, os.path.relpath(path, root))
-    spark.sparkContext.addPyFile(target)
-    spark._rolescope_shipped = True
+    context.addPyFile(target)
+    context._rolescope_shipped = True
