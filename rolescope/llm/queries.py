@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolescope.llm import common, suffix_dedup
+from rolescope.llm import common, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,27 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
     return out.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), removed.alias("n_removed"),
                       F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring_dedup.remove_repeats(docs, width=50)
+    removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(len(w) - 49)) AS p FROM words WHERE len(w) >= 50),
+windows AS (SELECT doc_id, p, md5(array_to_string(w[p + 1:p + 50], ' ')) AS h FROM starts),
+least AS (SELECT h, min(doc_id) AS d FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, p + o AS i
+         FROM windows JOIN least USING (h), (SELECT unnest(range(50)) AS o) WHERE d < doc_id),
+lists AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id),
+each AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM words JOIN lists USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(w[i + 1], ' ' ORDER BY i) AS kept FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM words LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
