@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolescope.llm import common, simhash, substring_dedup, suffix_dedup
+from rolescope.llm import common, line_rules, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,44 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_remov
        sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
 FROM words LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op9_line_rules"] = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 3], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(len(w) - 2)) AS p FROM docs WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, p FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id),
+each AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
+lines AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM each WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+judged AS (
+  SELECT doc_id, line, len(w) AS n, len(list_filter(w, lambda x: x IN ('|', '/', '>', '-', '·', '»', '›', '•'))) AS marks,
+         len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) AS symbols,
+         regexp_matches(line, '(?i)all rights reserved|licensed under|released under the|this work is licensed|cookie policy|privacy policy|terms of use|terms of service|enable javascript|click here|sign up for our newsletter|lorem ipsum') AS boilerplate,
+         len(list_filter(w, lambda x: right(x, 1) IN ('.', '!', '?', '…', ':', ';', '"', chr(39), ')', ']', '}', '»', '”', '’', '。', '！', '？'))) > 0 AS ended
+  FROM lines),
+summed AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+         coalesce(sum(n) FILTER (WHERE ended AND NOT boilerplate AND NOT (marks >= 3 AND marks * 5 >= n) AND NOT (symbols >= 3 AND symbols * 10 >= n * 3)), 0) AS kept_words
+  FROM judged GROUP BY doc_id),
+based AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(kept_words, 0) AS kept_words
+  FROM docs LEFT JOIN summed USING (doc_id) LEFT JOIN repeated r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND (n_words - kept_words) * 2 <= n_words AS kept
+FROM based
+"""
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "score")
