@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolescope.llm import common, line_rules, simhash, substring_dedup, suffix_dedup, url_filter
+from rolescope.llm import common, language_id, line_rules, simhash, substring_dedup, suffix_dedup, token_files, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,18 @@ FROM based
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return out.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(language_id.fold("doc_id", 3) != 1))
+    out = language_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (language_id.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), token_files.folder_for(spark)
+    manifest = token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_files.read_tokens(manifest, folder)
