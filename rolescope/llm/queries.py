@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolescope.llm import common, language_id, line_rules, simhash, substring_dedup, suffix_dedup, token_files, url_filter
+from rolescope.llm import (class_lm, common, language_id, line_rules, simhash, substring_dedup, suffix_dedup, token_files,
+                           url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +120,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents").select("doc_id", "text"), token_files.folder_for(spark)
     manifest = token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), folder)
     return token_files.read_tokens(manifest, folder)
+
+
+@query
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, tail = class_lm.train(docs.where(~class_lm.held_out("doc_id")))
+    out = class_lm.score(docs, model, tail)
+    return out.select("doc_id", class_lm.held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+                      "perplexity")
