@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolescope.llm import (class_lm, common, language_id, line_rules, simhash, substring_dedup, suffix_dedup, token_files,
-                           url_filter)
+from rolescope.llm import (class_lm, common, decontaminate, language_id, line_rules, packing, simhash, substring_dedup, suffix_dedup,
+                           token_files, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,14 @@ def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = class_lm.score(docs, model, tail)
     return out.select("doc_id", class_lm.held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
                       "perplexity")
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "score", "first_word", "end_word", "n_seeds")
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))

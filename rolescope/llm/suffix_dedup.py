@@ -354,28 +354,31 @@ def merged_spans(ranges: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(ranges[first, 0].tolist(), reach[np.append(first[1:], len(ranges)) - 1].tolist()))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        texts = batch.column("_text").to_pylist()
-        spans, kept = [], []
-        for text, los, his in zip(texts, batch.column("_lo").to_pylist(), batch.column("_hi").to_pylist()):
-            own = merged_spans(np.array([los, his], np.int64).T) if los else []
-            raw = (text or "").encode()
-            if own:
-                edges = [0, *(x for s in own for x in s), len(raw)]
-                raw = b"".join(raw[p:q] for p, q in zip(edges[::2], edges[1::2]))
-            spans.append([{"lo": p, "hi": q} for p, q in own])
-            kept.append(raw)
-        rest = [batch.column(c) for c in batch.schema.names[:-3]]
-        yield pa.RecordBatch.from_arrays(
-            [*rest, pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary())],
-            [*batch.schema.names[:-3], "removed_spans", "kept"])
+def _cut(as_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            spans, kept = [], []
+            for text, los, his in zip(batch.column("_text").to_pylist(), batch.column("_lo").to_pylist(), batch.column("_hi").to_pylist()):
+                own = merged_spans(np.array([los, his], np.int64).T) if los else []
+                raw = (text or "").encode()
+                if own:
+                    edges = [0, *(x for s in own for x in s), len(raw)]
+                    parts = [raw[p:q] for p, q in zip(edges[::2], edges[1::2])]
+                    raw = b"".join(p.decode("utf-8", "ignore").encode() for p in parts) if as_text else b"".join(parts)
+                spans.append([{"lo": p, "hi": q} for p, q in own])
+                kept.append(raw)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
+                 pa.array([k.decode() for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], ["_row", "removed_spans", "kept"])
+    return run
 
 
 def remove_repeats(docs: DataFrame, width: int = 200, doc_id: str = "doc_id", text: str = "text",
-                   group_limit: int = GROUP_LIMIT) -> DataFrame:
+                   group_limit: int = GROUP_LIMIT, as_text: bool = False) -> DataFrame:
     """All columns, with removed_spans (maximal byte ranges removed) and kept (the remaining bytes).
 
+    With as_text, kept is a string without the characters of which only some bytes remain.
+
     A byte goes if a string of `width` bytes that covers it also starts anywhere else, in the same
     document or in another one. Columns called removed_spans or kept are replaced.
     Null and empty texts, and those shorter than the width, lose nothing. A null id is an id like any other;
@@ -388,5 +391,6 @@ def remove_repeats(docs: DataFrame, width: int = 200, doc_id: str = "doc_id", te
     joined = own.join(by_doc, ["a", "b"], "left").select(
         "_row", F.col("_row")[text].alias("_text"), F.col("_r.lo").alias("_lo"), F.col("_r.hi").alias("_hi"))
     row_type = joined.schema["_row"].dataType.simpleString()
-    out = joined.mapInArrow(_cut, f"_row {row_type}, removed_spans array<struct<lo:bigint,hi:bigint>>, kept binary")
+    kept = "string" if as_text else "binary"
+    out = joined.mapInArrow(_cut(as_text), f"_row {row_type}, removed_spans array<struct<lo:bigint,hi:bigint>>, kept {kept}")
     return out.select("_row.*", "removed_spans", "kept")
