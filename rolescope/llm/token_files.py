@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,7 @@ from rolescope.llm import common
 DOCS_PER_FILE = 8192
 CACHE_MOST = 400_000
 READ_AT_ONCE = 1 << 20
+MARKS = string.punctuation
 
 
 class Irregular(Exception):
@@ -41,35 +44,48 @@ class Words(dict):
     A byte-level tokenizer without a normalizer cuts a text before it merges, and no cut piece reaches over
     the edge between a mark and the space behind it. So a word with its leading space or line feed has the
     same ids in every text, if neither it nor its neighbours bring more white space; such words are encoded
-    once. At most CACHE_MOST are kept.
+    once. A word of letters, with ASCII marks behind it or not, is cut by that rule; the library cuts all
+    others. At most CACHE_MOST are kept.
     """
 
     def __init__(self, tokenizer: Tokenizer, width: str):
         super().__init__()
-        self.tokenizer, self.width = tokenizer, width
+        self.tokenize, self.cut = tokenizer.model.tokenize, tokenizer.pre_tokenizer.pre_tokenize_str
+        self.code = "H" if width == "<u2" else "I"
         self.parts: dict[str, bytes] = {}
+        self.letter = {c: self.cut(c)[0][0] for c in map(chr, range(0x250)) if c.isalpha()}
+        self.space, self.feed = self.cut(" ")[0][0], self.cut("\n")[0][0]
 
     def __missing__(self, piece: str) -> bytes:
-        body = piece[1:] if piece[:1] == "\n" else piece
-        if not body or not (body[0].isalnum() or "!" <= body[0] <= "~") or not (body[-1].isalnum() or "!" <= body[-1] <= "~"):
+        body, lead = (piece[1:], "") if piece[:1] == "\n" else (piece, self.space)
+        word = body.rstrip(MARKS)
+        if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            out = self.part(lead + (word if word.isascii() else "".join(map(self.letter.__getitem__, word))))
+            if len(word) < len(body):
+                out += self.part(body[len(word):])
+            if not lead:
+                out = self.part(self.feed) + out
+        elif not body or not (body[0].isalnum() or "!" <= body[0] <= "~") or not (body[-1].isalnum() or "!" <= body[-1] <= "~"):
             raise Irregular
-        out = self.ids(piece if piece[:1] == "\n" else " " + piece)
+        else:
+            out = self.ids(piece if not lead else " " + piece)
         if len(self) >= CACHE_MOST:
             self.clear()
         self[piece] = out
         return out
 
+    def part(self, part: str) -> bytes:
+        """Ids of one cut piece, in the library's alphabet of bytes."""
+        own = self.parts.get(part)
+        if own is None:
+            own = array(self.code, [t.id for t in self.tokenize(part)]).tobytes()
+            if len(self.parts) >= CACHE_MOST:
+                self.parts.clear()
+            self.parts[part] = own
+        return own
+
     def ids(self, text: str) -> bytes:
-        out = []
-        for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
-            own = self.parts.get(part)
-            if own is None:
-                own = np.array([t.id for t in self.tokenizer.model.tokenize(part)], self.width).tobytes()
-                if len(self.parts) >= CACHE_MOST:
-                    self.parts.clear()
-                self.parts[part] = own
-            out.append(own)
-        return b"".join(out)
+        return b"".join([self.part(part) for part, _ in self.cut(text)])
 
 
 class Encoder:
