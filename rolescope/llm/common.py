@@ -31,7 +31,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def batches_of_bounded_bytes(spark: SparkSession) -> None:
     """Texts differ widely in length, so batches to Python are bounded in bytes and not only in rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def id_order(doc_id: str = "doc_id") -> Column:
