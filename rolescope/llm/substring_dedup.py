@@ -271,7 +271,8 @@ def repeated_ranges(docs: DataFrame, width: int, group_limit: int = GROUP_LIMIT)
     by_key = docs.mapInArrow(_runs(shape, sent), SENT).repartition("key").sortWithinPartitions("key", "words")
     found = common.written(by_key.mapInArrow(_match(width, group_limit), FOUND), "substring-ranges")
     deferred = found.where("h1 != 0 or h2 != 0")
-    least = deferred.groupBy("h1", "h2").agg(F.min("a").alias("least"))
+    # written, so that both sides of the join are plain exchanges and a hot window can be split
+    least = common.written(deferred.groupBy("h1", "h2").agg(F.min("a").alias("least")), "substring-least")
     return (found.where("h1 = 0 and h2 = 0").select("a", "b", "lo", "hi")
             .unionByName(deferred.join(least, ["h1", "h2"]).where("a > least").select("a", "b", "lo", "hi")))
 

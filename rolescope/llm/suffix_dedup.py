@@ -338,7 +338,8 @@ def repeated_ranges(docs: DataFrame, width: int, group_limit: int = GROUP_LIMIT)
     by_bucket = runs.repartition("bucket").sortWithinPartitions("bucket")
     found = common.written(by_bucket.mapInArrow(_merge(shape, group_limit), FOUND), "suffix-ranges")
     deferred = found.where("h1 != 0 or h2 != 0")
-    twice = deferred.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    # written, so that both sides of the join are plain exchanges and a hot window can be split
+    twice = common.written(deferred.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "suffix-twice")
     return (found.where("h1 = 0 and h2 = 0").select("a", "b", "lo", "hi")
             .unionByName(deferred.join(twice, ["h1", "h2"]).select("a", "b", "lo", "hi")))
 
