@@ -15,6 +15,13 @@ import numpy as np
 TOKEN_ONLY = re.compile(r"[a-z0-9+#]+")
 MEMO_LIMIT = 1 << 20
 NOTHING = ((), -1)
+SEPARATOR = "\x00"
+
+
+def _run(text: str) -> str:
+    """The tokens of a text, each between spaces; empty without a token."""
+    tokens = TOKEN_ONLY.findall(text.lower())
+    return f" {' '.join(tokens)} " if tokens else ""
 
 
 @dataclass(frozen=True)
@@ -33,11 +40,13 @@ class QuerySet:
         n = len(self.queries)
         terms = sorted({x for q in self.queries for x in q["terms"]})
         words = sorted({x for q in self.queries for x in q["tokens"]})
-        simple = terms if whole_word else [x for x in terms if TOKEN_ONLY.fullmatch(x)]
+        simple = [x for x in terms if TOKEN_ONLY.fullmatch(x)]
         self.term_id = {x: i for i, x in enumerate(terms)}
         self.word_id = {x: i for i, x in enumerate(words)}
         self.simple = set(simple)
-        self.loose = [] if whole_word else [(x, self.term_id[x]) for x in terms if x not in self.simple]
+        # other terms: a run of whole tokens, or a substring of the text
+        self.loose = [(_run(x) if whole_word else x, self.term_id[x]) for x in terms if x not in self.simple]
+        self.loose = [(x, i) for x, i in self.loose if x]
         self.lengths = sorted({len(x) for x in simple})
         # queries per term (a query counts as often as it lists the term), and per word
         listed, has_term, has_word = [[] for _ in terms], [[] for _ in terms], [[] for _ in words]
@@ -100,7 +109,9 @@ class QuerySet:
                 terms.update(found[0])
                 if found[1] >= 0:
                     words.append(found[1])
-        terms.update(i for x, i in self.loose if x in text)
+        if self.loose:
+            text = SEPARATOR.join(map(_run, text.split("\x00"))) if self.whole_word else text
+            terms.update(i for x, i in self.loose if x in text)
         return sorted(terms), words
 
     def best(self, title: str, place: str, probe: str, full: str, words: str, n_tokens: int) -> list[dict]:

@@ -15,7 +15,7 @@ def link_table(pages: DataFrame) -> DataFrame:
     return filled.select("url", F.posexplode(page_links("url", "html")).alias("pos", "link"))
 
 
-def crawl_sites(sites: DataFrame, links: DataFrame, max_levels: int = 1_000) -> tuple[DataFrame, DataFrame]:
+def crawl_sites(sites: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Breadth-first walk of every site at once.
 
     `sites`: (site, url, seed_urls, include, exclude, max_pages). Returns visited pages
@@ -34,9 +34,7 @@ def crawl_sites(sites: DataFrame, links: DataFrame, max_levels: int = 1_000) ->
         first.withColumn("visit", F.row_number().over(w)).where(F.col("visit") <= F.col("max_pages"))
         .select("site", "url", F.col("visit").cast("long").alias("visit")))
     visited, found = frontier, None
-    for _ in range(max_levels):
-        if frontier.isEmpty():
-            break
+    while not frontier.isEmpty():  # ends, as a site visits max_pages at most
         seen = (
             frontier.join(links, "url").join(rules, "site")
             .select("site", "visit", "pos", F.col("link").alias("url"), "host", "max_pages",
@@ -68,15 +66,16 @@ def crawl_sites(sites: DataFrame, links: DataFrame, max_levels: int = 1_000) ->
     return visited, candidates
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_levels: int = 1_000) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, depth) of all nodes reachable from the seeds over (src, dst) edges."""
     frontier = cut_lineage(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     reached = frontier
-    for level in range(1, max_levels + 1):
+    level = 0
+    while True:
+        level += 1
         following = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = cut_lineage(
             following.join(reached, "node", "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             return reached
         reached = cut_lineage(reached.unionByName(frontier))
-    raise RuntimeError("max_levels reached before the walk ended")

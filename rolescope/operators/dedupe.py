@@ -31,8 +31,7 @@ def merge_by_url(existing: DataFrame, incoming: DataFrame, ord_col: str = "ord")
     return rows.where("_late = 0").unionByName(first).drop("_late")
 
 
-def near_duplicates(rows: DataFrame, text: str, ord_col: str, group: list[str] = (), threshold: float = 0.82,
-                    max_rounds: int = 10_000) -> DataFrame:
+def near_duplicates(rows: DataFrame, text: str, ord_col: str, group: list[str] = (), threshold: float = 0.82) -> DataFrame:
     """Greedy near-duplicate removal over a whole table, as if rows came one by one in order.
 
     Equal token sets collapse first (the earliest always stands for them), so a large group of
@@ -56,16 +55,14 @@ def near_duplicates(rows: DataFrame, text: str, ord_col: str, group: list[str] =
     tokens = sets.select(*by, ord_col, F.size("_tokens").alias("_n"), F.explode("_tokens").alias("_t"))
     frequency = tokens.groupBy(*by, "_t").agg(F.count("*").alias("_df"))
     rarest = W.partitionBy(*by, ord_col).orderBy("_df", "_t")
-    prefix_size = F.col("_n") - F.ceil(F.col("_n") * threshold) + 1
+    prefix_size = F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1  # a product of doubles may lie just above a whole number
     prefixes = (
         salted_join(tokens, frequency, [*by, "_t"], [ord_col]).withColumn("_at", F.row_number().over(rarest))
         .where(F.col("_at") <= prefix_size).select(*by, ord_col, "_t")
     )
     left = cut_lineage(prefixes.join(sets, [*by, ord_col]))
     kept = [alone]
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():  # the earliest row left is always a leader, so every round settles one at least
         first = left.groupBy(*by, "_t").agg(F.min(ord_col).alias("_first"))
         marked = salted_join(left, first, [*by, "_t"], [ord_col])
         leaders = (
@@ -83,8 +80,6 @@ def near_duplicates(rows: DataFrame, text: str, ord_col: str, group: list[str] =
         kept.append(leaders)
         left = cut_lineage(
             left.join(near.unionByName(leaders), [*by, ord_col], "left_anti"))
-    else:
-        raise RuntimeError("near_duplicates did not settle; raise max_rounds")
     keep = blank
     for part in kept:
         keep = keep.unionByName(part)

@@ -151,7 +151,7 @@ def retrieve_evidence(
     without any common token take part with similarity 0. `key` must hold profile_id.
     """
     blocks = (
-        evidence.withColumn("_block", F.floor(F.col("ord") / EVIDENCE_BLOCK).cast("int"))
+        evidence.withColumn("_block", F.floor(F.col("ord") / EVIDENCE_BLOCK).cast("long"))
         .groupBy("profile_id", "_block")
         .agg(F.collect_list(F.struct("ord", "text", "source_section", t.token_set("text").alias("tokens")))
              .alias("_items"))

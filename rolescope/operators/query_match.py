@@ -1,11 +1,11 @@
 """Best search query per posting.
 
-The naive form pairs every posting with every query. Here a query set of checked size travels to
-the tasks once and each posting is evaluated inside its own row, in Arrow batches: no join, no
-pair rows, no shuffle. Terms are tested against the posting's distinct tokens instead of its whole
-text, which finds the same substrings because a term made of token characters can only lie inside
-one token. A query set beyond that size is cut into hashed blocks that meet the postings in a
-salted equi-join and are evaluated with array expressions; the blocks' winners are compared.
+A naive form pairs every posting with every query. Here the queries are cut into hashed blocks of bounded
+number and size. A block travels to the tasks and each posting is evaluated inside its own row, in Arrow
+batches: no join, no pair rows, and no text is shuffled. Terms are tested against the posting's distinct
+tokens instead of its whole text, which finds the same substrings because a term made of token characters
+can only lie inside one token. Whatever the number of blocks, the same evaluation runs; with several, only
+the winner of each block per posting is shuffled and compared.
 """
 
 from __future__ import annotations
@@ -21,11 +21,8 @@ from rolescope.functions import text as t
 from rolescope.functions.query_kernel import Limits, query_set
 from rolescope.settings import Settings
 
-INLINE_QUERIES = 4096        # largest query set shipped to every task
-INLINE_BYTES = 8 << 20       # and its largest text size
-BLOCK_QUERIES = 512          # queries per block beyond that
-BLOCK_BYTES = 4 << 20
-SIMPLE = r"\A[a-z0-9+#]+\z"
+BLOCK_QUERIES = 4096        # queries that travel to the tasks together
+BLOCK_BYTES = 8 << 20        # and the bytes of their texts, terms, titles and locations
 
 
 def _query_structs(queries: DataFrame) -> DataFrame:
@@ -55,48 +52,6 @@ def _query_structs(queries: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(structs: DataFrame, n_blocks: int) -> DataFrame:
-    """(block, queries by profile + vocabulary); hashing bounds the size of every block.
-
-    Queries refer to terms and tokens by their position in the block's vocabulary, so a posting
-    tests each vocabulary entry once and a query only looks flags up.
-    """
-
-    def vocabulary(field: str) -> Column:
-        lists = F.collect_list(F.transform("queries", lambda q: q[field]))
-        return F.array_distinct(F.flatten(F.flatten(lists))).alias(field)
-
-    def positions(values: Column, entries: Column) -> Column:
-        return F.transform(values, lambda x: (F.array_position(entries, x) - 1).cast("int"))
-
-    def indexed(q: Column, terms: Column, tokens: Column) -> Column:
-        return F.struct(
-            q["ord"].alias("ord"), q["text"].alias("text"), q["text_n"].alias("text_n"),
-            q["title_n"].alias("title_n"), q["location_n"].alias("location_n"),
-            positions(q["terms"], terms).alias("terms"),
-            positions(q["term_set"], terms).alias("term_set"),
-            positions(q["tokens"], tokens).alias("tokens"),
-        )
-
-    block = F.pmod(F.xxhash64("pid", "query_ord"), F.lit(n_blocks)).cast("int")
-    grouped = (
-        structs.withColumn("_b", block)
-        .groupBy("_b", "pid").agg(F.collect_list("q").alias("queries"))
-        .groupBy("_b").agg(
-            F.collect_list(F.struct("pid", "queries")).alias("groups"),
-            vocabulary("term_set"), vocabulary("tokens"),
-        )
-    )
-    groups = F.transform("groups", lambda g: F.struct(
-        g["pid"].alias("pid"),
-        F.transform(g["queries"], lambda q: indexed(q, F.col("term_set"), F.col("tokens"))).alias("queries"),
-    ))
-    padded = F.transform("tokens", lambda x: F.concat(F.lit(" "), x, F.lit(" ")))
-    return grouped.select(
-        "_b", F.struct(groups.alias("groups"), "term_set", padded.alias("tokens")).alias("_block")
-    )
-
-
 def _posting_context() -> Column:
     lists = F.concat(
         F.coalesce(F.col("required_skills"), F.array()), F.coalesce(F.col("preferred_skills"), F.array())
@@ -124,90 +79,6 @@ def _posting_context() -> Column:
     )
 
 
-def _evaluate(block: Column, whole_word: bool, s: Settings) -> Column:
-    """array<struct<pid, best>> for one posting row with a `_ctx` column."""
-
-    def hits(terms: Column, ctx: Column) -> Column:
-        if whole_word:
-            return F.transform(terms, lambda x: F.contains(ctx["words"], F.concat(F.lit(" "), x, F.lit(" "))))
-        return F.transform(terms, lambda x: F.when(x.rlike(SIMPLE), F.contains(ctx["words"], x))
-                           .otherwise(F.contains(ctx["full"], x)))
-
-    def near(terms: Column, ctx: Column) -> Column:
-        if whole_word:
-            own = F.concat(F.lit(" "), F.array_join(t.tokenise(ctx["probe"]), " "), F.lit(" "))
-            return t.let(own, lambda hay: F.transform(
-                terms, lambda x: F.contains(hay, F.concat(F.lit(" "), x, F.lit(" ")))))
-        return F.transform(terms, lambda x: F.contains(ctx["probe"], x))
-
-    def count(positions: Column, flags: Column) -> Column:
-        return F.size(F.filter(positions, lambda i: F.get(flags, i)))
-
-    def score(q: Column, c: Column, b: Column) -> Column:
-        n_terms = F.greatest(F.size(q["term_set"]), F.lit(1)).cast("double")
-        flag = lambda test: F.when(test, F.lit(1.0)).otherwise(F.lit(0.0))
-        title = flag(F.coalesce(F.contains(c["title"], q["title_n"]), F.lit(False)))
-        place = flag(F.coalesce(F.contains(c["location"], q["location_n"]), F.lit(False)))
-        domain = count(q["terms"], b["near"]) / n_terms
-        overlap = count(q["term_set"], b["hits"]) / n_terms
-
-        def similar(common: Column) -> Column:
-            either = F.size(q["tokens"]) + c["n_tokens"] - common
-            return F.when(common == 0, F.lit(0.0)).otherwise(common.cast("double") / either)
-
-        def phrase(common: Column) -> Column:
-            # every inner word of a contained phrase is a whole token of the text
-            possible = (q["text_n"] != "") & (common >= F.size(q["tokens"]) - 2)
-            return flag(possible & F.contains(c["full"], q["text_n"]))
-
-        def result(v: Column) -> Column:
-            total = (
-                v["title"] * 0.35 + v["domain"] * 0.25 + v["place"] * 0.10 + v["overlap"] * 0.20
-                + v["similar"] * 0.10 + v["phrase"] * 0.10
-            )
-            passed = (
-                (total >= s.match_score)
-                | ((v["title"] >= 1.0) & (v["overlap"] >= s.match_title_overlap))
-                | (v["overlap"] >= s.match_overlap)
-            )
-            return F.struct(
-                t.round_to(total * 100.0, 2).alias("best_query_score"),
-                (-q["ord"]).alias("neg_ord"),
-                passed.alias("matched"),
-                q["text"].alias("best_query"),
-                t.round_to(v["similar"], 4).alias("best_query_similarity"),
-                t.round_to(v["title"], 4).alias("best_query_title_score"),
-                t.round_to(v["domain"], 4).alias("best_query_domain_score"),
-                t.round_to(v["place"], 4).alias("best_query_location_score"),
-                t.round_to(v["overlap"], 4).alias("best_query_term_overlap"),
-                F.when(total >= s.match_score, "passed threshold").otherwise("below threshold")
-                .alias("decision_reason"),
-            )
-
-        return t.let(count(q["tokens"], b["words"]), lambda common: t.let(
-            F.struct(
-                title.alias("title"), domain.alias("domain"), place.alias("place"),
-                overlap.alias("overlap"), similar(common).alias("similar"), phrase(common).alias("phrase"),
-            ),
-            result,
-        ))
-
-    return t.let(block, lambda blk: t.let(F.col("_ctx"), lambda c: t.let(
-        F.struct(
-            hits(blk["term_set"], c).alias("hits"),
-            near(blk["term_set"], c).alias("near"),
-            F.transform(blk["tokens"], lambda x: F.contains(c["words"], x)).alias("words"),
-        ),
-        lambda b: F.transform(
-            F.coalesce(blk["groups"], F.array()),
-            lambda g: F.struct(
-                g["pid"].alias("pid"),
-                F.array_max(F.transform(g["queries"], lambda q: score(q, c, b))).alias("best"),
-            ),
-        ),
-    )))
-
-
 BEST = (
     "best_query_score double, neg_ord bigint, matched boolean, best_query string, "
     "best_query_similarity double, best_query_title_score double, best_query_domain_score double, "
@@ -215,13 +86,10 @@ BEST = (
 )
 
 
-def _inline_evaluator(structs: DataFrame, whole_word: bool, s: Settings):
-    """Arrow UDF over the context columns; the caller has checked the size of the query set."""
-    rows = [
-        {"pid": r.pid, **r.q.asDict()}
-        for r in structs.limit(INLINE_QUERIES).collect()
-    ]
-    shared = structs.sparkSession.sparkContext.broadcast(rows)
+def _evaluator(block: DataFrame, whole_word: bool, s: Settings):
+    """Arrow UDF over the context columns for one block of queries."""
+    rows = [{"pid": r.pid, **r.q.asDict()} for r in block.collect()]
+    shared = block.sparkSession.sparkContext.broadcast(rows)
     limits = Limits(s.match_score, s.match_title_overlap, s.match_overlap)
 
     token = uuid.uuid4().hex
@@ -275,50 +143,48 @@ def match_queries(
     settings: Settings = Settings(),
     whole_word: bool = False,
     matched_only: bool = False,
-    inline_queries: int = INLINE_QUERIES,
     block_queries: int = BLOCK_QUERIES,
-    salts: int = 8,
 ) -> DataFrame:
     """Postings with the evaluation of their best query in `query_match`.
 
     With a `profile_id` column in `queries`, one row per (posting, profile). `key` names the
-    columns that identify a posting row; it is only used when the queries fill many blocks.
+    columns that identify a posting row; it is only used when the queries fill several blocks.
     """
     per_profile = "profile_id" in queries.columns
-    size = queries.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    if size[0] == 0:
+    bytes_of = lambda c: F.coalesce(F.octet_length(c), F.lit(0)) if c in queries.columns else F.lit(0)
+    each = bytes_of("text") + bytes_of("title") + bytes_of("location") + F.coalesce(
+        F.aggregate("terms", F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
+    n_queries, n_bytes = queries.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    if n_queries == 0:
         out = _unfiltered(postings)
         return out.withColumn("profile_id", F.lit(None).cast("string")) if per_profile else out
 
     structs = _query_structs(queries)
     ready = postings.withColumn("_ctx", _posting_context())
+    n_blocks = max(1, math.ceil(n_queries / block_queries), math.ceil(n_bytes / BLOCK_BYTES))
+    block_of = F.pmod(F.xxhash64("pid", "query_ord"), F.lit(n_blocks))
 
-    def finish(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("query_match", _public(F.col("_best"))).drop("_best")
-        rows = rows.withColumnRenamed("_pid", "profile_id") if per_profile else rows.drop("_pid")
-        return rows.where("query_match.matched") if matched_only else rows
-
-    if size[0] <= inline_queries and (size[1] or 0) <= INLINE_BYTES:
-        evaluate = _inline_evaluator(structs, whole_word, settings)
-        found = ready.withColumn("_found", evaluate(*[
+    def winners(block: int) -> DataFrame:
+        own = structs.where(block_of == block) if n_blocks > 1 else structs
+        found = ready.withColumn("_found", _evaluator(own, whole_word, settings)(*[
             F.col(f"_ctx.{n}") for n in ("title", "location", "probe", "full", "words", "n_tokens")]))
         # explode_outer: plain explode would infer a filter that evaluates the expression again
-        return finish(
-            found.withColumn("_f", F.explode_outer("_found"))
-            .select(*postings.columns, F.col("_f.pid").alias("_pid"), F.col("_f.best").alias("_best"))
-        )
-    n_blocks = max(math.ceil(size[0] / block_queries), math.ceil((size[1] or 0) / BLOCK_BYTES))
-    blocks = _blocks(structs, n_blocks)
-    salted = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    best = (
-        ready.select(*key, "_ctx")
-        .withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"))
-        .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        .join(salted, ["_b", "_salt"])
-        .select(*key, F.explode(_evaluate(F.col("_block"), whole_word, settings)).alias("_f"))
-        .groupBy(*key, F.col("_f.pid").alias("_pid")).agg(F.max("_f.best").alias("_best"))
-    )
-    return finish(postings.join(best, key))
+        columns = postings.columns if n_blocks == 1 else key
+        return found.withColumn("_f", F.explode_outer("_found")).select(
+            *columns, F.col("_f.pid").alias("_pid"), F.col("_f.best").alias("_best"))
+
+    if n_blocks == 1:
+        rows = winners(0)
+    else:
+        parts = [winners(block) for block in range(n_blocks)]
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        best = every.where("_pid IS NOT NULL").groupBy(*key, "_pid").agg(F.max("_best").alias("_best"))
+        rows = postings.join(best, key)
+    rows = rows.withColumn("query_match", _public(F.col("_best"))).drop("_best")
+    rows = rows.withColumnRenamed("_pid", "profile_id") if per_profile else rows.drop("_pid")
+    return rows.where("query_match.matched") if matched_only else rows
 
 
 def split_by_match(evaluated: DataFrame) -> tuple[DataFrame, DataFrame]:

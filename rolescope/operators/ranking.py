@@ -86,7 +86,8 @@ def response_assessment(payload: Column) -> Column:
 def attach_assessments(prelim: DataFrame, short: DataFrame, responses: DataFrame | None) -> DataFrame:
     """`assessment` per row: the model response for shortlisted ids, the heuristic elsewhere.
 
-    `responses` holds (profile_id, id, payload JSON). A response outside the shortlist is ignored.
+    `responses` holds (profile_id, id, payload JSON). A response outside the shortlist is ignored; of
+    several usable ones for a posting the least payload counts.
     """
     if responses is None:
         return prelim.withColumn("assessment", heuristic_assessment())
@@ -94,6 +95,7 @@ def attach_assessments(prelim: DataFrame, short: DataFrame, responses: DataFrame
         responses.select("profile_id", "id", "payload")
         .where(F.try_variant_get(F.try_parse_json("payload"), "$", "map<string,variant>").isNotNull())
         .join(short, ["profile_id", "id"], "left_semi")
+        .groupBy("profile_id", "id").agg(F.min("payload").alias("payload"))
     )
     rows = prelim.join(usable, ["profile_id", "id"], "left")
     chosen = F.when(F.col("payload").isNotNull(), response_assessment(F.col("payload"))).otherwise(heuristic_assessment())

@@ -8,10 +8,11 @@ COUNTERS = ["raw_jobs_discovered", "jobs_matched", "jobs_filtered_out"]
 
 
 def source_stats(evaluated: DataFrame) -> DataFrame:
-    """Raw, matched and filtered counts per source, in source order."""
+    """Raw, matched and filtered counts per source (and per profile, where there are any), in source order."""
     matched = F.col("query_match.matched")
     order = F.min("source_ord") if "source_ord" in evaluated.columns else F.lit(0)
-    return evaluated.groupBy("source").agg(
+    by = [c for c in ("profile_id",) if c in evaluated.columns]
+    return evaluated.groupBy(*by, "source").agg(
         order.alias("source_ord"), F.count("*").alias("raw_jobs_discovered"),
         F.count_if(matched).alias("jobs_matched"), F.count_if(~matched).alias("jobs_filtered_out"))
 

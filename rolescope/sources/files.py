@@ -58,7 +58,7 @@ def read_postings_csv(spark: SparkSession, path: str) -> DataFrame:
         t.text_or_empty(c("description")).alias("description"), *[pipes(n).alias(n) for n in CSV_LISTS],
         t.first_filled(c("application_url"), c("source_url")).alias("application_url"),
         c("date_posted").alias("date_posted"))
-    return normalize.normalize_postings(S.conform(rows, S.POSTING, keep=["file"]))
+    return normalize.normalize_postings(S.conform(with_row_order(rows), S.POSTING, keep=["file", "ord"]))
 
 
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
@@ -80,9 +80,9 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
         "application_url": F.col("source_url"), "work_mode": normalize.work_mode(d),
         "required_skills": normalize.skill_mentions(d), "domain_signals": normalize.domain_signals(d),
         "language_requirements": normalize.language_requirements(d),
-        "raw_payload": F.to_json(F.struct("feed_url")),
+        "raw_payload": F.to_json(F.struct("feed_url")), "file": F.col("feed"),
     })
-    return normalize.normalize_postings(S.conform(rows, S.POSTING))
+    return normalize.normalize_postings(S.conform(with_row_order(rows), S.POSTING, keep=["file", "ord"]))
 
 
 def read_profile_docs(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
@@ -207,8 +207,12 @@ def read_claims(spark: SparkSession, path: str) -> DataFrame:
 
 def read_board_table(spark: SparkSession, path: str) -> DataFrame:
     """Discovery CSV with the slug columns of every board kind."""
-    return spark.read.option("header", True).csv(path).withColumn(
-        "ord", F.struct("_metadata.file_path", "_metadata.file_block_start"))
+    return with_row_order(spark.read.option("header", True).csv(path))
+
+
+def with_row_order(rows: DataFrame) -> DataFrame:
+    """Rows of a scan with `ord`, a long that rises with the place in the files, split by split."""
+    return rows.withColumn("ord", F.monotonically_increasing_id())
 
 
 def read_stage_output(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -237,9 +241,14 @@ def sitemap_locations(rows: DataFrame, key: list[str], xml: str = "xml") -> Data
 
 
 def union_sources(parts: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Postings of all enabled sources with `source_ord`, the order in which sources count."""
+    """Postings of all enabled sources with `source_ord`, the order in which sources count.
+
+    `ord` (a row's order within its source or file) and `file` are kept and null where a source has none.
+    """
     out = None
     for i, (_, df) in enumerate(parts):
-        rows = S.conform(df, S.POSTING).withColumn("source_ord", F.lit(i))
+        own = {"ord": "long", "file": "string"}
+        df = df.withColumns({c: F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind) for c, kind in own.items()})
+        rows = S.conform(df, S.POSTING, keep=list(own)).withColumn("source_ord", F.lit(i))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -135,7 +135,7 @@ def naive_best(posting, queries):
     return best
 
 
-@pytest.mark.parametrize("options", [{}, {"inline_queries": 0, "block_queries": 7}])
+@pytest.mark.parametrize("options", [{}, {"block_queries": 7}])
 def test_match_equals_nested_loops(spark, options):
     random.seed(5)
     words = ["c++", "c", "slam", "vision", "robot", "berlin", "python", "across", "3d", "x-ray", "ai", "", "Für"]
@@ -163,7 +163,7 @@ def test_match_per_profile(spark):
                               "profile_id string, query_ord int, text string").withColumns({
         "title": F.lit(None).cast("string"), "location": F.lit(None).cast("string"), "terms": F.array().cast("array<string>")})
     posts = postings(spark, [dict(title="Slam Engineer", description="slam engineer robot")])
-    for options in ({}, {"inline_queries": 0, "block_queries": 1}):
+    for options in ({}, {"block_queries": 1}):
         got = {r.profile_id: r.query_match for r in query_match.match_queries(posts, q, ["ord"], **options).collect()}
         assert got["a"].best_query == "slam engineer" and got["a"].matched and not got["b"].matched
 
@@ -226,3 +226,24 @@ def test_dedupe_is_idempotent_and_first_wins(spark):
     once = dedupe.dedupe_postings(rows.repartition(7), ["source_ord", "ord"])
     assert sorted(r.title for r in once.collect()) == ["A", "C"]
     assert dedupe.dedupe_postings(once, ["source_ord", "ord"]).count() == 2
+
+
+@pytest.mark.parametrize("options", [{}, {"block_queries": 2}])
+def test_whole_word_terms_of_several_words_are_runs_of_tokens(spark, options):
+    terms = ["computer vision", "vision team", "node.js", "team the", "vision"]
+    q = spark.createDataFrame([(i, f"q{i}", [x]) for i, x in enumerate(terms)], "query_ord int, text string, terms array<string>").withColumns({
+        "title": F.lit(None).cast("string"), "location": F.lit(None).cast("string")})
+    posts = postings(spark, [dict(title="Computer", description="the computer vision lab, team the node js"),
+                             dict(title="x", description="vision computer the vision teams")])
+    for i, x in enumerate(terms):
+        one = query_match.match_queries(posts, q.where(F.col("query_ord") == i), ["ord"], whole_word=True, **options).collect()
+        hits = {r.ord: r.query_match.best_query_term_overlap for r in one}
+        assert hits == {0: float(x != "vision team"), 1: float(x == "vision")}, x
+
+
+def test_more_queries_than_a_block_lose_none(spark):
+    q = spark.range(300).select(F.col("id").cast("int").alias("query_ord"), F.concat(F.lit("target"), "id").alias("text")).withColumns({
+        "title": F.lit(None).cast("string"), "location": F.lit(None).cast("string"), "terms": F.array(F.col("text"))})
+    posts = postings(spark, [dict(title="x", description="some target299 here"), dict(title="y", description="a target5")])
+    got = query_match.match_queries(posts, q, ["ord"], whole_word=True, block_queries=40).collect()
+    assert {r.ord: r.query_match.best_query for r in got} == {0: "target299", 1: "target5"}

@@ -34,7 +34,7 @@ def claims(spark, d):
 
 
 EVIDENCE = f"""turns as (
-  select cast(conv_id as varchar) profile_id, role, turn * 1000 + pos - 1 ord, line from (
+  select cast(conv_id as varchar) profile_id, role, turn * 4294967296 + pos - 1 ord, line from (
     select conv_id, turn, role, unnest(str_split(text, chr(10))) line, generate_subscripts(str_split(text, chr(10)), 1) pos from conversations)
   where trim(line) <> ''),
 ev as (
@@ -106,7 +106,7 @@ with {EVIDENCE}, ids as (select distinct cast(conv_id as varchar) profile_id fro
 s as (select profile_id, list(case status when 'strong_match' then 'Strong evidence for: ' else 'Related or transferable evidence for: ' end
   || requirement order by ord)[1:8] xs from st where status in ('strong_match', 'partial_match') group by profile_id),
 g0 as (select profile_id, ord, trim(case status when 'missing' then 'No clear evidence for: ' else 'Needs manual review: ' end || requirement) x
-  from st where status in ('missing', 'uncertain') union all select profile_id, 1000000000, 'Rules-based skill gap: slam' from ids),
+  from st where status in ('missing', 'uncertain') union all select profile_id, 9223372036854775807, 'Rules-based skill gap: slam' from ids),
 g1 as (select *, row_number() over (partition by profile_id, {q.norm('x')} order by ord) rn from g0),
 g as (select profile_id, list(x order by ord)[1:10] xs from g1 where rn = 1 group by profile_id)
 select profile_id, coalesce(array_to_string(s.xs, '|'), '') strengths, coalesce(array_to_string(g.xs, '|'), '') gaps

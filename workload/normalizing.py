@@ -152,9 +152,9 @@ def query_match_best(spark, d):
 
 @query("query_match_blocks", f"with {q.MATCH} select doc_id, item_id best_query_ord, matched, round_even(total * 100, 2) score from best")
 def query_match_blocks(spark, d):
-    """The same answer from hashed query blocks, as for query sets too large to ship."""
+    """The same answer from several blocks of queries."""
     m = F.col("query_match")
-    return _evaluated(spark, d, inline_queries=0, block_queries=64).select(
+    return _evaluated(spark, d, block_queries=16).select(
         F.col("ord").alias("doc_id"), m["query_ord"].alias("best_query_ord"), m["matched"].alias("matched"),
         m["best_query_score"].alias("score"))
 

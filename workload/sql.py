@@ -48,7 +48,7 @@ PROFILES = f"""labelled as (
          {parents('text', b.DOMAINS)} domains, {parents('text', b.INDUSTRIES)} industries
   from documents d join labels l using (doc_id) where l.quality = 1),
 profiles as (
-  select profile_id, list_sort(list_distinct(flatten(list(skills))))[1:6] skills,
+  select profile_id, list_sort(list_distinct(flatten(list(skills)))) skills,
          list_sort(list_distinct(flatten(list(domains)))) domains,
          list_sort(list_distinct(flatten(list(industries)))) industries, min(title) role
   from labelled group by profile_id)"""
@@ -56,8 +56,7 @@ profiles as (
 MATCH = f"""{POSTS},
 q as (
   select item_id, text, {norm('text')} text_n, {norm("regexp_extract(text, '^[^ \\n]+')")} title_n,
-         case when len(list_filter({tokens('text')}, lambda w: length(w) >= 8)) = 0 then {tokens('text')}
-           else list_distinct(list_filter({tokens('text')}, lambda w: length(w) >= 8)) end terms,
+         {norm("substr(text, 1, 2)")} place_n, list_distinct({tokens('text')}) terms,
          list_distinct({tokens('text')}) toks
   from benchmark),
 p as (
@@ -71,6 +70,7 @@ p2 as (
 feats as (
   select p2.doc_id, p2.source, q.item_id, q.text query,
          case when contains(p2.title_n, q.title_n) then 1.0::DOUBLE else 0.0::DOUBLE end title_s,
+         case when contains({norm('p2.location')}, q.place_n) then 1.0::DOUBLE else 0.0::DOUBLE end place_s,
          len(list_filter(q.terms, lambda w: contains(p2.probe, w)))::DOUBLE / greatest(len(list_distinct(q.terms)), 1) domain_s,
          len(list_filter(list_distinct(q.terms), lambda w: contains(p2.full_n, w)))::DOUBLE / greatest(len(list_distinct(q.terms)), 1) overlap_s,
          case when len(p2.toks) = 0 or len(q.toks) = 0 then 0.0::DOUBLE else
@@ -79,7 +79,7 @@ feats as (
          case when q.text_n <> '' and contains(p2.full_n, q.text_n) then 1.0::DOUBLE else 0.0::DOUBLE end sub_s
   from p2, q),
 scored as (
-  select *, title_s * 0.35 + domain_s * 0.25 + overlap_s * 0.20 + jac_s * 0.10 + sub_s * 0.10 as total from feats),
+  select *, title_s * 0.35 + domain_s * 0.25 + place_s * 0.10 + overlap_s * 0.20 + jac_s * 0.10 + sub_s * 0.10 as total from feats),
 ranked as (
   select *, row_number() over (partition by doc_id order by round_even(total * 100, 2) desc, item_id) rn from scored),
 best as (

@@ -69,8 +69,8 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 def queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(
         F.col("item_id").cast("int").alias("query_ord"), "text",
-        F.regexp_extract("text", r"^\S+", 0).alias("title"), F.lit(None).cast("string").alias("location"),
-        F.array_distinct(F.filter(t.tokenise("text"), lambda x: F.length(x) >= 8)).alias("terms"))
+        F.regexp_extract("text", r"^\S+", 0).alias("title"), F.substring("text", 1, 2).alias("location"),
+        F.array_distinct(t.tokenise("text")).alias("terms"))
 
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +86,7 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
         union("skills").alias("_skills"), union("domains").alias("domain_strengths"),
         union("industries").alias("industries"), F.array(F.min("title")).alias("role_families"))
     rows = rows.withColumn("skills", F.transform(
-        F.slice("_skills", 1, 6), lambda s: F.struct(s.alias("name"), F.lit("general").alias("category"), F.lit(1).alias("evidence_count"))))
+        F.col("_skills"), lambda s: F.struct(s.alias("name"), F.lit("general").alias("category"), F.lit(1).alias("evidence_count"))))
     return S.conform(rows, S.PROFILE)
 
 
@@ -96,12 +96,12 @@ def turns(spark: SparkSession, d: str, role: str) -> DataFrame:
     cut = rows.select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return cut.where(F.trim("line") != "").select(
         F.col("conv_id").cast("string").alias("profile_id"), F.col("conv_id").cast("string").alias("posting_id"),
-        (F.col("turn") * 1000 + F.col("pos")).alias("ord"), F.col("line").alias("text"))
+        (F.col("turn") * (1 << 32) + F.col("pos")).alias("ord"), F.col("line").alias("text"))
 
 
 def headed_text() -> Column:
     """First line as heading, the others as bullets, then a second heading with the language."""
-    rest = F.substring(F.col("text"), F.length(first_line()) + 2, 10_000_000)
+    rest = F.substr(F.col("text"), F.length(first_line()) + 2)
     return F.concat(
         F.lit("# "), first_line(), F.when(rest != "", F.concat(
             F.lit("\n- "), F.replace(rest, F.lit("\n"), F.lit("\n- ")))).otherwise(""),
