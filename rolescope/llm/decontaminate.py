@@ -170,7 +170,7 @@ def aligned_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     n_grams, reach = grams.agg(F.count("key"), F.max("n_words")).first()
     if not n_grams:
         return spark.createDataFrame([], PAIRS)
-    sent = spark.sparkContext.broadcast(common.bit_filter(grams, common.filter_bits(n_grams, 64)))
+    sent = spark.sparkContext.broadcast(common.bit_filter(grams, common.filter_bits(n_grams, 8192)))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.id_order(doc_id).alias("a"), common.text_key(text).alias("b"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = common.written(rows.mapInArrow(_hits(sent, 2 * reach), HITS).withColumn("at_row", F.monotonically_increasing_id()), "item-hits")
