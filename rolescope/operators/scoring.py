@@ -120,9 +120,12 @@ def _joined(*normalized: Column) -> Column:
     return F.concat_ws(" ", *[F.nullif(x, F.lit("")) for x in normalized])
 
 
-def constraints_score(description: Column, languages: Column, speaks_german: Column, s: Settings) -> Column:
+def visa_limits(description: Column) -> Column:
     """`description` is already normalized, as in the next two scores."""
-    visa = t.contains_any(description, ["no sponsorship", "must be authorized"])
+    return t.contains_any(description, ["no sponsorship", "must be authorized"])
+
+
+def constraints_score(visa: Column, languages: Column, speaks_german: Column, s: Settings) -> Column:
     visa_cost = F.when(visa, 30.0).otherwise(0.0) if s.visa_constraints else F.lit(0.0)
     german = F.exists(languages, lambda l: F.lower(l) == "german") & ~speaks_german
     return F.greatest(F.lit(0.0), 75.0 - visa_cost - F.when(german, 15.0).otherwise(0.0))
@@ -169,19 +172,37 @@ def label_score(label: Column) -> Column:
     return out
 
 
+def text_flags(
+    postings: DataFrame, settings: Settings = Settings(), unrelated: list[str] = V.UNRELATED_TITLE_WORDS,
+    whole_word: bool = False,
+) -> DataFrame:
+    """Everything the scores read from a posting's text; none of it depends on a profile.
+
+    Computed once per posting before any join or deduplication, so that texts need not be shuffled.
+    """
+    body, title = F.col("_body"), F.col("title")
+    return postings.withColumn("_body", t.normalize_text(t.text_or_empty("description"))).withColumns({
+        "_visa": visa_limits(body),
+        "preferred_sector_bonus": sector_bonus(_strings("domain_signals"), body, title, settings),
+        "mismatch_penalty": mismatch_penalty(title, body, F.col("company"), settings, unrelated, whole_word),
+    }).drop("_body")
+
+
 def score_rules(
     pairs: DataFrame, prepared: DataFrame, settings: Settings = Settings(),
     unrelated: list[str] = V.UNRELATED_TITLE_WORDS, seniority: dict[str, int] = V.SENIORITY_VALUES,
+    most_specific: bool = False, whole_word: bool = False,
 ) -> DataFrame:
     """Add every sub-score and text to (profile_id, posting columns) rows.
 
     `pairs` is what the query match kept, so the join is an equi-join on profile_id and only
     related pairs exist. The profile side is one narrow row per profile, repeated per salt so that a
-    profile with a large share of the pairs is spread over several tasks.
+    profile with a large share of the pairs is spread over several tasks. Rows that come from
+    `text_flags` need no description; without a later use of it the description stays out of the join.
+    `most_specific` takes the longest seniority hint of a title, `whole_word` matches unwanted words as words.
     """
-    # one normalized description serves every score that searches it
-    rows = salted_join(
-        pairs.withColumn("_body", t.normalize_text(t.text_or_empty("description"))), prepared, ["profile_id"], ["id"])
+    flagged = pairs if "_visa" in pairs.columns else text_flags(pairs, settings, unrelated, whole_word)
+    rows = salted_join(flagged, prepared, ["profile_id"], ["id"])
     c, s = F.col, settings
     required, preferred, signals = _strings("required_skills"), _strings("preferred_skills"), _strings("domain_signals")
     lists = F.size(t.unique_ordered(F.concat(required, preferred)))
@@ -189,12 +210,10 @@ def score_rules(
         "title_match_score": title_score(c("title"), c("_p.titles")),
         "skills_overlap_score": skills_score(required, preferred, c("_p.skills")),
         "domain_match_score": domain_score(signals, c("title"), c("_p.domains")),
-        "seniority_fit_score": seniority_score(c("title"), c("_p.seniority"), seniority),
+        "seniority_fit_score": seniority_score(c("title"), c("_p.seniority"), seniority, most_specific),
         "location_fit_score": location_score(c("work_mode"), c("location"), s),
         "constraints_fit_score": constraints_score(
-            c("_body"), _strings("language_requirements"), c("_p.speaks_german"), s),
-        "preferred_sector_bonus": sector_bonus(signals, c("_body"), c("title"), s),
-        "mismatch_penalty": mismatch_penalty(c("title"), c("_body"), c("company"), s, unrelated),
+            c("_visa"), _strings("language_requirements"), c("_p.speaks_german"), s),
         "missing_skills": F.when(lists == 0, F.array().cast("array<string>"))
         .otherwise(missing_skills(required, preferred, c("_p.skills"))),
     })
@@ -218,7 +237,7 @@ def score_rules(
             F.lit("Connect prior delivery experience to "), F.coalesce(F.get(signals, F.lit(0)), c("title")),
             F.lit(" impact at "), t.text_or_empty("company"), F.lit(".")),
         "disposition": rules_disposition(c("rules_based_score")),
-    }).drop("_p", "_body")
+    }).drop("_p", "_visa")
 
 
 def profile_text() -> Column:

@@ -35,14 +35,23 @@ def search_and_rank(
     evaluated = cut_lineage(query_match.match_queries(postings, queries, key, settings).select(
         "profile_id", *key, "query_match"))
     kept, _ = query_match.split_by_match(evaluated)
-    kept = postings.join(kept, key)
+    # texts are read where they lie; the joins, the deduplication and the scores move narrow rows only
+    narrow = scoring.text_flags(postings, settings).drop(*ranking.WIDE_COLUMNS)
     url = F.coalesce(F.nullif("application_url", F.lit("")), "source_url", F.lit(""))
     unique = dedupe.first_per_key(
-        kept.withColumn("_url", url), ["profile_id", "source", "id", "_url"], ["source_ord", "ord"]).drop("_url")
+        narrow.withColumn("_url", url).join(kept, key), ["profile_id", "source", "id", "_url"], ["source_ord", "ord"]
+    ).drop("_url")
     scored = scoring.score_rules(unique, scoring.prepare_profiles(profiles, settings), settings)
     return SearchResult(queries, evaluated, stats.source_stats(evaluated), ranking.rank_postings(scored, settings, responses))
 
 
+def whole_ranked(ranked: DataFrame, postings: DataFrame, key: list[str] = POSTING_KEY, n: int | None = None) -> DataFrame:
+    """Ranked rows (up to rank n, where given) with the posting texts that the ranking left out, as the JSON bundle wants."""
+    rows = ranked if n is None else ranked.where(F.col("rank") <= n)
+    texts = postings.select(*key, *[c for c in ranking.WIDE_COLUMNS if c in postings.columns])
+    return rows.join(texts, key)
+
+
 def explain_matches(
     profiles: DataFrame, postings: DataFrame, pairs: DataFrame, settings: Settings = Settings(),
     claims: DataFrame | None = None, raw_sections: str | None = None,

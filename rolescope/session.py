@@ -48,9 +48,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def ship_package(spark: SparkSession, root: str) -> None:
     """Send the Python package to the workers once per context; Arrow functions import it there."""
-
-
-
     context = spark.sparkContext
     if getattr(context, "_rolescope_shipped", False):
         return

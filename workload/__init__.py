@@ -14,4 +14,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from workload import discovery, matching, normalizing, ranking, streams, structuring, texts  # noqa: F401
+    from workload import discovery, landing, matching, normalizing, ranking, streams, structuring, texts  # noqa: F401
