@@ -86,20 +86,16 @@ def text_jaccard(left: Expr, right: Expr) -> Column:
 
 
 def unique_ordered(values: Column) -> Column:
-    """First spelling per normalized value, in order, trimmed; blanks dropped."""
-    return let(
-        F.coalesce(values, F.array().cast("array<string>")),
-        lambda items: let(
-            F.transform(items, normalize_text),
-            lambda keys: F.transform(
-                F.filter(
-                    items,
-                    lambda _, i: (F.get(keys, i) != "") & (F.array_position(keys, F.get(keys, i)) == i + 1),
-                ),
-                strip,
-            ),
-        ),
-    )
+    """First spelling per normalized value, in order, trimmed; blanks dropped. Sorts, so long lists cost n log n."""
+
+    def firsts(rows: Column) -> Column:
+        is_first = lambda x, i: (x["key"] != "") & ((i == 0) | (F.get(rows, i - 1)["key"] != x["key"]))
+        kept = F.transform(F.filter(rows, is_first), lambda x: F.struct(x["at"].alias("at"), x["item"].alias("item")))
+        return F.transform(F.sort_array(kept), lambda x: strip(x["item"]))
+
+    items = F.coalesce(values, F.array().cast("array<string>"))
+    keyed = F.transform(items, lambda x, i: F.struct(normalize_text(x).alias("key"), i.alias("at"), x.alias("item")))
+    return let(F.sort_array(F.filter(keyed, lambda x: x["key"].isNotNull())), firsts)
 
 
 def phrase_matches(text: Expr, phrases: list[str] | Column, whole_word: bool = False) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rolescope import fixed_values as V
 from rolescope.functions import coerce, text as t
 from rolescope.operators import normalize
+from rolescope.operators.scoring import unit_vector, vector_similarity
 from rolescope.plans.spread import first_per_key
 from rolescope.settings import Settings
 
@@ -139,42 +143,66 @@ def first_evidence(rows: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Similarity:
+    """How a requirement meets an evidence item: one expression per side, and a score of the two."""
+
+    asked: Column
+    held: Column
+    score: Callable[[Column, Column], Column]
+
+
+def lexical(text: str = "requirement") -> Similarity:
+    """Jaccard of token sets."""
+    return Similarity(t.token_set(text), t.token_set("text"), t.jaccard)
+
+
+def by_vector(column: str = "vector") -> Similarity:
+    """Cosine of a vector column on both sides, clamped to 0-1; a missing vector scores 0."""
+    unit = unit_vector(F.col(column))
+    return Similarity(unit, unit, lambda a, b: F.coalesce(vector_similarity(a, b), F.lit(0.0)))
+
+
 def retrieve_evidence(
     requirements: DataFrame, evidence: DataFrame, key: list[str], k: int = 3, text: str = "requirement",
-    salts: int = 16,
+    salts: int = 16, lanes: int = 8, similarity: Similarity | None = None,
 ) -> DataFrame:
-    """Top-k evidence per requirement of the same profile by token Jaccard, earlier evidence first.
+    """Top-k evidence per requirement of the same profile, by token Jaccard or the given similarity, earlier first.
 
     Evidence is packed into blocks of at most 256 consecutive items, so one row holds a bounded
     array however much a profile owns. A requirement meets its profile's blocks (spread over
     salts), keeps k per block inside the row, and only those few meet in the last step; rows
-    without any common token take part with similarity 0. `key` must hold profile_id.
+    without any common token take part with similarity 0. Blocks are repeated per lane and a
+    requirement takes one lane, so that a profile with few blocks and very many requirements is
+    spread too. `key` must hold profile_id.
     """
+    measure = similarity or lexical(text)
     blocks = (
         evidence.withColumn("_block", F.floor(F.col("ord") / EVIDENCE_BLOCK).cast("long"))
         .groupBy("profile_id", "_block")
-        .agg(F.collect_list(F.struct("ord", "text", "source_section", t.token_set("text").alias("tokens")))
-             .alias("_items"))
+        .agg(F.collect_list(F.struct("ord", "text", "source_section", measure.held.alias("_held"))).alias("_items"))
         .withColumn("_salt", F.pmod(F.col("_block"), F.lit(salts)))
     )
-    # read from the blocks, so that the shuffle that built them is used twice
+    # one narrow row per profile, read from the blocks and repeated per lane as they are
     spans = blocks.groupBy("profile_id").agg(F.least(F.lit(salts), F.max("_block") + 1).alias("_spread"))
+    lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))
     asked = (
-        requirements.where(t.strip(text) != "").join(spans, "profile_id")
-        .withColumn("_tokens", t.token_set(text))
+        requirements.where(t.strip(text) != "").withColumn("_asked", measure.asked)
+        .withColumn("_lane", F.pmod(F.xxhash64(*key), F.lit(lanes)).cast("int"))
+        .join(spans.withColumn("_lane", lane), ["profile_id", "_lane"])
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_spread") - 1)))
     )
 
-    def best(tokens: Column, items: Column) -> Column:
+    def best(own: Column, items: Column) -> Column:
         scored = F.transform(items, lambda e: F.struct(
-            (-t.jaccard(tokens, e["tokens"])).alias("neg"), e["ord"].alias("evidence_ord"),
+            (-measure.score(own, e["_held"])).alias("neg"), e["ord"].alias("evidence_ord"),
             e["text"].alias("evidence"), e["source_section"].alias("source_section")))
         return F.slice(F.array_sort(scored), 1, k)
 
     found = (
-        asked.join(blocks, ["profile_id", "_salt"])
+        asked.join(blocks.withColumn("_lane", lane), ["profile_id", "_salt", "_lane"])
         .select(*key, text, F.explode(t.let(
-            F.col("_tokens"), lambda tokens: best(tokens, F.col("_items")))).alias("_e"))
+            F.col("_asked"), lambda own: best(own, F.col("_items")))).alias("_e"))
         .select(*key, text, "_e.*")
     )
     top = first_per_key(found, key, ["neg", "evidence_ord"], k)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rolescope import fixed_values as V, schemas as S
@@ -94,16 +91,20 @@ def term_counts(text: t.Expr, n: int = 15, stop_words: list[str] = V.TERM_STOP_W
 
     A text is one row, so it is counted where it lies; exploding its words would shuffle them all.
     """
-    ignored = frozenset(stop_words)
+    words = F.filter(t.tokenise(t.text_or_empty(text)), lambda w: (F.length(w) > 2) & ~w.isin(list(stop_words)))
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at")))
 
-    @F.pandas_udf("array<struct<term:string,count:bigint>>")
-    def count(tokens: pd.Series) -> pd.Series:
-        def one(words):
-            counted = Counter(w for w in words if len(w) > 2 and w not in ignored)
-            return [{"term": w, "count": c} for w, c in counted.most_common(n)]
-        return tokens.map(one)
+    def counted(rows: Column) -> Column:
+        """Rows are sorted, so a term is one run; its first place is the earliest in the text."""
+        starts = F.filter(
+            F.transform(rows, lambda x, i: F.when((i == 0) | (F.get(rows, i - 1)["term"] != x["term"]), i)),
+            lambda i: i.isNotNull())
+        return t.let(starts, lambda at: F.transform(at, lambda first, k: F.struct(
+            (first - F.coalesce(F.get(at, k + 1), F.size(rows))).cast("bigint").alias("neg"),
+            F.get(rows, first)["at"].alias("at"), F.get(rows, first)["term"].alias("term"))))
 
-    return count(t.tokenise(t.text_or_empty(text)))
+    best = F.slice(F.sort_array(t.let(F.sort_array(placed), counted)), 1, n)
+    return F.transform(best, lambda x: F.struct(x["term"].alias("term"), (-x["neg"]).alias("count")))
 
 
 def top_terms(docs: DataFrame, key: list[str], text: str, n: int = 15, stop_words: list[str] = V.TERM_STOP_WORDS) -> DataFrame:

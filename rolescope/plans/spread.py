@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from rolescope.session import cut_lineage
+
 
 def spread_input(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Repartition a scan only when its files give fewer splits than the cluster has slots."""
@@ -28,30 +33,25 @@ def first_per_key(df: DataFrame, key: list[str], order: list[Column | str], n: i
 
 def rank_rows(
     df: DataFrame, part_by: list[str], order: list[tuple[str, bool]], ord_col: str, name: str = "rank",
-    block: int = 1_000_000,
 ) -> DataFrame:
     """Exact 1-based rank per group without sending a whole group to one task.
 
-    Rows are cut into order-preserving cells (order columns, then blocks of the unique `ord_col`);
-    cells are counted map-side, a running sum over the few cells gives each cell's offset, and
-    only the rows of one cell are sorted together. `order` holds (column, descending) pairs.
+    Rows are cut into ranges of the sort order, whatever their groups' sizes, and written, so that both
+    reads below see the same ranges. A group's rows per range are counted map-side; a running sum over
+    the ranges of a group (as many as there are partitions at most) gives each range's offset, and only
+    the rows of one range are numbered together. `order` holds (column, descending) pairs, `ord_col` is unique.
     """
-    cells = [c for c, _ in order] + ["_cell"]
-    rows = df.withColumn("_cell", F.floor(F.col(ord_col) / block))
-    by = [F.col(c).desc() if down else F.col(c).asc() for c, down in order] + [F.col("_cell")]
-    before = W.partitionBy(*part_by).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    by = [F.col(c).desc() if down else F.col(c).asc() for c, down in order] + [F.col(ord_col).asc()]
+    placed = cut_lineage(
+        df.repartitionByRange(*[F.col(c).asc() for c in part_by], *by).withColumn("_at", F.spark_partition_id()))
+    key = [*part_by, "_at"]
+    before = W.partitionBy(*part_by).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(*part_by, *cells).agg(F.count("*").alias("_n"))
-        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    )
-    inside = F.row_number().over(W.partitionBy(*part_by, *cells).orderBy(ord_col))
-    key = [*part_by, *cells]
-    placed = rows.withColumn("_inside", inside)
-    same = None
-    for c in key:
-        test = placed[c].eqNullSafe(offsets[c])
-        same = test if same is None else same & test
-    joined = placed.join(offsets, same)
-    return joined.select(
-        *[placed[c] for c in df.columns], (F.col("_offset") + F.col("_inside")).cast("long").alias(name)
+        placed.groupBy(*key).agg(F.count("*").alias("_n"))
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .select(*[F.col(c).alias(f"_of_{c}") for c in key], "_offset")
     )
+    numbered = placed.withColumn("_inside", F.row_number().over(W.partitionBy(*key).orderBy(*by)))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key])
+    return numbered.join(offsets, same).select(
+        *df.columns, (F.col("_offset") + F.col("_inside")).cast("long").alias(name))

@@ -95,7 +95,7 @@ def test_rank_rows_equals_a_plain_sort(spark):
     random.seed(3)
     rows = [(random.choice("ab"), round(random.random(), 1), random.randint(0, 2), i) for i in range(500)]
     df = spark.createDataFrame(rows, "p string, a double, c int, ord long").repartition(7)
-    got = {(r.p, r.ord): r.rank for r in rank_rows(df, ["p"], [("a", True), ("c", False)], "ord", block=20).collect()}
+    got = {(r.p, r.ord): r.rank for r in rank_rows(df, ["p"], [("a", True), ("c", False)], "ord").collect()}
     for p in "ab":
         mine = sorted((r for r in rows if r[0] == p), key=lambda r: (-r[1], r[2], r[3]))
         assert [got[p, r[3]] for r in mine] == list(range(1, len(mine) + 1))

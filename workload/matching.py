@@ -61,6 +61,23 @@ def evidence_topk(spark, d):
         "profile_id", "ord", "evidence_ord", F.round("similarity", 6).alias("similarity"))
 
 
+@query("evidence_topk_vector", """
+with v as (select vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) e from embeddings),
+u as (select vec_id, label, e, sqrt(list_dot_product(e, e)) n from v),
+s as (select a.vec_id ord, b.vec_id evidence_ord, greatest(0.0, least(1.0, list_dot_product(a.e, b.e) / a.n / b.n)) similarity
+      from u a join u b using (label) where a.vec_id % 20 = 0)
+select ord, evidence_ord, round(similarity, 5) similarity from (
+  select *, row_number() over (partition by ord order by round(similarity, 9) desc, evidence_ord) rn from s) where rn <= 3""")
+def evidence_topk_vector(spark, d):
+    """Vectors as requirements and evidence of their label; the stated queries are the ids divisible by 20."""
+    rows = b.table(spark, d, "embeddings").select(
+        F.col("label").cast("string").alias("profile_id"), F.col("vec_id").alias("ord"), F.col("vec_id").cast("string").alias("text"),
+        F.lit("vector").alias("source_section"), F.col("embedding").alias("vector"))
+    asked = rows.where(F.col("ord") % 20 == 0).withColumnRenamed("text", "requirement")
+    found = m.retrieve_evidence(asked, rows, ["profile_id", "ord"], 3, similarity=m.by_vector("vector"))
+    return found.select("ord", "evidence_ord", F.round("similarity", 5).alias("similarity"))
+
+
 @query("dedupe_evidence", f"with {EVIDENCE} select profile_id, ord, trim(line) as text from ev")
 def dedupe_evidence(spark, d):
     return evidence(spark, d).select("profile_id", "ord", F.trim("text").alias("text"))
