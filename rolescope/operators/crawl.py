@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rolescope.functions.urls import in_scope, is_candidate_url, page_links, url_host
 from rolescope.plans.spread import first_per_key
 from rolescope.session import cut_lineage
 
+COMPACT = 32  # levels kept as parts of their own before they are written as one
+
+
+def _appended(parts: list[DataFrame], part: DataFrame) -> list[DataFrame]:
+    """Levels as written parts: a level adds its own rows, and all rows are written again only once in COMPACT levels."""
+    parts = [*parts, part]
+    return parts if len(parts) < COMPACT else [cut_lineage(_whole(parts))]
+
+
+def _whole(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
 
 def link_table(pages: DataFrame) -> DataFrame:
     """(url, pos, link) of every same-host link; pages without text have no row."""
@@ -33,8 +47,9 @@ def crawl_sites(sites: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     frontier = cut_lineage(
         first.withColumn("visit", F.row_number().over(w)).where(F.col("visit") <= F.col("max_pages"))
         .select("site", "url", F.col("visit").cast("long").alias("visit")))
-    visited, found = frontier, None
+    parts, found = [frontier], None
     while not frontier.isEmpty():  # ends, as a site visits max_pages at most
+        visited = _whole(parts)
         seen = (
             frontier.join(links, "url").join(rules, "site")
             .select("site", "visit", "pos", F.col("link").alias("url"), "host", "max_pages",
@@ -56,7 +71,8 @@ def crawl_sites(sites: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
         frontier = cut_lineage(
             numbered.where(F.col("_done") + F.col("_rn") <= F.col("max_pages"))
             .select("site", "url", (F.col("_done") + F.col("_rn")).cast("long").alias("visit")))
-        visited = cut_lineage(visited.unionByName(frontier))
+        parts = _appended(parts, frontier)
+    visited = _whole(parts)
     if found is None:
         found = visited.select("site", "url", "visit", F.lit(0).alias("pos")).limit(0)
     # a link to a page visited earlier in the queue is no candidate
@@ -69,13 +85,12 @@ def crawl_sites(sites: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, depth) of all nodes reachable from the seeds over (src, dst) edges."""
     frontier = cut_lineage(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    reached = frontier
-    level = 0
+    parts, level = [frontier], 0
     while True:
         level += 1
         following = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = cut_lineage(
-            following.join(reached, "node", "left_anti").withColumn("depth", F.lit(level)))
+            following.join(_whole(parts), "node", "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
-            return reached
-        reached = cut_lineage(reached.unionByName(frontier))
+            return _whole(parts)
+        parts = _appended(parts, frontier)

@@ -183,7 +183,13 @@ def join_url(spark, d):
         to("//cdn.example.com/y").alias("proto"), to("detail.html").alias("rel"))
 
 
-@query("html_text")
+PIECES = """list_filter(list_transform(regexp_split_to_array(regexp_replace(html,
+  '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '<[^>]*>'),
+  lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
+  '^\\s+|\\s+$', '', 'g')), lambda x: x <> '')"""
+
+
+@query("html_text", f"select page_id, array_to_string({PIECES}, chr(10)) as text from pages")
 def html_text_q(spark, d):
     return b.wide(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
