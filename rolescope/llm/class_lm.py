@@ -1,12 +1,12 @@
 """Brown class-based bigram model, learned by distributed exchange clustering.
 
 All words of the training documents are counted by a shuffle of 64-bit word hashes. The words above a count
-that at most DICTIONARY words reach travel to the tasks; each of the others belongs to a class by the band of
-its rank, the rarest and unseen ones to the last class, so every token's class is known where it is read and
-the seen rare words set what the unseen ones get.
-The EXCHANGE most frequent words start in classes by rank and are exchanged: in a round every other word
-proposes, in parallel and from its neighbours' counts, the class that raises the class-bigram likelihood
-most; a round that lowers the likelihood as a whole is undone and ends the search.
+that at most DICTIONARY words reach travel to the tasks; the others and the unseen ones are in the last class,
+so every token's class is known where it is read and the seen rare words set what the unseen ones get.
+The dictionary words start in classes by rank and are exchanged, all of them: a shuffle brings together each
+word's neighbours, and in a turn every other word proposes, in parallel and from its neighbours' classes, the
+class that raises the class-bigram likelihood most. Of the moves of a turn that lowers the likelihood as a
+whole, the better half is tried again; the search ends when neither half of the words gains GAIN any more.
 
 P(word | previous) = P(class | previous class) P(word | class): transitions are smoothed towards the class
 frequencies, words of the last class by one. A document is scored where it is read; only its words outside
@@ -28,11 +28,12 @@ from rolescope.llm import common
 
 DICTIONARY = 1 << 20
 LEAST = 3  # occurrences of a dictionary word: rarer words stay in the last class and stand for the unseen ones
-EXCHANGE = 2048
 CLASSES = 64
-ROUNDS = 8
+GAIN = 2e-3  # log likelihood per token that a turn must gain
 PRIOR = 10.0
 HELD_AT_ONCE = 1 << 21
+PARTS = 1024  # a word with more than one in so many tokens has its neighbours in several parts
+ROWS_AT_ONCE = 256
 END = xxhash.xxh3_64_intdigest(b" ")  # no word has a space
 
 
@@ -161,49 +162,101 @@ def vocabulary(counts: DataFrame, dictionary: int, exchange: int) -> tuple[Vocab
                       int(sum(w for _, w in many) - len(word))), words.where(F.col("n") < least)
 
 
-def _pairs(sent):
+def _binaries(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of the stretches between the edges."""
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _sides(sent):
+    """The neighbours of each unit and how often, a unit's parts apart; neighbours before it count from `units` on."""
     def run(batches: Iterator[pa.RecordBatch]):
-        own = sent.value
-        n = np.zeros(own.units * own.units, np.int64)
+        own, parts = sent.value
+
+        def rows(code, n):
+            unit, side = code // (2 * own.units), code % (2 * own.units)
+            part = side % parts[unit]
+            if len(parts) and parts.max() > 1:
+                order = np.lexsort((part, unit))
+                unit, side, part, n = unit[order], side[order], part[order], n[order]
+            first = np.flatnonzero((np.diff(unit, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+            edges, side, n = np.append(first, len(unit)), side.astype(np.int32), n.astype(np.int32)
+            for lo in range(0, len(first), 1 << 14):
+                at = first[lo: lo + (1 << 14)]
+                ends = edges[lo: lo + len(at) + 1]
+                own_ends = ends - ends[0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(unit[at]), pa.array(part[at]), _binaries(side[ends[0]: ends[-1]].copy(), own_ends),
+                     _binaries(n[ends[0]: ends[-1]].copy(), own_ends)], ["unit", "part", "sides", "times"])
+
         for batch in batches:
             units, _ = own.units_of(_hashes(batch.column("text").to_pylist())[0])
             if len(units):
-                codes = np.append(own.end_unit, units[:-1]) * own.units + units
-                np.add.at(n, *np.unique(codes, return_counts=True)) if len(codes) * 8 < len(n) else n.__iadd__(np.bincount(codes, minlength=len(n)))
-        at = np.flatnonzero(n)
-        for lo in range(0, len(at), 1 << 18):
-            own_at = at[lo: lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(own_at // own.units), pa.array(own_at % own.units), pa.array(n[own_at])], ["x", "y", "n"])
+                x, y = np.append(own.end_unit, units[:-1]), units
+                yield from rows(*np.unique(np.concatenate([x * (2 * own.units) + y, y * (2 * own.units) + own.units + x]), return_counts=True))
     return run
 
 
-class Sides(NamedTuple):
-    """What a task needs for a round."""
-    class_of: np.ndarray
-    n_classes: int
-    matrix: np.ndarray | None
-    movable: np.ndarray | None
+def _chunks(sent):
+    """Many units to a row, each with its neighbours merged."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        units, parts = sent.value
+        for batch in batches:
+            unit, lists = batch.column("unit").to_numpy(), batch.column("each")
+            if not len(unit):
+                continue
+            pieces = lists.flatten()
+            length = np.array([len(x) // 4 for x in pieces.field("sides").to_pylist()])
+            row = np.repeat(np.repeat(np.arange(len(unit)), np.diff(lists.offsets.to_numpy())), length)
+            side, n = (np.frombuffer(b"".join(pieces.field(c).to_pylist()), np.int32).astype(np.int64) for c in ("sides", "times"))
+            code = row * (2 * units) + side
+            order = np.argsort(code, kind="stable")
+            code, n = code[order], n[order]
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            code, n = code[first], np.add.reduceat(n, first)
+            columns = (unit.astype(np.int32), parts[unit].astype(np.int32), (code // (2 * units)).astype(np.int32),
+                       (code % (2 * units)).astype(np.int32), n)
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["unit", "parts", "row", "side", "n"])
+    return run
+
 
+class Chunk(NamedTuple):
+    unit: np.ndarray
+    parts: np.ndarray
+    row: np.ndarray
+    side: np.ndarray
+    n: np.ndarray
 
-def _class_counts(row, sides: Sides) -> tuple[np.ndarray, np.ndarray, float]:
-    """(counts of the classes behind the word, before it, and of the word behind itself)"""
-    other, n, after = row
-    c = sides.class_of[other]
-    return (np.bincount(c[after], weights=n[after], minlength=sides.n_classes), np.bincount(c[~after], weights=n[~after], minlength=sides.n_classes), 0.0)
+
+def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            *ints, n = (batch.column(c)[i].as_py() for c in Chunk._fields)
+            yield Chunk(*(np.frombuffer(x, np.int32) for x in ints), np.frombuffer(n, np.int64))
+
+
+class Sides(NamedTuple):
+    """What a task needs for a turn."""
+    class_of: np.ndarray
+    matrix: np.ndarray
+    movable: np.ndarray
 
 
-def _each_unit(batch: pa.RecordBatch):
-    for unit, side in zip(batch.column("unit").to_pylist(), batch.column("sides")):
-        struct = side.values
-        yield unit, (struct.field("other").to_numpy(), struct.field("n").to_numpy().astype(float), struct.field("after").to_numpy(zero_copy_only=False))
+def _class_counts(chunk: Chunk, class_of: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts of the classes behind each unit, before it)"""
+    classes = np.append(class_of, class_of + n_classes)
+    n = np.bincount(chunk.row * (2 * n_classes) + classes[chunk.side], weights=chunk.n, minlength=len(chunk.unit) * 2 * n_classes)
+    both = n.reshape(len(chunk.unit), 2 * n_classes)
+    return both[:, :n_classes], both[:, n_classes:]
 
 
-def _rows_of_matrix(sent):
+def _matrices(sent):
+    """The class-bigram matrix of a task's units."""
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            found = [(unit, _class_counts(row, sent.value)[0].tolist()) for unit, row in _each_unit(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.float64()))],
-                                             ["unit", "behind"])
+        class_of, n_classes = sent.value
+        out = np.zeros((n_classes, n_classes))
+        for chunk in _each_chunk(batches):
+            np.add.at(out, class_of[chunk.unit], _class_counts(chunk, class_of, n_classes)[0])
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["matrix"])
     return run
 
 
@@ -211,42 +264,65 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def best_classes(matrix: np.ndarray, own: np.ndarray, behind: np.ndarray, before: np.ndarray, itself: np.ndarray,
+                 targets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class, gain in log likelihood over staying) of moving each word, and only it, to one of the first classes."""
+    at, behind, before = np.arange(len(own)), behind.copy(), before.copy()
+    behind[at, own] -= itself
+    before[at, own] -= itself
+    gain, flat = np.zeros(behind.shape), _xlogx(matrix)
+    for m, logs, far, near in ((matrix, flat, behind, before), (matrix.T, flat.T, before, behind)):
+        row, j = np.nonzero(far)
+        if not len(row):
+            continue
+        each, n, mine = np.arange(len(row)), far[row, j], j == own[row]
+        rest = m.T[j]  # what the classes have with class j without the word
+        rest[each, own[row]] -= n
+        rest[mine] -= near[row[mine]]
+        rest[each[mine], j[mine]] -= itself[row[mine]]
+        less = logs.T[j]
+        less[each, own[row]] = _xlogx(rest[each, own[row]])
+        less[mine] = _xlogx(rest[mine])
+        more = _xlogx(rest + n[:, None]) - less
+        more[each, j] = 0
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        gain[row[first]] += np.add.reduceat(more, first, axis=0)
+    corner = np.tile(np.diag(matrix), (len(own), 1))
+    corner[at, own] -= behind[at, own] + before[at, own] + itself
+    gain += _xlogx(corner + behind + before + itself[:, None]) - _xlogx(corner)
+    for margin, n in ((matrix.sum(1), behind.sum(1) + itself), (matrix.sum(0), before.sum(1) + itself)):
+        rest = np.tile(margin, (len(own), 1))
+        rest[at, own] -= n
+        gain -= _xlogx(rest + n[:, None]) - _xlogx(rest)
+    best = np.argmax(gain[:, :targets], axis=1)
+    return best, gain[at, best] - gain[at, own]
+
+
 def best_class(matrix: np.ndarray, own: int, behind: np.ndarray, before: np.ndarray, itself: float, targets: int) -> tuple[int, float]:
-    """(class, gain in log likelihood over staying) of moving one word to one of the first classes."""
-    behind, before = behind.copy(), before.copy()
-    behind[own] -= itself
-    before[own] -= itself
-    rest = matrix.copy()
-    rest[own, :] -= behind
-    rest[:, own] -= before
-    rest[own, own] -= itself
-    rows, columns = rest.sum(1), rest.sum(0)
-    n_row, n_column = behind.sum() + itself, before.sum() + itself
-    flat = _xlogx(rest)
-    right = _xlogx(rest + behind[None, :]) - flat
-    down = _xlogx(rest + before[:, None]) - flat
-    at = np.arange(len(rest))
-    corner = rest[at, at]
-    gain = (right.sum(1) - right[at, at] + down.sum(0) - down[at, at]
-            + _xlogx(corner + behind + before + itself) - flat[at, at]
-            - (_xlogx(rows + n_row) - _xlogx(rows)) - (_xlogx(columns + n_column) - _xlogx(columns)))
-    best = int(np.argmax(gain[:targets]))
-    return best, float(gain[best] - gain[own])
+    """best_classes of one word."""
+    best, gain = best_classes(matrix, np.array([own]), behind[None, :].astype(float), before[None, :].astype(float), np.array([float(itself)]), targets)
+    return int(best[0]), float(gain[0])
 
 
 def _proposals(sent, targets: int):
+    """Moves that gain; of units in parts, their counts instead."""
     def run(batches: Iterator[pa.RecordBatch]):
-        sides = sent.value
-        for batch in batches:
-            out = []
-            for unit, row in _each_unit(batch):
-                if sides.movable[unit]:
-                    behind, before, _ = _class_counts(row, sides)
-                    itself = float(row[1][row[2] & (row[0] == unit)].sum())
-                    best, gain = best_class(sides.matrix, int(sides.class_of[unit]), behind, before, itself, targets)
-                    if gain > 1e-6:
-                        out.append((unit, best))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], ["unit", "to"])
+        class_of, matrix, movable = sent.value
+        for chunk in _each_chunk(batches):
+            behind, before = _class_counts(chunk, class_of, len(matrix))
+            alike = chunk.side == chunk.unit[chunk.row]
+            itself = np.bincount(chunk.row[alike], weights=chunk.n[alike], minlength=len(chunk.unit))
+            whole = np.flatnonzero(movable[chunk.unit] & (chunk.parts == 1))
+            found = []
+            for lo in range(0, len(whole), ROWS_AT_ONCE):
+                at = whole[lo: lo + ROWS_AT_ONCE]
+                best, gain = best_classes(matrix, class_of[chunk.unit[at]], behind[at], before[at], itself[at], targets)
+                up = gain > 1e-6
+                found += zip(chunk.unit[at[up]].tolist(), best[up].tolist(), gain[up].tolist(), [None] * int(up.sum()))
+            for i in np.flatnonzero(movable[chunk.unit] & (chunk.parts > 1)):
+                found.append((int(chunk.unit[i]), -1, 0.0, np.concatenate([behind[i], before[i], itself[i: i + 1]]).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], ["unit", "to", "gain", "counts"])
     return run
 
 
@@ -254,35 +330,62 @@ def likelihood(matrix: np.ndarray) -> float:
     return float(_xlogx(matrix).sum() - _xlogx(matrix.sum(0)).sum() - _xlogx(matrix.sum(1)).sum())
 
 
-def exchange_classes(pairs: DataFrame, own: Vocabulary, classes: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each unit, class-bigram matrix); pairs has (x, y, n) over units, so its size is bounded by theirs."""
-    context, n_classes = pairs.sparkSession.sparkContext, classes + own.bands + 2
-    side = F.struct(F.col("y").alias("other"), "n", F.lit(True).alias("after"))
-    back = F.struct(F.col("x").alias("other"), "n", F.lit(False).alias("after"))
-    each = pairs.select(F.col("x").alias("unit"), side.alias("s")).unionByName(pairs.select(F.col("y").alias("unit"), back.alias("s")))
-    by_unit = common.written(each.groupBy("unit").agg(F.collect_list("s").alias("sides")), "class-pairs")
+def neighbours(rows: DataFrame, own: Vocabulary) -> DataFrame:
+    """Chunks of all units with their neighbours; as many as there are different neighbours, so they grow with the texts."""
+    seen = np.bincount(own.unit_of_rank, weights=own.counts, minlength=own.units)
+    seen[own.tail_unit], seen[own.end_unit] = own.tail_total, own.ends
+    parts = np.maximum(1, np.ceil(seen * PARTS / max(1, own.total))).astype(np.int64)
+    sent = rows.sparkSession.sparkContext.broadcast((own, parts))
+    each = rows.mapInArrow(_sides(sent), "unit long, part long, sides binary, times binary")
+    grouped = each.groupBy("unit", "part").agg(F.collect_list(F.struct("sides", "times")).alias("each"))
+    sent = rows.sparkSession.sparkContext.broadcast((own.units, parts))
+    return common.written(grouped.mapInArrow(_chunks(sent), "unit binary, parts binary, row binary, side binary, n binary"), "class-pairs")
+
+
+def exchange_classes(chunks: DataFrame, own: Vocabulary, classes: int, rounds: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each unit, class-bigram matrix); the turns end with the gain, or after `rounds` if given."""
+    context, n_classes = chunks.sparkSession.sparkContext, classes + own.bands + 2
     class_of = np.append(np.arange(own.exchange) % classes, np.arange(classes, n_classes))
 
     def matrix_of(class_of: np.ndarray) -> np.ndarray:
-        sent = context.broadcast(Sides(class_of, n_classes, None, None))
-        rows = by_unit.mapInArrow(_rows_of_matrix(sent), "unit long, behind array<double>").toArrow()
-        out = np.zeros((n_classes, n_classes))
-        for unit, behind in zip(rows.column("unit").to_pylist(), rows.column("behind").to_pylist()):
-            out[class_of[unit]] += behind
-        return out
+        sent = context.broadcast((class_of, n_classes))
+        found = chunks.mapInArrow(_matrices(sent), "matrix binary").collect()
+        sent.destroy()
+        return sum((np.frombuffer(r.matrix).reshape(n_classes, n_classes) for r in found), np.zeros((n_classes, n_classes)))
+
+    def moves_of(movable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(units, classes) of the moves that gain, the best first"""
+        sent = context.broadcast(Sides(class_of, matrix, movable))
+        found = chunks.mapInArrow(_proposals(sent, classes), "unit long, to long, gain double, counts binary").toArrow()
+        sent.destroy()
+        unit, to, gain = (found.column(c).to_numpy().copy() for c in ("unit", "to", "gain"))
+        counts: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(to < 0).tolist():
+            counts[int(unit[i])] = counts.get(int(unit[i]), 0) + np.frombuffer(found.column("counts")[i].as_py())
+        if counts:
+            parted, n = np.array(list(counts)), np.array(list(counts.values()))
+            best, gained = best_classes(matrix, class_of[parted], n[:, :n_classes], n[:, n_classes: -1], n[:, -1], classes)
+            unit, to, gain = np.append(unit[to >= 0], parted), np.append(to[to >= 0], best), np.append(gain[to >= 0], gained)
+        order = np.lexsort((unit, -gain))
+        order = order[gain[order] > 1e-6]
+        return unit[order], to[order]
 
     matrix = matrix_of(class_of)
-    for turn in range(rounds if own.exchange else 0):
-        movable = (np.arange(own.units) < own.exchange) & (np.arange(own.units) % 2 == turn % 2)
-        sent = context.broadcast(Sides(class_of, n_classes, matrix, movable))
-        moves = by_unit.mapInArrow(_proposals(sent, classes), "unit long, to long").collect()
-        tried = class_of.copy()
-        for unit, to in moves:
+    still, turn = 0, 0
+    while own.exchange and still < 2 and (rounds is None or turn < rounds):
+        unit, to = moves_of((np.arange(own.units) < own.exchange) & (np.arange(own.units) % 2 == turn % 2))
+        turn += 1
+        still += 1
+        while len(unit):
+            tried = class_of.copy()
             tried[unit] = to
-        after = matrix_of(tried)
-        if not moves or likelihood(after) <= likelihood(matrix):
-            break
-        class_of, matrix = tried, after
+            after = matrix_of(tried)
+            gained = likelihood(after) - likelihood(matrix)
+            if gained > 0:
+                class_of, matrix = tried, after
+                still = 0 if gained > GAIN * own.total else still
+                break
+            unit, to = unit[: len(unit) // 2], to[: len(unit) // 2]
     return class_of, matrix
 
 
@@ -302,15 +405,16 @@ class Model(NamedTuple):
         return np.log10(step), np.log10(own.counts / total[classes]) if len(classes) else np.zeros(0)
 
 
-def train(docs: DataFrame, text: str = "text", dictionary: int = DICTIONARY, exchange: int = EXCHANGE, classes: int = CLASSES,
-          rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model of all texts, and the counts (word hash, n) of the words outside its dictionary."""
+def train(docs: DataFrame, text: str = "text", dictionary: int = DICTIONARY, exchange: int | None = None, classes: int = CLASSES,
+          rounds: int | None = None) -> tuple[Model, DataFrame]:
+    """The model of all texts, and the counts (word hash, n) of the words outside its dictionary.
+
+    With `exchange`, only so many words are exchanged and the others have classes by the band of their rank.
+    """
     rows = docs.select(F.col(text).alias("text"))
     counts = common.written(rows.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    own, tail = vocabulary(counts, dictionary, exchange)
-    sent = rows.sparkSession.sparkContext.broadcast(own)
-    pairs = rows.mapInArrow(_pairs(sent), "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
-    return Model(own, *exchange_classes(pairs, own, classes, rounds)), tail
+    own, tail = vocabulary(counts, dictionary, dictionary if exchange is None else exchange)
+    return Model(own, *exchange_classes(neighbours(rows, own), own, classes, rounds)), tail
 
 
 SCORED = "_row {}, n_tokens long, in_dictionary long, base double, own double, words array<long>, times array<long>"

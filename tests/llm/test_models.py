@@ -89,6 +89,23 @@ def test_exchange_gain_is_the_change_of_the_likelihood():
     assert best == int(np.argmax(tried)) and math.isclose(gain, max(tried) - tried[class_of[w]], abs_tol=1e-6)
 
 
+def test_class_lm_clusters_words_beyond_the_frequent_ones(spark, monkeypatch):
+    rnd = random.Random(3)
+    kinds = [[f"{k}{i}" for i in range(1200)] for k in "abc"]  # a is followed by b, b by c, c by a
+    texts = [" ".join(rnd.choice(kinds[(p + d) % 3]) for p in range(300)) for d in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    model, tail = class_lm.train(docs, classes=3)
+    own = model.vocabulary
+    assert own.exchange == len(own.counts) > 3000
+    rank = own.table.find(class_lm._hashes([" ".join(w for kind in kinds for w in kind)])[0][:-1]).reshape(3, -1)
+    of_kind = [np.bincount(model.class_of[own.unit_of_rank[r[r >= 0]]], minlength=3) for r in rank]
+    assert sorted(int(c.argmax()) for c in of_kind) == [0, 1, 2] and all(c.max() >= 0.95 * c.sum() for c in of_kind)
+    monkeypatch.setattr(class_lm, "PARTS", 1 << 20)  # each word's neighbours in several parts
+    again, _ = class_lm.train(docs, classes=3)
+    assert np.array_equal(again.class_of, model.class_of) and np.array_equal(again.matrix, model.matrix)
+    assert again.matrix.sum() == own.total
+
+
 def test_language_id_held_out_accuracy_and_edges(spark):
     docs = documents(spark).select("doc_id", "text", "lang")
     model = language_id.train(docs.where(language_id.fold("doc_id", 3) != 1))
