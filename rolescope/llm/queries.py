@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolescope.llm import (class_lm, common, decontaminate, language_id, line_rules, packing, simhash, substring_dedup, suffix_dedup,
-                           token_files, url_filter)
+from rolescope.llm import (class_lm, collocations, common, conversation_trie, decontaminate, language_id, line_rules, packing, simhash,
+                           substring_dedup, suffix_dedup, token_counts, token_files, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +140,78 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"), least=10, overlap=50)
+    return collocations.best(out, 2000)
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS p FROM words WHERE len(w) > 0),
+grams AS (SELECT lang, k, array_slice(w, p, p + k - 1) AS g FROM starts, (SELECT unnest([1, 2, 3]) AS k) WHERE p + k - 1 <= len(w)),
+f AS (SELECT lang, k, g, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+parts AS (SELECT lang, k, g, a, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND a >= 10),
+keyed AS (SELECT *, g[1:cut] AS g1, g[cut + 1:k] AS g2 FROM parts),
+cuts AS (
+  SELECT c.lang, c.k, c.g, c.a, c.cut, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM keyed AS c JOIN f AS x ON x.lang = c.lang AND x.g = c.g1 JOIN f AS y ON y.lang = c.lang AND y.g = c.g2),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, g[1:2] AS g, a FROM f WHERE k = 3 AND a >= 10 UNION ALL SELECT lang, g[2:3], a FROM f WHERE k = 3 AND a >= 10),
+longest AS (SELECT lang, g, max(a) AS most FROM inside GROUP BY lang, g),
+kept AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM least LEFT JOIN longest USING (lang, g)
+  WHERE k = 3 OR most IS NULL OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a,
+       l::BIGINT AS l, r::BIGINT AS r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_trie.prefix_trie(conversation_trie.rebuilt(turns))
+
+
+ORACLES["op13_conversation_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] AS t FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, list(struct_pack(t := t, n := length(text)) ORDER BY turn NULLS FIRST, t) AS own FROM turns GROUP BY conv_id),
+bytes AS (SELECT conv_id, own, [ord(c)::BIGINT FOR c IN string_split(conv_id::VARCHAR, '')] AS b FROM convs),
+crc AS (
+  SELECT conv_id, own, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)),
+         lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)) AS c FROM bytes),
+heads AS (SELECT conv_id, own, xor(c, 4294967295::BIGINT) % 6 AS h FROM crc),
+rebuilt AS (
+  SELECT x.conv_id, coalesce(y.own, [])[1:h] || x.own[h + 1:] AS seq
+  FROM heads AS x LEFT JOIN convs AS y ON y.conv_id = x.conv_id - x.conv_id % 100),
+prefixes AS (SELECT conv_id, len(seq) AS size, d, coalesce(seq[d].n, 0) AS n, array_to_string([s.t FOR s IN seq[1:d]], '') AS node
+             FROM rebuilt, unnest(range(len(seq) + 1)) AS r(d)),
+nodes AS (
+  SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, d),
+children AS (SELECT left(node, (depth - 1) * 32) AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+marked AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+above AS (SELECT left(node, a * 32) AS node, n_children, n_convs, n FROM marked, unnest(range(depth + 1)) AS r(a)),
+sums AS (SELECT node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * n) AS saved_tokens FROM above GROUP BY node)
+SELECT m.conv_id, m.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, m.n_convs::BIGINT AS n_convs, m.n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM marked AS m JOIN sums USING (node) LEFT JOIN marked AS p ON m.depth > 0 AND p.node = left(m.node, (m.depth - 1) * 32)
+"""
