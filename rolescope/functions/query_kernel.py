@@ -46,7 +46,7 @@ class QuerySet:
         self.simple = set(simple)
         # other terms: a run of whole tokens, or a substring of the text
         self.loose = [(_run(x) if whole_word else x, self.term_id[x]) for x in terms if x not in self.simple]
-        self.loose = [(x, i) for x, i in self.loose if x]
+        self.loose = [(x, i) for x, i in self.loose if x or not whole_word]  # the empty term lies in every text
         self.lengths = sorted({len(x) for x in simple})
         # queries per term (a query counts as often as it lists the term), and per word
         listed, has_term, has_word = [[] for _ in terms], [[] for _ in terms], [[] for _ in words]

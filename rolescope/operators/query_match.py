@@ -1,16 +1,15 @@
 """Best search query per posting.
 
-A naive form pairs every posting with every query. Here the queries are cut into hashed blocks of bounded
-number and size. A block travels to the tasks and each posting is evaluated inside its own row, in Arrow
-batches: no join, no pair rows, and no text is shuffled. Terms are tested against the posting's distinct
-tokens instead of its whole text, which finds the same substrings because a term made of token characters
-can only lie inside one token. Whatever the number of blocks, the same evaluation runs; with several, only
-the winner of each block per posting is shuffled and compared.
+A naive form pairs every posting with every query as rows. Query sets of a bounded, checked size travel to the
+tasks instead: each posting is evaluated in its own row, in Arrow batches, with no join and no shuffle of texts.
+Terms are tested against the posting's distinct tokens instead of its whole text, which finds the same
+substrings because a term made of token characters can only lie inside one token. Larger sets are never
+collected: they become an inverted index (`query_index`) that meets the postings' tokens in joins. Both ways
+read the postings' texts once and give the same rows.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Iterator
 
@@ -19,9 +18,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rolescope.functions import text as t
 from rolescope.functions.query_kernel import Limits, query_set
+from rolescope.operators.query_index import match_by_index, prepare_queries
 from rolescope.settings import Settings
 
-BLOCK_QUERIES = 4096        # queries that travel to the tasks together
+BLOCK_QUERIES = 4096        # queries that may travel to the tasks
 BLOCK_BYTES = 8 << 20        # and the bytes of their texts, terms, titles and locations
 
 
@@ -87,7 +87,7 @@ BEST = (
 
 
 def _evaluator(block: DataFrame, whole_word: bool, s: Settings):
-    """Arrow UDF over the context columns for one block of queries."""
+    """Arrow UDF over the context columns for a bounded set of queries."""
     rows = [{"pid": r.pid, **r.q.asDict()} for r in block.collect()]
     shared = block.sparkSession.sparkContext.broadcast(rows)
     limits = Limits(s.match_score, s.match_title_overlap, s.match_overlap)
@@ -147,8 +147,10 @@ def match_queries(
 ) -> DataFrame:
     """Postings with the evaluation of their best query in `query_match`.
 
-    With a `profile_id` column in `queries`, one row per (posting, profile). `key` names the
-    columns that identify a posting row; it is only used when the queries fill several blocks.
+    Of equal scores the first query wins; a posting that no query hits has its first query with a score of 0.
+    With a `profile_id` column in `queries`, one row per (posting, profile); with `matched_only` only those
+    that pass. `key` names the columns that identify a posting row. Sets of more than `block_queries` queries
+    or BLOCK_BYTES take the index.
     """
     per_profile = "profile_id" in queries.columns
     bytes_of = lambda c: F.coalesce(F.octet_length(c), F.lit(0)) if c in queries.columns else F.lit(0)
@@ -159,30 +161,15 @@ def match_queries(
         out = _unfiltered(postings)
         return out.withColumn("profile_id", F.lit(None).cast("string")) if per_profile else out
 
-    structs = _query_structs(queries)
-    ready = postings.withColumn("_ctx", _posting_context())
-    n_blocks = max(1, math.ceil(n_queries / block_queries), math.ceil(n_bytes / BLOCK_BYTES))
-    block_of = F.pmod(F.xxhash64("pid", "query_ord"), F.lit(n_blocks))
-
-    def winners(block: int) -> DataFrame:
-        own = structs.where(block_of == block) if n_blocks > 1 else structs
-        found = ready.withColumn("_found", _evaluator(own, whole_word, settings)(*[
+    if n_queries > block_queries or n_bytes > BLOCK_BYTES:
+        rows = match_by_index(postings, prepare_queries(queries, whole_word, block_queries), key, settings, matched_only)
+    else:
+        evaluator = _evaluator(_query_structs(queries), whole_word, settings)
+        found = postings.withColumn("_ctx", _posting_context()).withColumn("_found", evaluator(*[
             F.col(f"_ctx.{n}") for n in ("title", "location", "probe", "full", "words", "n_tokens")]))
         # explode_outer: plain explode would infer a filter that evaluates the expression again
-        columns = postings.columns if n_blocks == 1 else key
-        return found.withColumn("_f", F.explode_outer("_found")).select(
-            *columns, F.col("_f.pid").alias("_pid"), F.col("_f.best").alias("_best"))
-
-    if n_blocks == 1:
-        rows = winners(0)
-    else:
-        parts = [winners(block) for block in range(n_blocks)]
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        best = every.where("_pid IS NOT NULL").groupBy(*key, "_pid").agg(F.max("_best").alias("_best"))
-        rows = postings.join(best, key)
-    rows = rows.withColumn("query_match", _public(F.col("_best"))).drop("_best")
+        rows = found.withColumn("_f", F.explode_outer("_found")).select(
+            *postings.columns, F.col("_f.pid").alias("_pid"), _public(F.col("_f.best")).alias("query_match"))
     rows = rows.withColumnRenamed("_pid", "profile_id") if per_profile else rows.drop("_pid")
     return rows.where("query_match.matched") if matched_only else rows
 

@@ -247,3 +247,25 @@ def test_more_queries_than_a_block_lose_none(spark):
     posts = postings(spark, [dict(title="x", description="some target299 here"), dict(title="y", description="a target5")])
     got = query_match.match_queries(posts, q, ["ord"], whole_word=True, block_queries=40).collect()
     assert {r.ord: r.query_match.best_query for r in got} == {0: "target299", 1: "target5"}
+
+
+MATCHED = ["matched", "best_query", "query_ord", "best_query_score", "best_query_similarity", "best_query_title_score",
+           "best_query_domain_score", "best_query_location_score", "best_query_term_overlap", "decision_reason"]
+
+
+@pytest.mark.parametrize("whole_word", [False, True])
+def test_index_of_many_queries_equals_the_evaluation_in_the_row(spark, whole_word):
+    random.seed(8)
+    words = [a + b for a in ("rob", "vis", "sl", "data", "x", "c++", "ber") for b in ("", "ot", "ion", "am", "lin", "3", "ö")]
+    odd = ["", " ", "—", "node.js", "a b", "z" * 700, "Über", "robot sl"]
+    text = lambda n: " ".join(random.choice(words + odd[:5]) for _ in range(n))
+    queries = [(random.choice("ab"), i, text(random.randint(0, 5)), random.choice([None, "", " ", text(1), "—"]), random.choice([None, "", "Ber", "ö lin"]),
+                random.choice([None, [], [text(1), text(2)], [random.choice(odd), "robot", "robot"]])) for i in range(5000)]
+    q = spark.createDataFrame(queries, "profile_id string, query_ord int, text string, title string, location string, terms array<string>")
+    posts = postings(spark, [dict(title=text(3), location=random.choice(["", "Berlin — ö"]), description=text(random.choice([0, 3, 30])) + random.choice(["", " " + "y" * 600 + "z" * 900]),
+                                  required_skills=[text(1)], domain_signals=[text(2)]) for _ in range(25)] + [dict(title="", description="", location="")])
+    rows = lambda **options: {(r.ord, r.profile_id): tuple(r.query_match[c] for c in MATCHED) for r in query_match.match_queries(
+        posts.repartition(3), q, ["ord"], whole_word=whole_word, **options).collect()}
+    in_row, by_index = rows(block_queries=10_000), rows()
+    assert len(in_row) == 52 and by_index == in_row
+    assert rows(matched_only=True) == {k: v for k, v in in_row.items() if v[0]}
