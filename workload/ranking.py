@@ -212,12 +212,41 @@ def merge_by_url(spark, d):
     return merged.select(F.col("ord").alias("doc_id"), F.col("source_url").alias("url"))
 
 
-@query("near_dup_queries")
-def near_dup_queries(spark, d):
+def near_dup_sql(threshold: float) -> str:
+    """Rows in order; one goes if an earlier row that stays is near it. Only rows with a near one before them are walked."""
+    return f"""
+with recursive lines as (
+  select item_id ord, text from benchmark union all select doc_id + 1000000, split_part(text, chr(10), 1) from documents),
+r as materialized (select ord, {q.norm('text')} n, list_distinct({q.tokens('text')}) toks from lines),
+words as materialized (select ord, len(toks) n, unnest(toks) w from r),
+common as (select a.ord earlier, b.ord, a.n na, b.n nb, count(*) c from words a join words b on a.w = b.w and a.ord < b.ord group by all),
+pairs as (
+  select ord, earlier from common where c::DOUBLE / (na + nb - c) >= {threshold}
+  union select b.ord, a.ord from r a join r b on a.n = b.n and a.ord < b.ord),
+steps as materialized (select ord, list(earlier) before, row_number() over (order by ord) i from pairs group by ord),
+walk(i, gone) as (
+  select 0::BIGINT, []::BIGINT[] union all
+  select s.i, case when len(list_filter(s.before, lambda x: not list_contains(w.gone, x))) > 0 then list_append(w.gone, s.ord) else w.gone end
+  from walk w join steps s on s.i = w.i + 1),
+dropped as (select unnest(gone) ord from walk where i = (select max(i) from walk))
+select ord, text from lines anti join dropped using (ord)"""
+
+
+def _near_dup(spark, d, threshold):
     """Benchmark items and document first lines, near-duplicates removed greedily in order."""
     items = b.table(spark, d, "benchmark").select(F.col("item_id").alias("ord"), "text")
     lines = b.wide(spark, d, "documents").select((F.col("doc_id") + 1_000_000).alias("ord"), b.first_line().alias("text"))
-    return dedupe.near_duplicates(items.unionByName(lines), "text", "ord")
+    return dedupe.near_duplicates(items.unionByName(lines), "text", "ord", threshold=threshold)
+
+
+@query("near_dup_queries", near_dup_sql(0.82))
+def near_dup_queries(spark, d):
+    return _near_dup(spark, d, 0.82)
+
+
+@query("near_dup_queries_loose", near_dup_sql(0.55))
+def near_dup_queries_loose(spark, d):
+    return _near_dup(spark, d, 0.55)
 
 
 @query("latest_within_ttl", """
