@@ -11,7 +11,8 @@ read the postings' texts once and give the same rows.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -136,9 +137,40 @@ def _public(best: Column) -> Column:
     )
 
 
+class PreparedQueries(NamedTuple):
+    """A query set made ready once, for any number of posting tables or batches of a stream."""
+
+    find: Callable[[DataFrame, list[str], Settings, bool], DataFrame] | None  # None without queries
+    per_profile: bool
+
+
+def prepare(queries: DataFrame, settings: Settings = Settings(), whole_word: bool = False, block_queries: int = BLOCK_QUERIES) -> PreparedQueries:
+    """What `match_queries` needs of a query table: a bounded set is sent to the tasks, a larger one is indexed."""
+    per_profile = "profile_id" in queries.columns
+    bytes_of = lambda c: F.coalesce(F.octet_length(c), F.lit(0)) if c in queries.columns else F.lit(0)
+    each = bytes_of("text") + bytes_of("title") + bytes_of("location") + F.coalesce(
+        F.aggregate("terms", F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
+    n_queries, n_bytes = queries.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    if n_queries == 0:
+        return PreparedQueries(None, per_profile)
+    if n_queries > block_queries or n_bytes > BLOCK_BYTES:
+        index = prepare_queries(queries, whole_word, block_queries)
+        return PreparedQueries(lambda postings, key, s, matched_only: match_by_index(postings, index, key, s, matched_only), per_profile)
+    evaluator = _evaluator(_query_structs(queries), whole_word, settings)
+
+    def in_row(postings: DataFrame, key: list[str], s: Settings, matched_only: bool) -> DataFrame:
+        found = postings.withColumn("_ctx", _posting_context()).withColumn("_found", evaluator(*[
+            F.col(f"_ctx.{n}") for n in ("title", "location", "probe", "full", "words", "n_tokens")]))
+        # explode_outer: plain explode would infer a filter that evaluates the expression again
+        return found.withColumn("_f", F.explode_outer("_found")).select(
+            *postings.columns, F.col("_f.pid").alias("_pid"), _public(F.col("_f.best")).alias("query_match"))
+
+    return PreparedQueries(in_row, per_profile)
+
+
 def match_queries(
     postings: DataFrame,
-    queries: DataFrame,
+    queries: DataFrame | PreparedQueries,
     key: list[str],
     settings: Settings = Settings(),
     whole_word: bool = False,
@@ -150,27 +182,14 @@ def match_queries(
     Of equal scores the first query wins; a posting that no query hits has its first query with a score of 0.
     With a `profile_id` column in `queries`, one row per (posting, profile); with `matched_only` only those
     that pass. `key` names the columns that identify a posting row. Sets of more than `block_queries` queries
-    or BLOCK_BYTES take the index.
+    or BLOCK_BYTES take the index. A set that `prepare` made ready has its options fixed there.
     """
-    per_profile = "profile_id" in queries.columns
-    bytes_of = lambda c: F.coalesce(F.octet_length(c), F.lit(0)) if c in queries.columns else F.lit(0)
-    each = bytes_of("text") + bytes_of("title") + bytes_of("location") + F.coalesce(
-        F.aggregate("terms", F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
-    n_queries, n_bytes = queries.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
-    if n_queries == 0:
+    ready = queries if isinstance(queries, PreparedQueries) else prepare(queries, settings, whole_word, block_queries)
+    if ready.find is None:
         out = _unfiltered(postings)
-        return out.withColumn("profile_id", F.lit(None).cast("string")) if per_profile else out
-
-    if n_queries > block_queries or n_bytes > BLOCK_BYTES:
-        rows = match_by_index(postings, prepare_queries(queries, whole_word, block_queries), key, settings, matched_only)
-    else:
-        evaluator = _evaluator(_query_structs(queries), whole_word, settings)
-        found = postings.withColumn("_ctx", _posting_context()).withColumn("_found", evaluator(*[
-            F.col(f"_ctx.{n}") for n in ("title", "location", "probe", "full", "words", "n_tokens")]))
-        # explode_outer: plain explode would infer a filter that evaluates the expression again
-        rows = found.withColumn("_f", F.explode_outer("_found")).select(
-            *postings.columns, F.col("_f.pid").alias("_pid"), _public(F.col("_f.best")).alias("query_match"))
-    rows = rows.withColumnRenamed("_pid", "profile_id") if per_profile else rows.drop("_pid")
+        return out.withColumn("profile_id", F.lit(None).cast("string")) if ready.per_profile else out
+    rows = ready.find(postings, key, settings, matched_only)
+    rows = rows.withColumnRenamed("_pid", "profile_id") if ready.per_profile else rows.drop("_pid")
     return rows.where("query_match.matched") if matched_only else rows
 
 

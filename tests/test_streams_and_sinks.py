@@ -32,6 +32,29 @@ def test_stream_match_equals_batch_and_survives_restart(spark, tmp_path):
     assert got == want and len(glob.glob(out + "/batch=*")) == 2
 
 
+def test_stream_match_manifest_changed_queries_and_final_table(spark, tmp_path):
+    rows = postings(spark, [FIT, dict(title="Cook"), dict(title="Slam")])
+    src, out, state, asked = (str(tmp_path / x) for x in ("src", "out", "state", "queries"))
+    seen = []
+
+    def run(n, text):
+        rows.where(F.col("ord") == n).coalesce(1).write.mode("append").parquet(src)
+        queries(spark).limit(1).withColumn("text", F.lit(text)).write.mode("overwrite").parquet(asked)
+        stream = spark.readStream.schema(rows.schema).parquet(src)
+        jobs.stream_match(stream, spark.read.parquet(asked), out, state, ["ord"], trigger={"availableNow": True},
+                          on_partial=lambda part, batch: seen.append((batch, part.count()))).awaitTermination()
+        return {r.ord: r.query_match.best_query for r in jobs.read_matches(spark, out).collect()}
+
+    assert run(0, "slam") == {0: "slam"}
+    assert run(1, "cook") == {0: "slam", 1: "cook"} and seen == [(0, 1), (1, 1)]
+    # a part without an entry of the manifest was never finished
+    spark.read.parquet(f"{out}/batch=0").write.parquet(f"{out}/batch=7")
+    assert jobs.read_matches(spark, out).count() == 2
+    assert {r.ord for r in jobs.finish_matches(spark, out).collect()} == {0, 1} == {r.ord for r in jobs.read_matches(spark, out).collect()}
+    assert run(2, "robot") == {0: "slam", 1: "cook", 2: "robot"}
+    assert jobs.finish_matches(spark, out).count() == 3 == jobs.finish_matches(spark, out).count()
+
+
 def test_fresh_requests_match_a_walk(spark, tmp_path):
     seconds = {"a": [0, 10, 59, 60, 61, 119, 121, 500], "b": [5, 5, 70]}
     rows = spark.createDataFrame([(k, float(s) + 1e6) for k, v in seconds.items() for s in v], "url string, s double").select(

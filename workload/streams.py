@@ -60,7 +60,7 @@ def stream_match(spark, d):
     out, state = scratch(spark, "match"), scratch(spark, "match-state")
     jobs.stream_match(stream_postings(spark, d), b.queries(spark, d), out, state, ["ord"],
                       trigger={"availableNow": True}).awaitTermination()
-    rows = spark.read.parquet(out)
+    rows = jobs.finish_matches(spark, out)
     return rows.select(F.col("ord").alias("doc_id"), "query_match.matched", F.col("query_match.best_query_score").alias("score"))
 
 
