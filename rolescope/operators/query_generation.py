@@ -8,9 +8,6 @@ from rolescope import fixed_values as V
 from rolescope.functions import text as t
 from rolescope.settings import Settings
 
-MAX_TITLES, MAX_DOMAINS, MAX_SKILLS, MAX_PLACES = 15, 8, 6, 6
-WIDE_TITLES, WIDE_DOMAINS, WIDE_PLACES = 10, 6, 4
-
 
 def expand_titles(
     titles: Column, role_families: Column, families: dict[str, list[str]] = V.ROLE_FAMILIES
@@ -83,49 +80,59 @@ def drop_near_duplicates(queries: Column, threshold: float, limit: int) -> Colum
         t.let(prepared, lambda items: F.aggregate(items, F.slice(items, 1, 0), step)), lambda k: k["q"])
 
 
+def round_robin(lists: Column) -> Column:
+    """The items of an array of lists, by their place in their list and then by list."""
+    placed = F.flatten(F.transform(lists, lambda items, i: F.transform(items, lambda x, j: F.struct(j.alias("j"), i.alias("i"), x.alias("x")))))
+    return F.transform(F.array_sort(placed), lambda p: p["x"])
+
+
 def generate_queries(profiles: DataFrame, settings: Settings = Settings(), broader: list[str] = V.BROADER_QUERIES) -> DataFrame:
     """One row per (profile, query) in priority order, at most `query_limit` per profile.
 
-    Every list is capped before it is combined, so a profile yields a few hundred candidates
+    By default one title's queries come before the next title's, so that a low limit covers few titles; with
+    `query_order` "round_robin" the lists of the titles, the wider, the broader and the German queries take turns.
+    Every list is cut at its length in the settings before it is combined, so a profile yields a few hundred candidates
     inside its own row: nothing is joined and nothing is shuffled.
     """
     strings = lambda values: t.string_array(list(values))
     held = F.coalesce(F.col("role_families"), F.array()).cast("array<string>")
     base = t.unique_ordered(F.concat(strings(settings.target_titles), strings(settings.job_titles), held))
-    titles = F.slice(expand_titles(base, held), 1, MAX_TITLES)
+    titles = F.slice(expand_titles(base, held), 1, settings.max_titles)
     domains = F.slice(expand_domains(F.concat(
         F.coalesce(F.col("domain_strengths"), F.array()).cast("array<string>"),
-        strings(settings.include_keywords))), 1, MAX_DOMAINS)
+        strings(settings.include_keywords))), 1, settings.max_domains)
     skills = F.slice(t.unique_ordered(F.concat(
         F.transform(F.coalesce(F.col("skills"), F.array()), lambda s: s["name"]),
-        F.coalesce(F.col("tools"), F.array()), F.coalesce(F.col("programming_languages"), F.array()))), 1, MAX_SKILLS)
+        F.coalesce(F.col("tools"), F.array()), F.coalesce(F.col("programming_languages"), F.array()))), 1, settings.max_skills)
     places = F.slice(t.unique_ordered(
-        strings(settings.preferred_locations + settings.search_locations)), 1, MAX_PLACES)
+        strings(settings.preferred_locations + settings.search_locations)), 1, settings.max_places)
 
     def combine(c: Column) -> Column:
         def with_each(values: Column, why: str, is_place: bool = False):
             return lambda title: F.transform(values, lambda v: _query(
                 [title, v], title, v if is_place else None, why))
 
-        per_title = F.flatten(F.transform(c["titles"], lambda title: F.concat(
+        per_title = F.transform(c["titles"], lambda title: F.concat(
             F.array(_query([title], title, None, "exact title")),
             with_each(c["domains"], "title + domain")(title),
             with_each(c["skills"], "title + skill")(title),
             with_each(c["places"], "title + location", True)(title),
-        )))
-        wide = F.flatten(F.flatten(F.transform(F.slice(c["titles"], 1, WIDE_TITLES), lambda title: F.transform(
-            F.slice(c["domains"], 1, WIDE_DOMAINS), lambda domain: F.transform(
-                F.slice(c["places"], 1, WIDE_PLACES), lambda place: _query(
+        ))
+        wide = F.flatten(F.flatten(F.transform(F.slice(c["titles"], 1, settings.wide_titles), lambda title: F.transform(
+            F.slice(c["domains"], 1, settings.wide_domains), lambda domain: F.transform(
+                F.slice(c["places"], 1, settings.wide_places), lambda place: _query(
                     [title, domain, place], title, place, "title + domain + location"))))))
-        parts = [per_title, wide]
+        parts = [wide]
         if broader:
             parts.append(F.transform(strings(broader), lambda text: _query(
                 [text], F.lit(None).cast("string"), None, "broader concept combination")))
         if settings.german_variants:
-            parts.append(F.flatten(F.transform(F.slice(c["titles"], 1, WIDE_TITLES), lambda title: F.transform(
+            parts.append(F.flatten(F.transform(F.slice(c["titles"], 1, settings.wide_titles), lambda title: F.transform(
                 F.filter(german_variants(title), lambda v: v != title),
                 lambda v: _query([v], title, None, "german title variant", "de")))))
-        return drop_near_duplicates(F.concat(*parts), settings.near_duplicate_threshold, settings.query_limit)
+        lists = F.concat(per_title, F.array(*parts))
+        ordered = round_robin(lists) if settings.query_order == "round_robin" else F.flatten(lists)
+        return drop_near_duplicates(ordered, settings.near_duplicate_threshold, settings.query_limit)
 
     lists = F.struct(
         titles.alias("titles"), domains.alias("domains"), skills.alias("skills"), places.alias("places"))

@@ -25,6 +25,14 @@ class Settings:
     query_limit: int = 40
     german_variants: bool = False
     near_duplicate_threshold: float = 0.82
+    query_order: str = "by_title"  # or "round_robin": the first of every list, then the second of every list, and so on
+    max_titles: int = 15
+    max_domains: int = 8
+    max_skills: int = 6
+    max_places: int = 6
+    wide_titles: int = 10  # for title + domain + location, and for German variants
+    wide_domains: int = 6
+    wide_places: int = 4
     # query match
     match_score: float = 0.32
     match_title_overlap: float = 0.20

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from rolescope import sinks
+from rolescope import fixed_values as V, sinks
 from rolescope.functions import text as t
 from rolescope.operators import dedupe, normalize, query_generation, ranking, scoring
 from rolescope.operators.structure import apply_insights
@@ -315,9 +317,53 @@ def keyword_pack(spark, d):
     return sinks.keyword_pack(b.profiles(spark, d)).select("profile_id", "section", "value", "ord")
 
 
-@query("generate_queries")
+def generated_sql(limit: int, order: str) -> str:
+    """Combinations in order, then a walk over them that keeps what is not near to what was kept."""
+    unique = lambda xs: f"list_filter({xs}, lambda w, i: w <> '' and list_position(list_transform({xs}, lambda y: {q.norm('y')}), {q.norm('w')}) = i)"
+    return f"""
+with recursive {q.PROFILES},
+lists as (
+  select profile_id, {unique(f"list_concat({q.arr(S.target_titles + S.job_titles)}, [role])")}[1:15] titles,
+    {unique(f"list_concat(domains, {q.arr(S.include_keywords)})")}[1:8] domains, {unique("skills")}[1:6] skills,
+    {q.arr(S.preferred_locations + S.search_locations)} places from profiles),
+titles as (select *, unnest(titles) title, generate_subscripts(titles, 1) ti from lists),
+made as (
+  select profile_id, ti l, 0 a, 0 c, 0 e, title text, title, null place, 'exact title' why from titles
+  union all select profile_id, ti, 1, generate_subscripts(domains, 1), 0, title || ' ' || unnest(domains), title, null, 'title + domain' from titles
+  union all select profile_id, ti, 2, generate_subscripts(skills, 1), 0, title || ' ' || unnest(skills), title, null, 'title + skill' from titles
+  union all select profile_id, ti, 3, generate_subscripts(places, 1), 0, title || ' ' || unnest(places), title, unnest(places), 'title + location' from titles
+  union all select profile_id, 1000, ti, di, generate_subscripts(places, 1), title || ' ' || domain || ' ' || unnest(places[1:4]), title, unnest(places[1:4]), 'title + domain + location'
+    from (select *, unnest(domains[1:6]) domain, generate_subscripts(domains[1:6], 1) di from titles where ti <= 10)
+  union all select profile_id, 2000, unnest(generate_series(1, {len(V.BROADER_QUERIES)})), 0, 0, unnest({q.arr(V.BROADER_QUERIES)}), null, null, 'broader concept combination' from profiles),
+placed as (select *, row_number() over (partition by profile_id, l order by a, c, e) j from made),
+steps as materialized (select profile_id, text, title, place, why, {q.norm('text')} n, list_distinct({q.tokens('text')}) toks,
+  row_number() over (partition by profile_id order by {order}) i from placed),
+walk(profile_id, i, kept) as (
+  select profile_id, 0::BIGINT, []::STRUCT(n VARCHAR, toks VARCHAR[], i BIGINT)[] from profiles union all
+  select w.profile_id, s.i, case when len(w.kept) >= {limit} or len(list_filter(w.kept, lambda k: k.n = s.n or (len(k.toks) > 0 and len(s.toks) > 0
+      and len(list_intersect(k.toks, s.toks))::DOUBLE / (len(k.toks) + len(s.toks) - len(list_intersect(k.toks, s.toks))) >= 0.82))) > 0
+    then w.kept else list_append(w.kept, {{'n': s.n, 'toks': s.toks, 'i': s.i}}) end
+  from walk w join steps s on s.profile_id = w.profile_id and s.i = w.i + 1),
+last as (select profile_id, max_by(kept, i) kept from walk group by profile_id),
+chosen as (select profile_id, unnest(kept).i i, generate_subscripts(kept, 1) - 1 query_ord from last)
+select profile_id, query_ord, n as text, title, place location, 'en' as language, why rationale, array_to_string({q.tokens('n')}, '|') terms
+from chosen join (select profile_id, i, regexp_replace(trim(text), '\\s+', ' ', 'g') n, title, place, why from steps) using (profile_id, i)"""
+
+
+def _generated(spark, d, settings):
+    rows = query_generation.generate_queries(b.profiles(spark, d), settings)
+    return rows.withColumn("terms", F.array_join("terms", "|"))
+
+
+@query("generate_queries", generated_sql(40, "l, j"))
 def generate_queries(spark, d):
-    return query_generation.generate_queries(b.profiles(spark, d), S)
+    return _generated(spark, d, S)
+
+
+@query("generate_queries_in_turn", generated_sql(25, "j, l"))
+def generate_queries_in_turn(spark, d):
+    """The lists of the titles, the wider and the broader queries take turns, with room for fewer queries."""
+    return _generated(spark, d, replace(S, query_order="round_robin", query_limit=25))
 
 
 @query("expand_domains", f"""
