@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rolescope.plans.spread import rank_rows
+
 COUNTERS = ["raw_jobs_discovered", "jobs_matched", "jobs_filtered_out"]
 
 
@@ -28,6 +30,31 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     return runs.groupBy("source").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(c) for c in COUNTERS])
 
 
+def merge_lists(rows: DataFrame, by: list[str], run: str = "run_ord", ord_col: str = "ord") -> DataFrame:
+    """Lists of several runs as one: rows of a later run stand behind those of an earlier one, numbered anew from 0.
+
+    `ord_col` orders a run's rows; (run, ord) is unique within a group. Postings, notes, details and diagnostics
+    merge alike. A group may be of any size: ranges of it are numbered side by side.
+    """
+    ranked = rank_rows(rows.withColumn("_was", F.col(ord_col)), by, [(run, False)], "_was", "_rank")
+    return ranked.withColumn(ord_col, (F.col("_rank") - 1).cast("long")).drop("_rank", "_was")
+
+
+def merge_debug(entries: DataFrame, by: list[str], run: str = "run_ord") -> DataFrame:
+    """Debug maps of several runs as one, by (group, key): lists are joined, anything else is replaced by the later.
+
+    `entries` has one row per list element (ord from 0) or scalar (ord null), with key and value. A list after a
+    scalar replaces it, so a key keeps what follows its last scalar, or that scalar if nothing follows.
+    """
+    group = [*by, "key"]
+    last = entries.groupBy(*group).agg(F.max(run).alias("_last"), F.max(F.when(F.col("ord").isNull(), F.col(run))).alias("_scalar"))
+    rows = entries.join(last, group)
+    scalar = F.coalesce(F.col("_scalar") == F.col("_last"), F.lit(False))
+    kept = rows.where(F.when(scalar, F.col(run) == F.col("_last")).otherwise(F.col("_scalar").isNull() | (F.col(run) > F.col("_scalar"))))
+    kept = kept.drop("_last", "_scalar")
+    return merge_lists(kept.where("ord is not null"), group, run).unionByName(kept.where("ord is null")).drop(run)
+
+
 def report_totals(stats: DataFrame, deduped: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
     """Raw and filtered are summed before deduplication, discovered counts deduplicated rows."""
     totals = stats.agg(
@@ -87,3 +114,17 @@ def discovery_counts(boards: DataFrame, hits: DataFrame) -> DataFrame:
         F.count("*").alias("candidate_company_count"),
         *[F.count_if(F.col(f)).alias(f.removeprefix("has_") + "_hits") for f in flags],
     ).withColumn("search_result_count", n_hits)
+
+
+def discovery_metadata(asked: DataFrame, boards: DataFrame, hits: DataFrame, warnings: DataFrame) -> DataFrame:
+    """What a discovery run asked and found, a row per profile of `asked` (summary, keywords, regions, queries).
+
+    `warnings` has (ord, warning); they are listed in order, with their number, beside the counts of the boards.
+    """
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "warning"))), lambda w: w["warning"])
+    told = warnings.agg(F.count("*").alias("search_warning_count"), listed.alias("search_warnings"))
+    found = discovery_counts(boards, hits)
+    one = found.join(F.broadcast(told))  # one row beside one row
+    return asked.select(
+        *[c for c in ("profile_id",) if c in asked.columns], F.col("summary").alias("profile_summary"), F.col("keywords").alias("keywords_used"),
+        F.col("regions").alias("regions_used"), F.col("queries").alias("queries_used")).join(F.broadcast(one))

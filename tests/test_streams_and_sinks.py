@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from rolescope import fixed_values as V, schemas as S, sinks
-from rolescope.operators import dedupe, query_match, ranking, scoring, stats
+from rolescope.operators import dedupe, query_match, ranking, scoring, state, stats
 from rolescope.settings import Settings
 from rolescope.sources import files
 from rolescope.streaming import jobs
@@ -164,3 +164,52 @@ def test_posting_validation_and_settings(spark):
     bad = postings(spark, [dict(title=None)]).withColumn("work_mode", F.lit("moon"))
     assert set(S.violations(bad).first().violations) == {"title missing", "work_mode invalid"}
     assert Settings().query_limit == 40
+
+
+def test_merged_debug_maps_follow_the_fold(spark):
+    random.seed(9)
+    runs = [{k: random.choice([[f"{r}{k}{i}" for i in range(random.randint(1, 3))], f"s{r}{k}"]) for k in "abcd" if random.random() < 0.7} for r in range(6)]
+    merged = {}
+    for run in runs:
+        for k, v in run.items():
+            old = merged.get(k)
+            merged[k] = old + v if isinstance(old, list) and isinstance(v, list) else v
+    rows = []
+    for r, run in enumerate(runs):
+        for k, v in run.items():
+            rows += [("s", r, k, i, x) for i, x in enumerate(v)] if isinstance(v, list) else [("s", r, k, None, v)]
+    df = spark.createDataFrame(rows, "source string, run_ord int, key string, ord long, value string").repartition(4)
+    got = {}
+    for r in stats.merge_debug(df, ["source"]).orderBy("key", "ord").collect():
+        if r.ord is None:
+            got[r.key] = r.value
+        else:
+            got.setdefault(r.key, []).append(r.value)
+            assert r.ord == len(got[r.key]) - 1
+    assert got == merged
+    assert stats.merge_debug(df.limit(0), ["source"]).count() == 0
+
+
+def test_state_versions_and_reasons(spark, tmp_path):
+    target, schema = str(tmp_path / "state"), "id long, fingerprint string"
+    assert state.read_state(spark, target, schema).count() == 0
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], schema)
+    assert state.commit_state(first, target) == 1
+    inputs = spark.createDataFrame([(1, "a"), (2, "B"), (3, "c"), (None, "n"), (None, "m")], schema)
+    outputs = spark.createDataFrame([(2,), (None,)], "id long")
+    pending = state.pending_inputs(inputs, state.read_state(spark, target, schema), outputs, ["id"])
+    assert {(r.id, r.fingerprint, r.reason) for r in pending.collect()} == {(1, "a", "lost"), (2, "B", "changed"), (3, "c", "new"), (None, "m", "changed")}
+    after = state.with_finished(state.read_state(spark, target, schema), pending.drop("reason"), ["id"])
+    # a version without its commit is not read
+    after.limit(1).write.parquet(f"{target}/versions/9")
+    assert {tuple(r) for r in state.read_state(spark, target, schema).collect()} == {(1, "a"), (2, "b"), (None, "n")}
+    assert state.commit_state(after, target) == 2
+    assert {tuple(r) for r in state.read_state(spark, target, schema).collect()} == {(1, "a"), (2, "B"), (3, "c"), (None, "m")}
+
+
+def test_discovery_metadata_without_warnings(spark):
+    asked = spark.createDataFrame([("p", "s", ["k"], ["r"], ["q"])], "profile_id string, summary string, keywords array<string>, regions array<string>, queries array<string>")
+    boards = spark.createDataFrame([(True, False), (False, False)], "has_lever boolean, has_any_board boolean")
+    none = spark.createDataFrame([], "ord long, warning string")
+    r = stats.discovery_metadata(asked, boards, spark.range(7), none).first()
+    assert (r.candidate_company_count, r.lever_hits, r.search_result_count, r.search_warning_count, r.search_warnings) == (2, 1, 7, 0, [])

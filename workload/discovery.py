@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from rolescope import fixed_values as V
+from rolescope.functions import text as t
 from rolescope.functions.urls import url_host
-from rolescope.operators import crawl, discovery as disc, stats
+from rolescope.operators import crawl, discovery as disc, query_generation, stats
+from rolescope.settings import Settings
 from rolescope.sources.pages import career_site_postings
 from workload import query, sql as q, tables as b
 
@@ -137,6 +139,36 @@ def discovery_counts(spark, d):
     return stats.discovery_counts(boards(spark, d), hits(spark, d))
 
 
+WORDS = "list_filter(list_concat(domains, skills), lambda w: length(w) >= 3)[1:14]"
+FIXED = ", ".join("'" + x.replace("'", "''") + "'" for x in V.DISCOVERY_QUERIES)
+
+
+@query("discovery_metadata", f"""
+with {q.PROFILES}, {PROBES}, x as (select company, {BEST} from cos c left join probes p on p.slug = regexp_replace(c.slug, '[^A-Za-z0-9\\-&]', '', 'g') group by company),
+counts as (select count(*) candidate_company_count, count(greenhouse_url) greenhouse_hits, count(lever_url) lever_hits, count(ashby_url) ashby_hits,
+  (select count(*) from pages) search_result_count from x),
+told as (select count(*) search_warning_count, string_agg('no footer: ' || url, '|' order by page_id) search_warnings from pages where not contains(html, '<footer>')),
+k as (select profile_id, role, {WORDS} ks from profiles), k2 as (select profile_id, unnest(ks) keyword, generate_subscripts(ks, 1) ki from k),
+m as (select profile_id, string_agg(keyword || tail || region, '|' order by ki, ri, ti) made from k2, (values (1, 'Germany'), (2, 'Europe')) r(ri, region),
+  (values (1, ' companies '), (2, ' jobs '), (3, ' company careers '), (4, ' robotics company '), (5, ' ai company ')) t(ti, tail) group by profile_id)
+select k.profile_id, role profile_summary, array_to_string(ks, '|') keywords_used, 'Germany|Europe' regions_used,
+  sha256(concat_ws('|', made, array_to_string([{FIXED}], '|'))) queries_used, counts.*, search_warning_count, coalesce(search_warnings, '') search_warnings
+from k left join m using (profile_id), counts, told""")
+def discovery_metadata(spark, d):
+    keywords = query_generation.discovery_keywords(F.concat("domain_strengths", F.transform("skills", lambda s: s["name"])))
+    regions = t.string_array(query_generation.discovery_regions(Settings()))
+    asked = b.profiles(spark, d).select(
+        "profile_id", F.get("role_families", F.lit(0)).alias("summary"), keywords.alias("keywords"), regions.alias("regions"),
+        query_generation.discovery_queries(keywords, regions, 100_000).alias("queries"))
+    warnings = b.wide(spark, d, "pages").where(~F.contains("html", F.lit("<footer>"))).select(
+        F.col("page_id").alias("ord"), F.concat(F.lit("no footer: "), "url").alias("warning"))
+    made = stats.discovery_metadata(asked, boards(spark, d), hits(spark, d), warnings)
+    line = lambda c: F.array_join(c, "|").alias(c)
+    return made.withColumns({"queries_used": F.sha2(F.array_join("queries_used", "|"), 256)}).select(
+        "profile_id", "profile_summary", line("keywords_used"), line("regions_used"), "queries_used", line("search_warnings"), "search_warning_count",
+        "candidate_company_count", "greenhouse_hits", "lever_hits", "ashby_hits", "search_result_count")
+
+
 @query("board_slugs", f"""
 with {PROBES}, x as (select slug, row_number() over (order by slug) ord from (select distinct slug from cos)),
 g as (select * from (values ('greenhouse', 'extra'), ('lever', 'tionsh'), ('ashby', 'zz')) v(kind, slug)),

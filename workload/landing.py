@@ -14,7 +14,7 @@ from workload import query, sql as q, tables as b
 from workload.discovery import PROBES, boards as found_boards
 from workload.normalizing import _evaluated
 from workload.ranking import FUSED, S as SETTINGS, responses, scored
-from workload.streams import scratch
+from workload.tables import scratch
 
 PAGE = 100  # postings of one payload file
 

@@ -220,6 +220,34 @@ def merge_runs(spark, d):
         _event_stats(spark, d, "value < 30 and event_type <> 'view'")))
 
 
+def _runs(spark, d):
+    """Events as two kinds of debug entries: a run is the rest of the user by 5, a key a band of values."""
+    key, run = F.floor(F.col("value") / 20), F.col("user_id") % 5
+    return b.table(spark, d, "events").select(
+        F.col("event_type").alias("source"), run.alias("run_ord"), key.cast("string").alias("key"), ((run + key) % 3 == 0).alias("scalar"),
+        F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("value"))
+
+
+@query("merge_notes", """
+select event_type source, row_number() over (partition by event_type order by user_id % 5, event_id) - 1 as ord, cast(event_id as varchar) note from events""")
+def merge_notes(spark, d):
+    return stats.merge_lists(_runs(spark, d), ["source"]).select("source", "ord", F.col("value").alias("note"))
+
+
+@query("merge_debug", """
+with e as (select event_type source, user_id % 5 run, cast(floor(value / 20)::BIGINT as varchar) key, (user_id % 5 + floor(value / 20)) % 3 = 0 scalar, event_id from events),
+v as (select source, key, run, not scalar as lists, case when scalar then [max(event_id)] else list(event_id order by event_id) end as vals from e group by source, key, run, scalar),
+folded as (select source, key, list_reduce(list({'lists': lists, 'vals': vals} order by run), lambda acc, x:
+  case when acc.lists and x.lists then {'lists': true, 'vals': list_concat(acc.vals, x.vals)} else x end) f from v group by source, key)
+select source, key, case when f.lists then unnest(generate_series(0, len(f.vals) - 1)) end as ord, cast(unnest(f.vals) as varchar) as value from folded""")
+def merge_debug(spark, d):
+    """Several runs' debug maps as one; what is a scalar in a run has one value."""
+    rows = _runs(spark, d)
+    one = rows.where("scalar").groupBy("source", "run_ord", "key").agg(F.max("ord").cast("string").alias("value")).withColumn("ord", F.lit(None).cast("long"))
+    entries = rows.where("not scalar").select("source", "run_ord", "key", F.col("ord").cast("long").alias("ord"), "value").unionByName(one)
+    return stats.merge_debug(entries, ["source"]).select("source", "key", "ord", "value")
+
+
 @query("report_totals", f"""
 with {q.MATCH}, {STATS}
 select (select sum(raw_jobs_discovered) from stats)::BIGINT total_jobs_raw_discovered,

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from rolescope import fixed_values as V, sinks
 from rolescope.functions import text as t
-from rolescope.operators import dedupe, normalize, query_generation, ranking, scoring
+from rolescope.operators import dedupe, normalize, query_generation, ranking, scoring, state
 from rolescope.operators.structure import apply_insights
 from workload import query, sql as q, tables as b
+from workload.tables import scratch
 
 
 def _first_value(hay: str, values: dict) -> str:
@@ -269,6 +270,28 @@ def changed_inputs(spark, d):
     return dedupe.changed_inputs(docs, done, ["doc_id"]).select("doc_id")
 
 
+@query("pending_inputs", """
+with now as (select l_orderkey, sha256(concat_ws(chr(31), cast(sum(l_quantity)::BIGINT as varchar), cast(count(*) as varchar), '')) f from lineitem group by l_orderkey),
+past as (select l_orderkey, sha256(concat_ws(chr(31), cast(sum(l_quantity)::BIGINT as varchar), cast(count(*) as varchar), '')) f from lineitem
+  where l_returnflag <> 'R' group by l_orderkey),
+made as (select o_orderkey from orders where o_orderpriority <> '1-URGENT')
+select n.l_orderkey, case when p.f is null then 'new' when p.f <> n.f then 'changed' else 'lost' end reason
+from now n left join past p using (l_orderkey) left join made m on m.o_orderkey = n.l_orderkey
+where p.f is null or p.f <> n.f or m.o_orderkey is null""")
+def pending_inputs(spark, d):
+    """Orders finished before their returned lines came: some are new, some changed, of some the output is lost."""
+    def orders(lines):
+        return lines.groupBy("l_orderkey").agg(F.sum("l_quantity").cast("long").alias("q"), F.count("*").alias("n")).select(
+            "l_orderkey", dedupe.fingerprint("q", "n").alias("fingerprint"))
+    lines, folder = b.table(spark, d, "lineitem"), scratch(spark, "work-state")
+    state.commit_state(orders(lines.limit(0)), folder)
+    done = orders(lines.where("l_returnflag <> 'R'"))
+    schema = done.schema.simpleString()[len("struct<"):-1].replace(":", " ")
+    state.commit_state(state.with_finished(state.read_state(spark, folder, schema), done, ["l_orderkey"]), folder)
+    made = b.table(spark, d, "orders").where("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return state.pending_inputs(orders(lines), state.read_state(spark, folder, schema), made, ["l_orderkey"]).select("l_orderkey", "reason")
+
+
 FRESH = """
 with recursive kept(user_id, ts) as (
   select user_id, min(ts) from events group by user_id

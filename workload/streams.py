@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from rolescope import schemas as S
 from rolescope.operators import normalize, query_match, stats
 from rolescope.streaming import jobs
 from workload import query, sql as q, tables as b
+from workload.tables import scratch
 from workload.ranking import FRESH
 from workload.normalizing import STATS
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder under the shared checkpoint folder; a local session without one uses /tmp."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
-    return tempfile.mkdtemp(prefix=f"run-{name}-")
-
-
 def stream(spark, d, name):
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
