@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
+from rolescope import fixed_values as V
 from rolescope.functions import text as t, urls
-from rolescope.functions.html import html_text, page_facts
-from rolescope.operators import forms, structure
+from rolescope.functions.html import html_text, page_cards, page_facts
+from rolescope.operators import forms, normalize, structure
 from rolescope.sources import files, pages as page_sources
 from workload import query, sql as q, tables as b
 
@@ -201,42 +202,97 @@ def page_titles(spark, d):
     return b.wide(spark, d, "pages").select("page_id", page_facts(F.col("html")).title.alias("title"))
 
 
-@query("page_postings")
+TITLE_SQL = """trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'),
+  '^\\s+|\\s+$', '', 'g'))"""
+HINTS = V.URL_JOB_HINTS + V.POSTING_WORD_HINTS
+
+
+@query("page_postings", f"""
+with x as (select page_id, url, {TITLE_SQL} title, array_to_string({PIECES}, chr(10)) as description from pages),
+y as (select *, lower(description) h from x)
+select page_id, url source_url, title, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) company, null as location, url application_url, sha256(description) description,
+  case when contains(h, 'hybrid') then 'hybrid' when contains(h, 'remote') or contains(h, 'work from home') then 'remote'
+    when contains(h, 'on-site') or contains(h, 'onsite') or contains(h, 'office') then 'onsite' else 'unknown' end work_mode,
+  array_to_string({q.mentions('description', normalize.skill_terms())}, '|') skills, array_to_string({q.parents('description', V.DOMAINS, V.INDUSTRIES)}, '|') signals,
+  array_to_string(list_filter({q.arr(V.LANGUAGES)}, lambda w: contains(h, w)), '|') languages,
+  lower(title) not in ({", ".join(f"'{x}'" for x in V.LISTING_PAGE_TITLES)}) and length(description) >= 120
+    and ({q.any_in('h', HINTS)} or {q.any_in('lower(title)', HINTS)}) is_posting
+from y""")
 def page_postings(spark, d):
-    rows = page_sources.page_postings(b.wide(spark, d, "pages").select("page_id", "url", "html"))
-    return rows.withColumn("is_posting", page_sources.looks_like_posting())
+    rows = page_sources.page_postings(b.wide(spark, d, "pages").select("page_id", "url", "html")).withColumn("is_posting", page_sources.looks_like_posting())
+    line = lambda c: F.array_join(c, "|")
+    return rows.select(
+        "page_id", "source_url", "title", "company", "location", "application_url", F.sha2("description", 256).alias("description"), "work_mode",
+        line("required_skills").alias("skills"), line("domain_signals").alias("signals"), line("language_requirements").alias("languages"), "is_posting")
+
+
+@query("page_cards", """
+with x as (select page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) hrefs, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) names from pages)
+select page_id, unnest(generate_series(0, len(names) - 1)) as ord, unnest(names) as title, unnest(hrefs) as href, unnest(names) as text from x""")
+def page_cards_q(spark, d):
+    """The entries of a page's navigation as cards."""
+    rows = b.wide(spark, d, "pages").select("page_id", F.posexplode(page_cards(F.col("html"), "li", title="a")).alias("ord", "c"))
+    return rows.select("page_id", "ord", "c.title", "c.href", "c.text")
 
 
-@query("html_sections")
+@query("html_sections", """
+with x as (select page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) names from pages),
+y as (select page_id, case when page_id % 2 = 1 then list_concat(names, names) else names end words from x),
+z as (select page_id, list_concat(['Requirements', array_to_string(words, ' ')], words[1:6]) texts from y)
+select page_id, generate_subscripts(texts, 1) - 1 ord, unnest(texts) as text from z""")
 def html_sections(spark, d):
-    """Section lists of pages whose article is preceded by a matching heading."""
-    rows = b.wide(spark, d, "pages").withColumn(
-        "html", F.replace("html", F.lit("<article>"), F.lit("<article><h3>Requirements</h3>")))
+    """A list of requirements made of a page's own words, longer than what counts on every other page, and a section after it."""
+    i, words = F.col("page_id"), F.transform(F.regexp_extract_all("html", F.lit('<li><a href="[^"]*">([^<]*)</a></li>'), F.lit(1)),
+                                             lambda w: F.concat(F.lit("<li>"), w, F.lit("</li>")))
+    listed = F.array_join(F.when(i % 2 == 1, F.concat(words, words)).otherwise(words), "")
+    made = F.concat(F.lit("<h3>Your <i>Requirements</i></h3><ul>"), listed, F.lit("</ul><h2>Other</h2><p>no</p><article>"))
+    rows = b.wide(spark, d, "pages").withColumn("html", F.replace("html", F.lit("<article>"), made))
     return rows.select("page_id", F.posexplode(page_facts(F.col("html")).minimum_qualifications).alias("ord", "text"))
 
 
-@query("filter_fields", """
-select page_id, 'country' as name, 'Country / Region' label, 'select' as type, 'country_region' semantic_kind, '#country' selector, 2 n_options from pages
-union all select page_id, 'q', 'Search jobs', 'search', 'search_text', 'input[name=''q'']', 0 from pages""")
+HOST_SQL = "regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)"
+
+
+def _with_form(spark, d):
+    """Pages with a search form made of their own host and number, so that forms differ by page."""
+    i = F.col("page_id")
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#:]*)", 1)
+    options = F.array_join(F.transform(F.split(host, r"\.", -1), lambda x: F.concat(F.lit("<option> "), x, F.lit("</option>"))), "")
+    opened = F.concat(F.lit("<select"), F.when(i % 5 == 0, " multiple").otherwise(""), F.lit(' name="country'), i, F.lit('"'))
+    select = F.when(i % 2 == 1, F.concat(
+        F.lit('<label for="c'), i, F.lit('">Region <i>'), host, F.lit("</i></label>"), opened, F.lit(' id="c'), i, F.lit('"><option></option>'), options,
+        F.lit("</select>"))).otherwise(F.concat(F.lit("<label><b>Region</b> "), host, opened, F.lit(">"), options, F.lit("</select></label>")))
+    search = (F.when(i % 3 == 0, F.concat(F.lit('<input name="q" type="Search" placeholder="Search jobs '), i, F.lit('">')))
+              .when(i % 3 == 1, F.concat(F.lit('<input type="checkbox" name="remote" aria-label=" Remote jobs" value="v'), i, F.lit('">')))
+              .otherwise('<input type="hidden" name="token"><select name="empty"><option> </option></select>'))
+    return b.wide(spark, d, "pages").withColumn("html", F.replace("html", F.lit("<article>"), F.concat(F.lit("<form>"), search, select, F.lit("</form><article>"))))
+
+
+@query("filter_fields", f"""
+select page_id, 0 as ord, 'country' || page_id as name,
+  'Region ' || {HOST_SQL} || case when page_id % 2 = 1 then '' else ' ' || replace({HOST_SQL}, '.', ' ') end label,
+  case when page_id % 5 = 0 then 'multi_select' else 'select' end as type, 'country_region' semantic_kind,
+  case when page_id % 2 = 1 then '#c' || page_id else 'select[name=''country' || page_id || ''']' end selector, replace({HOST_SQL}, '.', '|') options from pages
+union all select page_id, 1, 'q', 'Search jobs ' || page_id, 'search', 'search_text', 'input[name=''q'']', '' from pages where page_id % 3 = 0
+union all select page_id, 1, 'remote', 'Remote jobs', 'checkbox', 'work_mode', 'input[name=''remote'']', 'v' || page_id from pages where page_id % 3 = 1""")
 def filter_fields(spark, d):
-    form = ('<label for="country">Country / Region</label><select id="country" name="country"><option></option>'
-            '<option>Germany</option><option>France</option></select><input name="q" type="search" placeholder="Search jobs">')
-    rows = b.wide(spark, d, "pages").withColumn("html", F.replace("html", F.lit("<article>"), F.lit(form + "<article>")))
-    return forms.filter_fields(rows, ["page_id"]).select(
-        "page_id", "name", "label", "type", "semantic_kind", "selector", F.size("options").alias("n_options"))
+    return forms.filter_fields(_with_form(spark, d), ["page_id"]).select(
+        "page_id", "ord", "name", "label", "type", "semantic_kind", "selector", F.array_join("options", "|").alias("options"))
 
 
-@query("filter_plans")
+@query("filter_plans", f"""
+with x as (select page_id, str_split({HOST_SQL}, '.') options, page_id % 4 + 1 most from pages),
+y as (select *, coalesce(list_filter(options, lambda o: contains(o, 'com') or contains('com', o))[1],
+  list_filter(options, lambda o: contains(o, 'exam') or contains('exam', o))[1]) place from x),
+z as (select page_id, place, list_concat([''], case when page_id % 3 = 0 then ['Vision Engineer', 'Vision', 'engineer'] else []::VARCHAR[] end)[1:most] terms from y),
+u as (select page_id, place, unnest(terms) term, generate_subscripts(terms, 1) - 1 plan_ord from z)
+select page_id, plan_ord, '{{"country_region":"' || place || '"' || case when term = '' then '' else ',"search_text":"' || term || '"' end || '}}' as plan from u""")
 def filter_plans(spark, d):
-    found = b.wide(spark, d, "pages")
-    form = ('<select name="country"><option>Germany</option><option>France</option></select>'
-            '<input name="q" type="search" placeholder="Search jobs">')
-    rows = found.withColumn("html", F.replace("html", F.lit("<article>"), F.lit(form + "<article>")))
-    fields = forms.filter_fields(rows, ["page_id"])
-    sites = found.select("page_id", F.lit(None).cast("string").alias("company"), F.lit(3).alias("max_plans"))
+    fields = forms.filter_fields(_with_form(spark, d), ["page_id"])
+    sites = b.wide(spark, d, "pages").select("page_id", F.lit(None).cast("string").alias("company"), (F.col("page_id") % 4 + 1).cast("int").alias("max_plans"))
     asked = F.array(F.struct(F.lit("vision engineer").alias("text"), F.lit("Vision").alias("title"),
                              F.array(F.lit("vision"), F.lit("engineer")).alias("terms")))
-    settings = type(b.SETTINGS)(target_countries=["germany"], job_titles=["Vision Engineer"])
+    settings = type(b.SETTINGS)(target_countries=["com", "exam"], job_titles=["Vision Engineer"])
     plans = forms.filter_plans(fields, sites, asked, settings, key="page_id")
     return plans.select("page_id", "plan_ord", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("plan")))).alias("plan"))
 
