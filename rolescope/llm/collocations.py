@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from rolescope.llm import common
 from rolescope.llm.class_lm import Table
+from rolescope.plans.spread import salted_join
 
 DICTIONARY = 1 << 20
 BYTES_AT_ONCE = 1 << 20
@@ -40,6 +41,7 @@ DENSE_CELLS = 1 << 22  # a tile with at most so many cells is added up in a dens
 EVENTS_PER_TILE = 1 << 22
 BANDS_LEAST, BANDS_MOST = 16, 256
 SALTS = 64
+LANGUAGES_SENT = 1 << 16  # totals of so many languages travel to the tasks; of more, they are joined over SALTS parts of each
 UNKNOWN = "und"
 CELL_BITS = 40  # two ranks below DICTIONARY
 NO_WORD = 0  # the key of a language's total
@@ -435,7 +437,11 @@ def mine(docs: DataFrame, least: int = 10, overlap: int = 50, text: str = "text"
     three_words = (triples.select("left", "right", "n").join(head, "left").join(tail, "right")
                    .select("lang", F.concat_ws(" ", "head", "last").alias("phrase"), F.col("n").alias("a"), cuts.alias("cut")))
     totals = counts.where("word is null").select("lang", F.col("n").alias("n"))
-    return (two_words.unionByName(three_words).join(totals, "lang")
+    phrases = two_words.unionByName(three_words)
+    # a language may hold most phrases, so they are not dealt by it
+    few = totals.limit(LANGUAGES_SENT + 1).count() <= LANGUAGES_SENT
+    with_n = phrases.join(F.broadcast(totals), "lang") if few else salted_join(phrases, totals, ["lang"], ["phrase"], SALTS)
+    return (with_n
             .select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score")))
 
 
