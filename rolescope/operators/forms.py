@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rolescope import fixed_values as V
 from rolescope.functions import text as t
-from rolescope.functions.html import page_facts
+from rolescope.functions.html import MAX_OPTIONS, form_fields, page_nodes
 from rolescope.operators.dedupe import dedupe_fields, dedupe_plans
 from rolescope.settings import Settings
 
@@ -23,10 +23,13 @@ def filter_kind(hint_text: Column, kinds: dict[str, list[str]] = V.FILTER_KINDS)
     return t.let(t.normalize_text(t.text_or_empty(hint_text)), choose)
 
 
-def filter_fields(pages: DataFrame, key: list[str] = ("url",)) -> DataFrame:
-    """(key, ord, name, label, type, semantic_kind, selector, options), first of equal fields kept."""
-    facts = pages.withColumn("_facts", page_facts(F.col("html")))
-    return facts.select(*key, F.posexplode(dedupe_fields(F.col("_facts.fields"))).alias("ord", "f")).select(
+def filter_fields(pages: DataFrame, key: list[str] = ("url",), max_options: int | None = MAX_OPTIONS) -> DataFrame:
+    """(key, ord, name, label, type, semantic_kind, selector, options), first of equal fields kept.
+
+    A select keeps its first `max_options` options, all with None.
+    """
+    found = pages.withColumn("_fields", t.let(page_nodes(F.col("html")), lambda page: form_fields(page, max_options)))
+    return found.select(*key, F.posexplode(dedupe_fields(F.col("_fields"))).alias("ord", "f")).select(
         *key, "ord", "f.name", "f.label", "f.type", filter_kind(F.col("f.hint_text")).alias("semantic_kind"),
         "f.selector", "f.options")
 
