@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rolescope import fixed_values as V
 from rolescope.functions import coerce, text as t
 from rolescope.operators import normalize
+from rolescope.operators.evidence_index import retrieve_by_tokens
 from rolescope.operators.scoring import unit_vector, vector_similarity
 from rolescope.plans.spread import first_per_key
+from rolescope.session import land
 from rolescope.settings import Settings
 
 MAX_REQUIREMENTS = 15
@@ -165,18 +167,39 @@ def by_vector(column: str = "vector") -> Similarity:
 
 def retrieve_evidence(
     requirements: DataFrame, evidence: DataFrame, key: list[str], k: int = 3, text: str = "requirement",
-    salts: int = 16, lanes: int = 8, similarity: Similarity | None = None,
+    salts: int = 16, lanes: int = 8, similarity: Similarity | None = None, direct: int = 256,
 ) -> DataFrame:
     """Top-k evidence per requirement of the same profile, by token Jaccard or the given similarity, earlier first.
 
+    Profiles of at most `direct` items are compared item by item inside a row, which bounds the work per
+    requirement. Larger ones go through postings lists (`evidence_index`) and give the same rows. Another
+    similarity than that of tokens has no such lists; its items are all compared. `key` must hold profile_id.
+    """
+    if similarity is not None:
+        return _compare_items(requirements, evidence, key, k, text, salts, lanes, similarity)
+    evidence = land(evidence.select("profile_id", "ord", "text", "source_section"), "evidence")
+    large = land(evidence.groupBy("profile_id").count().where(F.col("count") > direct).select("profile_id"), "large")
+    if large.isEmpty():
+        return _compare_items(requirements, evidence, key, k, text, salts, lanes, lexical(text))
+    part = lambda rows, how: rows.join(large, "profile_id", how)
+    small = _compare_items(
+        part(requirements, "left_anti"), part(evidence, "left_anti"), key, k, text, salts, lanes, lexical(text))
+    return small.unionByName(retrieve_by_tokens(part(requirements, "left_semi"), part(evidence, "left_semi"), key, k, text))
+
+
+def _compare_items(
+    requirements: DataFrame, evidence: DataFrame, key: list[str], k: int, text: str,
+    salts: int, lanes: int, measure: Similarity,
+) -> DataFrame:
+    """Every requirement against every item of its profile.
+
     Evidence is packed into blocks of at most 256 consecutive items, so one row holds a bounded
     array however much a profile owns. A requirement meets its profile's blocks (spread over
     salts), keeps k per block inside the row, and only those few meet in the last step; rows
     without any common token take part with similarity 0. Blocks are repeated per lane and a
     requirement takes one lane, so that a profile with few blocks and very many requirements is
-    spread too. `key` must hold profile_id.
+    spread too.
     """
-    measure = similarity or lexical(text)
     blocks = (
         evidence.withColumn("_block", F.floor(F.col("ord") / EVIDENCE_BLOCK).cast("long"))
         .groupBy("profile_id", "_block")

@@ -74,20 +74,27 @@ def test_model_requirements_come_last(spark):
     assert [r.requirement for r in m.extract_requirements(post, ["id"]).orderBy("ord").collect()] == ["Python", "Go"]
 
 
-def test_evidence_top_k_over_many_blocks(spark):
+@pytest.mark.parametrize("direct", [0, 256, 1 << 20])
+def test_evidence_top_k_over_many_blocks(spark, direct):
+    """Item by item, through postings lists, and both: the same rows, with ties, copies and items without a token."""
     random.seed(9)
-    words = [f"w{i}" for i in range(60)]
+    words = [f"w{i}" for i in range(60)] + ["common"] * 40
     text = lambda n: " ".join(random.choice(words) for _ in range(n))
     items = [("p", i, text(random.randint(0, 8))) for i in range(1500)] + [("q", 0, "only one"), ("q", 7000, "w1 w2")]
-    asked = [("p", "j", i, text(4)) for i in range(25)] + [("q", "j", 0, "w1"), ("none", "j", 0, "w1"), ("p", "j", 99, "!!!")]
+    items += [("p", i, "common rare") for i in range(1500, 1900)] + [("p", 5000 + i, f"common x{i} y{i}") for i in range(200)]
+    asked = [("p", "j", i, text(random.randint(1, 14))) for i in range(25)] + [("p", "j", 40 + i, "common x7 absent") for i in range(3)] + [
+        ("p", "j", 50, "rare"), ("p", "j", 51, "absent words"), ("p", "j", 52, " "), ("p", "j", 53, None), ("p", "j", 54, "x1 x2")] + [("q", "j", 0, "w1"), ("none", "j", 0, "w1"), ("p", "j", 99, "!!!")]
     evidence = spark.createDataFrame([(p, i, t, "s") for p, i, t in items], "profile_id string, ord long, text string, source_section string")
     reqs = spark.createDataFrame(asked, "profile_id string, posting_id string, ord int, requirement string")
-    got = m.retrieve_evidence(reqs, evidence.repartition(6), KEY, 3, salts=4).collect()
+    got = m.retrieve_evidence(reqs, evidence.repartition(6), KEY, 3, salts=4, direct=direct).collect()
     found = {}
     for r in sorted(got, key=lambda r: (-r.similarity, r.evidence_ord)):
         found.setdefault((r.profile_id, r.ord), []).append((r.evidence_ord, round(r.similarity, 9)))
     tok = lambda x: set(TOKEN_ONLY.findall(x.lower()))
     for p, _, o, req in asked:
+        if not (req or "").strip():
+            assert (p, o) not in found
+            continue
         a = tok(req)
         scored = []
         for q, i, t in items:
