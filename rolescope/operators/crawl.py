@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rolescope.functions.urls import in_scope, is_candidate_url, page_links, url_host
 from rolescope.plans.spread import first_per_key
-from rolescope.session import cut_lineage
+from rolescope.session import cut_lineage, land
 
+SPAN = 1024  # pages whose links are numbered together
 COMPACT = 32  # levels kept as parts of their own before they are written as one
 
 
@@ -29,6 +30,24 @@ def link_table(pages: DataFrame) -> DataFrame:
     return filled.select("url", F.posexplode(page_links("url", "html")).alias("pos", "link"))
 
 
+def _queued(pages: DataFrame, done: DataFrame | None) -> DataFrame:
+    """(site, url, visit): pages numbered after those done, in the order of (visit, pos) of the link that led there.
+
+    A site's pages are counted per range of SPAN parents, map-side; a running sum over its ranges says where each
+    range starts, ranges that start beyond max_pages go, and only the pages of one range are sorted together.
+    """
+    cut = pages.withColumn("_range", F.floor(F.col("visit") / SPAN).cast("long"))
+    before = W.partitionBy("site").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = cut.groupBy("site", "_range").agg(F.count("*").alias("_n")).select(
+        "site", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    if done is not None:
+        offsets = offsets.join(done, "site").select("site", "_range", (F.col("_offset") + F.col("_done")).alias("_offset"))
+    placed = cut.join(offsets, ["site", "_range"]).where(F.col("_offset") < F.col("max_pages"))
+    inside = F.row_number().over(W.partitionBy("site", "_range").orderBy("visit", "pos"))
+    return placed.withColumn("visit", (F.col("_offset") + inside).cast("long")).where(
+        F.col("visit") <= F.col("max_pages")).select("site", "url", "visit")
+
+
 def crawl_sites(sites: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Breadth-first walk of every site at once.
 
@@ -37,16 +56,13 @@ def crawl_sites(sites: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     Candidates are recorded and not expanded; other pages in scope are expanded until a site has
     visited max_pages. Each level is one equi-join with the link table; the next level takes only
     as many pages per site as the site may still visit, and is written to the checkpoint folder.
+    Null seeds count as none, a site without an address starts at its seeds, and a page without links ends there.
     """
-    # a literal bound lets Spark cut each partition to this many rows per site before the shuffle
-    most = sites.agg(F.max("max_pages")).first()[0] or 0
-    rules = sites.select("site", url_host("url").alias("host"), "include", "exclude", "max_pages")
-    start = sites.select("site", "max_pages", F.posexplode(F.concat(F.array("url"), "seed_urls")).alias("pos", "url"))
-    first = start.groupBy("site", "url", "max_pages").agg(F.min("pos").alias("pos"))
-    w = W.partitionBy("site").orderBy("pos")
-    frontier = cut_lineage(
-        first.withColumn("visit", F.row_number().over(w)).where(F.col("visit") <= F.col("max_pages"))
-        .select("site", "url", F.col("visit").cast("long").alias("visit")))
+    links = land(links.select("url", "pos", "link"), "links")  # pages are parsed once, not once per level
+    rules = cut_lineage(sites.select("site", url_host("url").alias("host"), "include", "exclude", "max_pages"))
+    start = sites.select("site", "max_pages", F.lit(0).cast("long").alias("visit"), F.posexplode(F.array_distinct(
+        F.concat(F.array("url"), F.coalesce("seed_urls", F.array().cast("array<string>"))))).alias("pos", "url"))
+    frontier = cut_lineage(_queued(start.where(F.col("url").isNotNull()), None))
     parts, found = [frontier], None
     while not frontier.isEmpty():  # ends, as a site visits max_pages at most
         visited = _whole(parts)
@@ -59,18 +75,14 @@ def crawl_sites(sites: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
         seen = cut_lineage(seen)
         hits = seen.where("candidate").select("site", "url", "visit", "pos")
         found = hits if found is None else found.unionByName(hits)
-        order = F.struct("visit", "pos")
-        following = (
+        at = F.min(F.struct("visit", "pos"))
+        following = cut_lineage(
             seen.where("scoped AND NOT candidate")
-            .groupBy("site", "url", "max_pages").agg(F.min(order).alias("_at"))
+            .groupBy("site", "url", "max_pages").agg(at.alias("_at"))
             .join(visited.select("site", "url"), ["site", "url"], "left_anti")
-        )
+            .select("site", "url", "max_pages", "_at.*"))
         done = visited.groupBy("site").agg(F.max("visit").alias("_done"))
-        w = W.partitionBy("site").orderBy("_at")
-        numbered = following.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).join(done, "site")
-        frontier = cut_lineage(
-            numbered.where(F.col("_done") + F.col("_rn") <= F.col("max_pages"))
-            .select("site", "url", (F.col("_done") + F.col("_rn")).cast("long").alias("visit")))
+        frontier = cut_lineage(_queued(following, done))
         parts = _appended(parts, frontier)
     visited = _whole(parts)
     if found is None:

@@ -181,8 +181,9 @@ def naive_crawl(site, graph):
     return seen, list(dict.fromkeys(found))
 
 
-@pytest.mark.parametrize("cap", [1, 3, 6, 100])
-def test_crawl_equals_queue(spark, cap):
+@pytest.mark.parametrize("cap, span", [(1, 1024), (3, 2), (6, 1), (100, 1), (100, 1024)])
+def test_crawl_equals_queue(spark, monkeypatch, cap, span):
+    monkeypatch.setattr(crawl, "SPAN", span)
     u = lambda h, n: f"https://{h}.org/{n}"
     graph = {
         u("a", ""): [u("a", "p1"), u("a", "p2"), u("a", "jobs/1"), u("a", "p1"), u("a", "private/x")],

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from rolescope import fixed_values as V
 from rolescope.functions import text as t
-from rolescope.functions.urls import url_host
+from rolescope.functions.urls import page_links, url_host
 from rolescope.operators import crawl, discovery as disc, query_generation, stats
 from rolescope.settings import Settings
 from rolescope.sources.pages import career_site_postings
 from workload import query, sql as q, tables as b
+from workload.structuring import HINTS as JOB_WORDS, PIECES, TITLE_SQL
 
 TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
@@ -222,34 +223,78 @@ def crawl_reach(spark, d):
     return crawl.reachable(edges, pages.agg(F.min("page_id").alias("node")))
 
 
+INCLUDE = {"all": ["/th", "/d"], "com": ["/th"], "net": ["/qu"], "org": []}
+LISTED, EXCLUDE, MOST = "list=1", "ouble", 150
+WALK = f"""raw as (select page_id, unnest(['all', regexp_extract(url, '^[a-z]+://[^/?#]*\\.([a-z]+)', 1)]) site, url, html,
+  regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) xs from pages),
+hrefs as (select page_id, site, 'https://www.' || site || '.example.org' root, generate_subscripts(xs, 1) - 1 pos, unnest(xs) x from raw),
+every_link as (select page_id, site, pos, root || split_part(replace(x, '&amp;', '&'), '#', 1) link from hrefs),
+own as (select link url, site, max(page_id) page_id, min(page_id * 1000 + pos) first_at, min(pos) = 0 leads from every_link group by all),
+kinds as (select o.url, site, l.pos, l.link, not contains(lower(link), '{EXCLUDE}') fine,
+  (contains(lower(link), '{LISTED}') or {' or '.join(f"(site = '{k}' and contains(lower(link), '{x}'))" for k, xs in INCLUDE.items() for x in xs)}) wanted
+  from own o join every_link l using (page_id, site)),
+nexts as (select url, list(link order by pos) links from (
+  select url, link, min(pos) pos from kinds where fine and not wanted group by all) group by url),
+ends as (select site, arg_min(url, first_at) a, list_sort(list(url) filter (leads)) seeds from own group by site),
+walk(site, i, queue) as (
+  select site, 0, list_concat([a], list_filter(seeds, lambda x: x <> a)) from ends union all
+  select w.site, i + 1, list_concat(queue, list_filter(coalesce(n.links, []::VARCHAR[]), lambda x: not list_contains(queue, x)))
+  from walk w left join nexts n on n.url = w.queue[i + 1] where i < len(queue) and i < {MOST}),
+ways as (select site, arg_max(queue, i)[1:{MOST}] queue from walk group by site),
+visited as (select site, unnest(queue) url, generate_subscripts(queue, 1) visit from ways),
+met as (select v.site, k.link url, v.visit, k.pos from visited v join kinds k using (url) where k.fine and k.wanted),
+candidates as (select site, url, visit from (
+  select m.*, row_number() over (partition by m.site, m.url order by m.visit, m.pos) rn
+  from met m left join visited o on o.site = m.site and o.url = m.url where o.visit is null or o.visit > m.visit) where rn = 1)"""
+
+
 def _sites(spark, d):
-    """Every host is a site; its pages, in url order, form a tree of links."""
+    """One site with all pages and one per top domain. A page lies at the addresses that its links name; the last such page counts."""
     pages = b.wide(spark, d, "pages").select(
-        url_host("url").alias("site"), F.split_part("url", F.lit("#"), F.lit(1)).alias("url"), "html")
-    pages = pages.groupBy("site", "url").agg(F.max("html").alias("html"))
-    w = W.partitionBy("site").orderBy("url")
-    numbered = pages.withColumn("k", F.row_number().over(w) - 1)
-    slim = numbered.select("site", F.col("url").alias("link"), F.col("k").alias("_k"))
-    links = numbered.select("site", "url", F.posexplode(F.array(F.col("k") * 2 + 1, F.col("k") * 2 + 2)).alias("pos", "_k")).join(
-        slim, ["site", "_k"]).select("url", "pos", "link")
-    sites = numbered.where("k = 0").select(
-        "site", "url", F.lit(None).cast("string").alias("company"), F.array().cast("array<string>").alias("seed_urls"),
-        F.array(F.lit("/de/")).alias("include"), F.array(F.lit("ref=x")).alias("exclude"), F.lit(100).alias("max_pages"))
-    return sites, links, pages
-
-
-@query("crawl_sites")
+        "page_id", F.explode(F.array(F.lit("all"), F.regexp_extract("url", r"^[a-z]+://[^/?#]*\.([a-z]+)", 1))).alias("site"), "html")
+    root = F.concat(F.lit("https://www."), "site", F.lit(".example.org/"))
+    named = pages.withColumn("root", root).select("page_id", "site", F.posexplode(page_links("root", "html")).alias("pos", "url"))
+    at = F.col("page_id") * 1000 + F.col("pos")
+    named = named.groupBy("site", "url").agg(F.max("page_id").alias("page_id"), F.min(at).alias("first_at"), (F.min("pos") == 0).alias("leads"))
+    pages = named.join(pages, ["site", "page_id"])
+    includes = F.array(F.lit(LISTED))
+    for site, patterns in INCLUDE.items():
+        if patterns:
+            includes = F.when(F.col("site") == site, F.array(F.lit(LISTED), *map(F.lit, patterns))).otherwise(includes)
+    sites = pages.groupBy("site").agg(F.min_by("url", "first_at").alias("url"), F.array_sort(F.collect_set(F.when(F.col("leads"), F.col("url")))).alias("seed_urls")).select(
+        "site", "url", F.lit(None).cast("string").alias("company"), "seed_urls", includes.alias("include"),
+        F.array(F.lit(EXCLUDE)).alias("exclude"), F.lit(MOST).alias("max_pages"))
+    return sites, pages
+
+
+@query("crawl_sites", f"""with recursive {WALK}
+select site, url, visit, 'page' kind from visited union all select site, url, visit, 'candidate' from candidates""")
 def crawl_sites(spark, d):
-    sites, links, _ = _sites(spark, d)
-    visited, found = crawl.crawl_sites(sites, links)
+    sites, pages = _sites(spark, d)
+    visited, found = crawl.crawl_sites(sites, crawl.link_table(pages.select("url", "html")))
     return visited.select("site", "url", "visit", F.lit("page").alias("kind")).unionByName(
         found.select("site", "url", "visit", F.lit("candidate").alias("kind")))
 
 
-@query("career_site_postings")
+@query("career_site_postings", f"""
+with recursive {WALK},
+listed as (select o.site, o.url || '?{LISTED}' url, o.page_id from own o where o.site not in (select site from candidates)
+  and not contains(lower(o.url), '{EXCLUDE}')),
+landed as (select c.site, c.url, o.page_id from candidates c join own o using (site, url) union all select * from listed),
+x as (select l.site, l.url source_url, {TITLE_SQL} title, array_to_string({PIECES}, chr(10)) description
+  from landed l join (select page_id, replace(html, '</footer>', ' Apply now.</footer>') html from pages) using (page_id)),
+y as (select *, lower(description) h from x)
+select site, source_url, title, sha256(description) description, a discovery_url from y join ends using (site)
+where lower(title) not in ({", ".join(f"'{x}'" for x in V.LISTING_PAGE_TITLES)}) and length(description) >= 120
+  and ({q.any_in('h', JOB_WORDS)} or {q.any_in('lower(title)', JOB_WORDS)})""")
 def career_site_postings_q(spark, d):
-    sites, _, pages = _sites(spark, d)
+    """Postings at the candidates of each crawl; a site whose crawl finds none takes those that its sitemap lists."""
+    sites, pages = _sites(spark, d)
     # the invented prose holds no job word, so each page gets one
     pages = pages.withColumn("html", F.replace("html", F.lit("</footer>"), F.lit(" Apply now.</footer>")))
-    listed = pages.select("site", F.pmod(F.xxhash64("url"), F.lit(2**31 - 1)).cast("int").alias("ord"), F.col("url").alias("loc"))
-    return career_site_postings(sites, pages.select("url", "html"), listed).select("site", "source_url", "title")
+    extra = pages.withColumn("url", F.concat("url", F.lit("?" + LISTED)))
+    listed = extra.select("site", F.col("page_id").alias("ord"), F.col("url").alias("loc"))
+    landed = pages.select("url", "html").unionByName(extra.select("url", "html"))
+    rows = career_site_postings(sites, landed, listed)
+    return rows.select("site", "source_url", "title", F.sha2("description", 256).alias("description"),
+                       F.get_json_object("raw_payload", "$.discovery_url").alias("discovery_url"))
