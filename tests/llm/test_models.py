@@ -207,6 +207,18 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_url_filter_on_hosts_it_has_not_seen(spark):
+    """No host of the given pages is in the labelled table."""
+    seen = {by_hand(r.url)[0].removeprefix("www.").removeprefix("blog.").removeprefix("m.").split(".")[0]
+            for r in url_filter.labelled_urls(spark).collect()}
+    unwanted = ("casino-win", "free-bets", "cheap-pills", "spam-farm", "ads-track", "adult-x")
+    rows = url_filter.judge_urls(spark.read.parquet(f"{SF}/pages.parquet").select("url")).collect()
+    name = lambda r: r.host.removeprefix("www.").removeprefix("blog.").removeprefix("m.").split(".")[0]
+    assert not seen & {name(r) for r in rows} and not seen & set(unwanted)
+    right = [(r.score >= 0.5) == (name(r) in unwanted) for r in rows]
+    assert sum(right) >= 0.98 * len(right)
+
+
 def test_alignment_like_full_table():
     rnd = random.Random(8)
     for _ in range(60):
