@@ -10,6 +10,7 @@ from rolescope.functions.urls import in_scope, is_candidate_url, url_host
 from rolescope.operators import crawl, discovery, forms, stats, structure
 from rolescope.settings import Settings
 from rolescope.sources import boards, files, pages
+from rolescope.sources.manual import import_files
 
 
 def put(folder, name, content):
@@ -298,3 +299,26 @@ def test_summaries(spark):
     assert got["a"] == "Fetched 2 jobs from a (5 raw jobs, filtered out 3 by queries)" and "all were filtered out" in got["b"]
     assert "wrong board slug" in got["greenhouse"] and "optional discovery URL returned 404" in got["custom_career_pages"]
     assert got["n"].endswith("nothing configured") and "no source entries" in got["z"]
+
+
+def test_manual_import_counts_and_notes(spark, tmp_path):
+    job = lambda i, title: dict(id=str(i), source="manual", source_url=f"https://x/{i}", title=title, company="Co", description="Perception work")
+    put(tmp_path, "in/a.json", [job(1, "Perception Engineer"), dict(job(2, "Cook"), description="Kitchen"), dict(job(3, "Perception Engineer"), source_url=None)])
+    put(tmp_path, "in/one.JSON", job(4, "Perception Engineer"))
+    put(tmp_path, "in/b.csv", 'id,title,company,source_url,required_skills\n5,Perception Engineer,Co,https://x/5,"python| |c++"\n6,Cook,Co,https://x/6,\n')
+    put(tmp_path, "in/bad.json", "{no json")
+    put(tmp_path, "in/n.txt", "text")
+    queries = spark.createDataFrame(
+        [(0, "perception engineer", "perception engineer", None, ["perception"])],
+        "query_ord int, text string, title string, location string, terms array<string>")
+    names = ["a.json", "one.JSON", "gone.csv", "b.csv", "n.txt", "bad.json", "a.json", "noend"]
+    got = import_files(spark, str(tmp_path / "in"), names, queries)
+    counts = {r.file_ord: (r.name, r.raw_jobs, r.matched_jobs, r.filtered_out_jobs) for r in got.counts.collect()}
+    assert counts == {0: ("a.json", 2, 1, 1), 1: ("one.JSON", 1, 1, 0), 3: ("b.csv", 2, 1, 1), 5: ("bad.json", 0, 0, 0), 6: ("a.json", 2, 1, 1)}
+    assert {(r.file_ord, r.note) for r in got.notes.collect()} == {
+        (2, "configured manual file not found: gone.csv"), (4, "unsupported manual import file type: .txt"), (5, "no posting in bad.json"),
+        (7, "configured manual file not found: noend"), (0, "1 rows of a.json break the schema"), (6, "1 rows of a.json break the schema")}
+    rows = {(r.file_ord, r.id): r for r in got.postings.collect()}
+    assert len(rows) == 7 and rows[3, "5"].required_skills == ["python", "c++"] and not rows[3, "6"].query_match.matched
+    none = import_files(spark, str(tmp_path / "in"), [], queries)
+    assert none.postings is None and none.counts.count() == 0 and [r.note for r in none.notes.collect()] == ["no manual import files were configured"]

@@ -10,6 +10,7 @@ from rolescope.operators import discovery as disc, ranking
 from rolescope.plans.search import whole_ranked
 from rolescope.plans.spread import rank_rows
 from rolescope.sources import boards, files
+from rolescope.sources.manual import import_files
 from workload import query, sql as q, tables as b
 from workload.discovery import PROBES, boards as found_boards
 from workload.normalizing import _evaluated
@@ -101,6 +102,37 @@ def read_postings_json(spark, d):
     return facts(files.read_postings_json(spark, pages(spark, d, "postings-json", plain_posting())).where(F.size("violations") == 0))
 
 
+MANUAL = ("id", "source", "source_url", "title", "company", "location", "work_mode", "description", "required_skills", "domain_signals")
+
+
+@query("manual_import", f"""
+with {q.MATCH}, files as (
+  select doc_id, matched, case when doc_id // {PAGE} % 10 = 9 then '.json' else '.csv' end suffix,
+    case when doc_id // {PAGE} % 10 = 9 then doc_id else doc_id // {PAGE} end file from best)
+select min(doc_id) first_doc, suffix, count(*) raw_jobs, sum(matched::BIGINT)::BIGINT matched_jobs, sum((not matched)::BIGINT)::BIGINT filtered_out_jobs,
+  null::VARCHAR note from files group by suffix, file
+union all select null, null, null, null, null, unnest(['configured manual file not found: absent.json', 'unsupported manual import file type: .txt'])""")
+def manual_import(spark, d):
+    """Pages of postings as CSV files, every tenth page as JSON files of one posting; a missing file and one of a foreign kind."""
+    base = scratch(spark, "manual")
+    posts, page = b.postings(spark, d), F.floor(F.col("ord") / PAGE)
+    posts.where(page % 10 == 9).select(*MANUAL).write.option("maxRecordsPerFile", 1).json(f"{base}/json")
+    piped = [F.array_join(c, "|").alias(c) if c in files.CSV_LISTS else F.col(c) for c in MANUAL]
+    posts.where(page % 10 != 9).select(page.alias("page"), *piped).repartition("page").write.partitionBy("page").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{base}/csv")
+    spark.range(1).select(F.lit("x").alias("value")).coalesce(1).write.text(f"{base}/text")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).where(F.col("length") > 0).select(
+        F.regexp_extract("path", r"/((?:json|csv|text)/.*)\z", 1).alias("name"))
+    names = [*sorted(r.name for r in there.collect()), "json/absent.json"]
+    got = import_files(spark, base, names, b.queries(spark, d))
+    first = got.postings.groupBy("file_ord").agg(F.min(F.col("id").cast("long")).alias("first_doc"))
+    counted = got.counts.join(first, "file_ord").select(
+        "first_doc", F.regexp_extract("name", r"(\.[a-z]+)\z", 1).alias("suffix"), "raw_jobs", "matched_jobs", "filtered_out_jobs",
+        F.lit(None).cast("string").alias("note"))
+    empty = [F.lit(None).cast(counted.schema[c].dataType).alias(c) for c in counted.columns[:-1]]
+    return counted.unionByName(got.notes.select(*empty, "note"))
+
+
 @query("read_postings_csv", facts_sql())
 def read_postings_csv(spark, d):
     rows = listings(spark, d).select(plain_posting().alias("p")).select("p.*")
