@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolescope import schemas as S, sinks
-from rolescope.operators import dedupe, query_generation, query_match, ranking, scoring, stats
+from rolescope.operators import dedupe, model_scorer, query_generation, query_match, ranking, scoring, stats
 from rolescope.plans.search import search_and_rank
 from rolescope.plans.spread import rank_rows, salted_join
 from rolescope.settings import Settings
@@ -269,3 +269,37 @@ def test_index_of_many_queries_equals_the_evaluation_in_the_row(spark, whole_wor
     in_row, by_index = rows(block_queries=10_000), rows()
     assert len(in_row) == 52 and by_index == in_row
     assert rows(matched_only=True) == {k: v for k, v in in_row.items() if v[0]}
+
+
+def test_model_answers_are_checked_retried_and_kept(spark, tmp_path):
+    """Answers by kind of row; a second run asks only rows without an answer."""
+    log = str(tmp_path / "calls")
+
+    def client(rows):
+        with open(log, "a", encoding="utf-8") as f:
+            f.write("".join(f"{r['kind']}:{len(rows)}\n" for r in rows))
+        if len(rows) > 1 and any(r["kind"] == "alone" for r in rows):
+            raise ValueError("too many")
+        if any(r["kind"] == "never" for r in rows):
+            return []
+        return [{"text": '{"fit_label": "stretch"}', "alone": {"fit_label": "realistic"}, "list": "[1]", "null": None}.get(r["kind"]) for r in rows]
+
+    kinds = ["text", "alone", "list", "null", "never", "text", None]
+    rows = spark.createDataFrame([(i, k, [k]) for i, k in enumerate(kinds)], "id long, kind string, payload array<string>").coalesce(1)
+    got = {r.id: r for r in model_scorer.ask_model(rows, client, ["id"], ["kind", "payload"], batch=4, retries=2).collect()}
+    text = '{"fit_label": "stretch"}'
+    assert [got[i].payload for i in range(7)] == [text, '{"fit_label": "realistic"}', None, None, None, text, None]
+    assert got[2].error == got[3].error == got[6].error == "answer is no JSON object" and got[4].error == "0 answers to 1 rows"
+    assert got[2].attempts == 3 and got[1].attempts == 2
+    assert model_scorer.ask_model(rows.limit(0), client, ["id"], ["kind"]).count() == 0
+
+    target, seen = str(tmp_path / "answers"), []
+    parts = lambda: model_scorer.ask_in_parts(rows, client, ["id"], ["kind"], target, parts=3, batch=2, retries=1,
+                                              on_partial=lambda df, part: seen.append((part, {r.id for r in df.collect()})))
+    first = {r.id: r.payload for r in parts().collect()}
+    assert first == {i: got[i].payload for i in range(7)}
+    assert [p for p, _ in seen] == [0, 1, 2] and sorted(x for _, ids in seen for x in ids) == list(range(7))
+    before = len(open(log).read().splitlines())
+    assert {r.id: r.payload for r in parts().collect()} == first
+    again = open(log).read().splitlines()[before:]
+    assert again and not any(x.startswith(("text", "alone")) for x in again)

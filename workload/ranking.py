@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rolescope import fixed_values as V, sinks
 from rolescope.functions import text as t
-from rolescope.operators import dedupe, normalize, query_generation, ranking, scoring, state
+from rolescope.operators import dedupe, model_scorer, normalize, query_generation, ranking, scoring, state
 from rolescope.operators.structure import apply_insights
 from workload import query, sql as q, tables as b
 from workload.tables import scratch
@@ -137,6 +137,20 @@ def fuse_rank(spark, d):
         "profile_id", "id", "assessment.fit_label", "overall_score", "disposition", "rank")
 
 
+@query("model_rank", f"with {FUSED} select profile_id, id, label fit_label, overall overall_score, disposition, rank from ordered")
+def model_rank(spark, d):
+    """The labels as answers of a client that gives up on every call with a poor fit among several rows."""
+    def client(rows):
+        if len(rows) > 1 and any("poor_fit" in (r["said"] or "") for r in rows):
+            raise RuntimeError("busy")
+        return [r["said"] for r in rows]
+
+    said = responses(spark, d).withColumnRenamed("payload", "said")
+    rows = scored(spark, d).join(said, ["profile_id", "id"], "left")
+    ranked = model_scorer.rank_with_model(rows, client, ["title", "said"], scratch(spark, "answers"), S, parts=2, retries=1)
+    return ranked.select("profile_id", "id", "assessment.fit_label", "overall_score", "disposition", "rank")
+
+
 @query("top_matches", f"with {FUSED} select profile_id, id, overall overall_score, rank from ordered where rank <= 10")
 def top_matches(spark, d):
     return ranking.top_ranked(scored(spark, d), 10, S, responses(spark, d)).select(
