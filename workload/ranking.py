@@ -168,7 +168,25 @@ def top_match_lines(spark, d):
     return lines.select("profile_id", "rank", "line")
 
 
-@query("ranked_csv_rows")
+CSV_MODE = """case when contains(h, 'hybrid') then 'hybrid' when contains(h, 'remote') or contains(h, 'work from home') then 'remote'
+  when contains(h, 'on-site') or contains(h, 'onsite') or contains(h, 'office') then 'onsite' else 'unknown' end"""
+
+
+@query("ranked_csv_rows", f"""
+with {FUSED}, said as (
+  select o.*, lower(coalesce(location, '') || ' ' || description) h, s.doc_id is not null and l.quality is not null answered
+  from ordered o left join short s using (profile_id, doc_id) left join labels l on l.doc_id = o.doc_id)
+select overall::VARCHAR overall_score, disposition, title, company, location, {CSV_MODE} work_mode, source, null::VARCHAR application_url,
+  rules_s::VARCHAR rules_based_score, '0.0' embedding_similarity_score, '0.0' llm_latency_seconds, title_s::VARCHAR title_match_score,
+  skills_s::VARCHAR skills_overlap_score, domain_s::VARCHAR domain_match_score, seniority_s::VARCHAR seniority_fit_score,
+  place_s::VARCHAR location_fit_score, constraints_s::VARCHAR constraints_fit_score,
+  case when answered then 'Potential fit for ' || title || '.' else 'Rules-based scoring indicates a ' || label || ' match for ' || title || '.' end why_match,
+  array_to_string(missing, ' | ') missing_skills,
+  case when answered then 'Highlight overlap with ' || coalesce(nullif(array_to_string(skills[1:3], ', '), ''), title) || '.'
+    else 'Stress direct work on ' || coalesce(nullif(array_to_string(signals[1:2], ', '), ''), title) || '.' end recommended_resume_emphasis,
+  case when answered then 'Explain why your background maps to ' || company || chr(39) || 's needs.'
+    else 'Tie shipped results to ' || company || chr(39) || 's role scope.' end recommended_cover_letter_angle
+from said""")
 def ranked_csv_rows(spark, d):
     return sinks.ranked_csv_rows(ranking.rank_postings(scored(spark, d), S, responses(spark, d)))
 

@@ -143,7 +143,17 @@ def occurrences(spark, d):
         "doc_id", t.occurrences(F.lower("text"), F.lit("tion")).cast("bigint").alias("n"))
 
 
-@query("pack_words")
+@query("pack_words", """
+with lists as (select doc_id,
+  list_filter(list_transform(regexp_split_to_array(text, '[.\\n]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 20) said,
+  regexp_split_to_array(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(10), 'g'), '\\n+') loose from documents),
+bodies as (select doc_id, case when len(said) > 0 then said else loose end ps from lists),
+pieces as (select doc_id, generate_subscripts(ps, 1) i, trim(regexp_replace(unnest(ps), '\\s+', ' ', 'g'), ' -*' || chr(9) || chr(10) || chr(13)) p from bodies),
+packed as (select doc_id, i, case when length(p) <= 520 then [p] else list_reduce(list_transform(str_split(p, ' '), lambda w: [w]), lambda acc, x:
+  case when length(acc[-1]) + 1 + length(x[1]) <= 520 then list_concat(acc[:-2], [acc[-1] || ' ' || x[1]]) else list_concat(acc, x) end) end xs
+  from pieces where p <> ''),
+chunks as (select doc_id, i, generate_subscripts(xs, 1) k, unnest(xs) chunk from packed)
+select doc_id, (row_number() over (partition by doc_id order by i, k) - 1)::INTEGER as ord, chunk from chunks""")
 def pack_words(spark, d):
     """Evidence chunks of every document; no chunk of several words passes 520 characters."""
     return b.wide(spark, d, "documents").select("doc_id", F.posexplode(chunk_text(F.col("text"))).alias("ord", "chunk"))
