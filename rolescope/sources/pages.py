@@ -43,9 +43,13 @@ def page_postings(
 def card_postings(
     pages: DataFrame, details: DataFrame, card: str, title: str | None = None, link: str | None = None
 ) -> DataFrame:
-    """One posting per card of a listing page, read from its detail page where the link differs."""
+    """One posting per card of a listing page, read from its detail page where the link differs.
+
+    Extra columns of `pages` are kept, but for those called like the new ones (`ord`, `page_url`).
+    """
+    made = {"html", "ord", "page_url", "c", "target", "_card_title"}
     cards = pages.select(
-        "url", *(["company"] if "company" in pages.columns else []),
+        *[c for c in pages.columns if c not in made],
         F.posexplode(page_cards(F.col("html"), card, title, link)).alias("ord", "c"))
     target = F.when(F.col("c.href").isNotNull(), join_url("url", "c.href")).otherwise(F.col("url"))
     cards = cards.withColumns({"page_url": F.col("url"), "target": target})

@@ -9,7 +9,7 @@ from rolescope.functions import text as t
 from rolescope.functions.urls import page_links, url_host
 from rolescope.operators import crawl, discovery as disc, query_generation, stats
 from rolescope.settings import Settings
-from rolescope.sources.pages import career_site_postings
+from rolescope.sources.pages import card_postings, career_site_postings
 from workload import query, sql as q, tables as b
 from workload.structuring import HINTS as JOB_WORDS, PIECES, TITLE_SQL
 
@@ -298,3 +298,23 @@ def career_site_postings_q(spark, d):
     rows = career_site_postings(sites, landed, listed)
     return rows.select("site", "source_url", "title", F.sha2("description", 256).alias("description"),
                        F.get_json_object("raw_payload", "$.discovery_url").alias("discovery_url"))
+
+
+CARD_ROOT = "https://www.all.example.org"
+
+
+@query("card_postings", f"""
+with d1 as (select page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) x from pages),
+details as (select '{CARD_ROOT}' || split_part(replace(x, '&amp;', '&'), '#', 1) url, max(page_id) detail from d1 group by all),
+lists as (select page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) hrefs, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) names from pages),
+cards as (select page_id, generate_subscripts(names, 1) - 1 as ord, unnest(names) card, '{CARD_ROOT}' || replace(unnest(hrefs), '&amp;', '&') target from lists),
+read as (select c.*, p.html from cards c left join details d on d.url = c.target left join pages p on p.page_id = d.detail)
+select page_id, ord::INTEGER as ord, target source_url, case when html is null then card else {TITLE_SQL} end title, 'www.all.example.org' company,
+  sha256(case when html is null then '' else array_to_string({PIECES}, chr(10)) end) description from read""")
+def card_postings_q(spark, d):
+    """Every page's navigation as the cards of a listing; a card's detail page is the page that lies at its link, where there is one."""
+    _, placed = _sites(spark, d)
+    details = placed.where(F.col("site") == "all").select("url", "html")
+    listing = b.wide(spark, d, "pages").select("page_id", F.lit(CARD_ROOT + "/").alias("url"), "html")
+    rows = card_postings(listing, details, "li", title="a")
+    return rows.select("page_id", "ord", "source_url", "title", "company", F.sha2("description", 256).alias("description"))
