@@ -14,8 +14,9 @@ from workload.normalizing import STATS
 
 
 def stream(spark, d, name):
+    """A table as a stream, be it one file or a folder of part files: a pattern may name either, a plain path only a folder."""
     schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}[.]parquet")
 
 
 def drain(df, spark, name, mode="append"):
