@@ -8,6 +8,7 @@ from rolescope import fixed_values as V
 from rolescope.functions import text as t
 from rolescope.operators import dedupe, normalize, query_match, stats
 from rolescope.operators.query_generation import german_variants
+from rolescope.session import land
 from workload import query, sql as q, tables as b
 
 SALARY_SQL = ("'Pay: EUR ' || cast(round(o_totalprice) as bigint) || ' - ' || "
@@ -173,7 +174,9 @@ def query_match_whole_word(spark, d):
 @query("query_filter_split", f"""
 with {q.MATCH} select case when matched then 'kept' else 'rejected' end side, doc_id, source from best""")
 def query_filter_split(spark, d):
-    kept, rejected = query_match.split_by_match(_evaluated(spark, d))
+    # both sides read the evaluation, so it is made once and written without its texts
+    evaluated = land(_evaluated(spark, d).select("ord", "source", "query_match"), "evaluated")
+    kept, rejected = query_match.split_by_match(evaluated)
     pick = lambda df, side: df.select(F.lit(side).alias("side"), F.col("ord").alias("doc_id"), "source")
     return pick(kept, "kept").unionByName(pick(rejected, "rejected"))
 
