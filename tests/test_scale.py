@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rolescope.functions.batches import in_slices
 from rolescope.functions.query_kernel import MEMO_LIMIT, NOTHING, Limits, QuerySet
 from rolescope.operators import matching as m
+from rolescope.sources import files as sources
 from workload import normalizing, streams
 
 KEY = ["profile_id", "posting_id", "ord"]
@@ -52,7 +53,7 @@ def test_terms_inside_tokens_and_a_bounded_memory_of_them():
 def test_evidence_meets_its_profile_once(spark, monkeypatch, busy):
     """Numbers of items lie far apart, as those of turns do; a profile of many requirements is cut into lanes."""
     monkeypatch.setattr(m, "BUSY", busy)
-    items = [("p", turn << 32, f"a{turn % 3} b{turn} c", "s") for turn in range(12)] + [("q", 1 << 40, "c", "s")]
+    items = [("p", turn << 32, f"a{turn % 3} b{turn} c", "s") for turn in range(12)] + [("q", 1 << 40, "c", "s"), ("q", None, "c", "s")]
     asked = [("p", "j", i, f"a{i % 4} b{i} d") for i in range(10)] + [("p", "j", 3, "a0 b3 d"), ("q", "j", 0, "c"), (None, "j", 0, "c"), ("q", "j", 1, None)]
     evidence = spark.createDataFrame(items, "profile_id string, ord long, text string, source_section string")
     reqs = spark.createDataFrame(asked, "profile_id string, posting_id string, ord int, requirement string")
@@ -63,7 +64,7 @@ def test_evidence_meets_its_profile_once(spark, monkeypatch, busy):
     want = {}
     for p, _, o, text in asked:
         near = [] if text is None else [
-            (-round(len(set(text.split()) & set(x.split())) / len(set(text.split()) | set(x.split())), 9), at) for q, at, x, _ in items if q == p]
+            (-round(len(set(text.split()) & set(x.split())) / len(set(text.split()) | set(x.split())), 9), at) for q, at, x, _ in items if q == p and at is not None]
         want[p, o] = sorted(want.get((p, o), []) + near)[:2]  # rows of a repeated key share the places
     assert {k: sorted(v) for k, v in found.items()} == {k: v for k, v in want.items() if v}
     assert set(rows.columns) == {*KEY, "requirement", "evidence_ord", "evidence", "source_section", "similarity"}
@@ -78,3 +79,11 @@ def test_split_sides_read_one_evaluation(spark, tmp_path):
     rows = normalizing.query_filter_split(spark, str(tmp_path))
     assert "Arrow" not in rows._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.doc_id for r in rows.collect()) == [0, 1, 2, 3, 4, 5, 9]
+
+
+def test_posting_files_are_opened_once(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Title: Cook\nDescription: soups")
+    (tmp_path / "b.json").write_text('{"id": "1", "source": "s", "source_url": "u", "title": "Vet", "company": "c"}')
+    rows = sources.read_posting_files(spark, str(tmp_path))
+    assert "Scan text" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.title for r in rows.collect()) == ["Cook", "Vet"]
