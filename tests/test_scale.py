@@ -6,11 +6,13 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from rolescope import schemas as S
+from rolescope.functions import text as t
 from rolescope.functions.batches import in_slices
 from rolescope.functions.query_kernel import MEMO_LIMIT, NOTHING, Limits, QuerySet
-from rolescope.operators import matching as m
+from rolescope.operators import matching as m, normalize, query_index, query_match, structure
 from rolescope.sources import files as sources
-from workload import normalizing, streams
+from workload import matching, normalizing, streams
 
 KEY = ["profile_id", "posting_id", "ord"]
 
@@ -87,3 +89,21 @@ def test_posting_files_are_opened_once(spark, tmp_path):
     rows = sources.read_posting_files(spark, str(tmp_path))
     assert "Scan text" not in rows._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.title for r in rows.collect()) == ["Cook", "Vet"]
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_an_index_meet_in_one_exchange(spark):
+    queries = spark.createDataFrame([(i, f"alpha{i % 3} beta") for i in range(20)], "query_ord int, text string").withColumn(
+        "terms", F.split("text", " ")).withColumn("title", F.lit("alpha1 beta")).withColumn("location", F.lit("de"))
+    posts = S.conform(spark.createDataFrame([(1, "Alpha1 beta", "gamma"), (2, "x", "alpha2"), (3, "", None)], "ord int, title string, description string"), S.POSTING, keep=["ord"])
+    index = query_index.prepare_queries(queries)
+    pairs = query_index._pairs(query_index._contexts(posts, ["ord"]), ["ord"], index)
+    assert plan_of(pairs).count("Aggregate") == 2 and "RepartitionByExpression" in plan_of(pairs)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "hashpartitioning(ord" in plan and "fid" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+    rows = lambda n: sorted((r.ord, r.query_match) for r in query_match.match_queries(posts, queries, ["ord"], block_queries=n).collect())
+    assert rows(16) == rows(4096)
