@@ -95,6 +95,14 @@ def plan_of(rows):
     return rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_shared_evidence_asks_the_stated_queries(spark, tmp_path):
+    rows = [(c, i, role, f"{role} line {c}") for c in range(45) for i, role in enumerate(["user", "assistant"])]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = matching.evidence_topk_shared(spark, str(tmp_path)).collect()
+    assert {r.ord >> 40 for r in got} == {0, 20, 40}
+    assert len(got) == 15 and {r.evidence_ord >> 40 for r in got if r.ord >> 40 == 40} >= {40}
+
+
 def test_pairs_of_an_index_meet_in_one_exchange(spark):
     queries = spark.createDataFrame([(i, f"alpha{i % 3} beta") for i in range(20)], "query_ord int, text string").withColumn(
         "terms", F.split("text", " ")).withColumn("title", F.lit("alpha1 beta")).withColumn("location", F.lit("de"))
