@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
+from collections.abc import Iterator
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rolescope import fixed_values as V, schemas as S
 from rolescope.functions import text as t
+from rolescope.functions.batches import in_slices
 from rolescope.operators import normalize
 
 HEADING = r"(?mU)^[^\S\n]*(#{1,6})[^\S\n]+(\S[^\n]*)$"
 LINK = r"(?U)https?://\S+"
+SLICE = 256  # texts that are Python objects at a time
+COUNTED = pa.list_(pa.struct({"term": pa.string(), "count": pa.int64()}))
 
 
 def sections(text: t.Expr) -> Column:
@@ -89,22 +99,22 @@ def date_range(value: Column) -> Column:
 def term_counts(text: t.Expr, n: int = 15, stop_words: list[str] = V.TERM_STOP_WORDS) -> Column:
     """array<struct<term, count>>: most frequent content words, earlier first on ties.
 
-    A text is one row, so it is counted where it lies; exploding its words would shuffle them all.
+    A text is one row, so it is counted where it lies; exploding its words would shuffle them all, and array
+    expressions would sort them as objects.
     """
-    words = F.filter(t.tokenise(t.text_or_empty(text)), lambda w: (F.length(w) > 2) & ~w.isin(list(stop_words)))
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at")))
+    stopped = frozenset(stop_words)
 
-    def counted(rows: Column) -> Column:
-        """Rows are sorted, so a term is one run; its first place is the earliest in the text."""
-        starts = F.filter(
-            F.transform(rows, lambda x, i: F.when((i == 0) | (F.get(rows, i - 1)["term"] != x["term"]), i)),
-            lambda i: i.isNotNull())
-        return t.let(starts, lambda at: F.transform(at, lambda first, k: F.struct(
-            (first - F.coalesce(F.get(at, k + 1), F.size(rows))).cast("bigint").alias("neg"),
-            F.get(rows, first)["at"].alias("at"), F.get(rows, first)["term"].alias("term"))))
+    def best(low: str) -> list[dict]:
+        counts = Counter(re.findall(t.TOKEN, low))  # in order of first appearance, which nlargest keeps on ties
+        kept = [x for x in counts.items() if len(x[0]) > 2 and x[0] not in stopped]
+        return [{"term": term, "count": count} for term, count in heapq.nlargest(n, kept, key=itemgetter(1))]
+
+    def counted(batches):
+        return in_slices(((batch,) for batch in batches), SLICE, best, COUNTED)
 
-    best = F.slice(F.sort_array(t.let(F.sort_array(placed), counted)), 1, n)
-    return F.transform(best, lambda x: F.struct(x["term"].alias("term"), (-x["neg"]).alias("count")))
+    # annotations as objects: the kind of function is chosen from them
+    counted.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(counted, "array<struct<term: string, count: bigint>>")(F.lower(t.text_or_empty(text)))
 
 
 def top_terms(docs: DataFrame, key: list[str], text: str, n: int = 15, stop_words: list[str] = V.TERM_STOP_WORDS) -> DataFrame:

@@ -95,6 +95,13 @@ def plan_of(rows):
     return rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_top_terms_are_counted_without_sorting_words(spark):
+    rows = spark.createDataFrame([(1, "Bee cat bee, dog cat ab ab ab and and"), (2, None), (3, "zzz yyy")], "id int, text string")
+    got = structure.top_terms(rows, ["id"], "text", 2)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "bee", 2), (1, 1, "cat", 2), (3, 0, "zzz", 1), (3, 1, "yyy", 1)]
+    assert "sort_array" not in plan_of(got)
+
+
 def test_shared_evidence_asks_the_stated_queries(spark, tmp_path):
     rows = [(c, i, role, f"{role} line {c}") for c in range(45) for i, role in enumerate(["user", "assistant"])]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
