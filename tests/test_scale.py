@@ -102,6 +102,13 @@ def test_top_terms_are_counted_without_sorting_words(spark):
     assert "sort_array" not in plan_of(got)
 
 
+def test_similarity_cuts_each_text_into_tokens_once(spark):
+    rows = spark.createDataFrame([("a b c", "b c d"), ("", "a"), (None, "a")], "l string, r string")
+    got = rows.select(t.text_jaccard("l", "r").alias("s"))
+    assert [r.s for r in got.collect()] == [0.5, 0.0, None]
+    assert plan_of(got).count("regexp_extract_all(") == 2
+
+
 def test_shared_evidence_asks_the_stated_queries(spark, tmp_path):
     rows = [(c, i, role, f"{role} line {c}") for c in range(45) for i, role in enumerate(["user", "assistant"])]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
