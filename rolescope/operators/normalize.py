@@ -14,22 +14,25 @@ SALARY_PATTERN = (
 
 def salary_range(text: t.Expr) -> Column:
     """First "currency amount [- amount]" of a text as a yearly range, null when there is none."""
-    c = t.text_or_empty(text)
-
-    def amount(group: int) -> Column:
-        return F.regexp_replace(F.regexp_extract(c, SALARY_PATTERN, group), ",", "").try_cast("double")
-
-    symbol = F.upper(F.regexp_extract(c, SALARY_PATTERN, 1))
     names = F.create_map(*[F.lit(x) for pair in V.CURRENCY_SYMBOLS.items() for x in pair])
-    return F.when(
-        amount(2).isNotNull(),
-        F.struct(
-            F.coalesce(F.try_element_at(names, symbol), symbol).alias("currency"),
-            amount(2).alias("minimum"),
-            amount(3).alias("maximum"),
-            F.lit("year").alias("interval"),
-        ),
-    ).cast(S.SALARY)
+
+    def parts(found: Column) -> Column:
+        def amount(group: int) -> Column:
+            return F.regexp_replace(F.regexp_extract(found, SALARY_PATTERN, group), ",", "").try_cast("double")
+
+        symbol = F.upper(F.regexp_extract(found, SALARY_PATTERN, 1))
+        return F.when(
+            amount(2).isNotNull(),
+            F.struct(
+                F.coalesce(F.try_element_at(names, symbol), symbol).alias("currency"),
+                amount(2).alias("minimum"),
+                amount(3).alias("maximum"),
+                F.lit("year").alias("interval"),
+            ),
+        ).cast(S.SALARY)
+
+    # the whole text is searched once; the groups are read from the short match
+    return t.let(F.regexp_extract(t.text_or_empty(text), SALARY_PATTERN, 0), parts)
 
 
 def work_mode(*texts: t.Expr) -> Column:

@@ -109,6 +109,19 @@ def test_similarity_cuts_each_text_into_tokens_once(spark):
     assert plan_of(got).count("regexp_extract_all(") == 2
 
 
+def test_a_salary_is_searched_once_in_a_text(spark):
+    rows = spark.createDataFrame([("x EUR 50,000 - 60,000 y $ 7",), ("none",), ("gbp 5 to z",)], "d string")
+    got = rows.select(normalize.salary_range("d").alias("s"))
+    assert [tuple(r.s) if r.s else None for r in got.collect()] == [("EUR", 50000.0, 60000.0, "year"), None, ("GBP", 5.0, None, "year")]
+    assert plan_of(got).count("coalesce(d") == 1
+
+
+@pytest.mark.parametrize("text", ["a b", " a  b ", "a\t b", "a \tb", "\x1ca\x1c\x1cb\x85", "a  　b", "\xe4 \xa0\xa0~!", "", "a\n"])
+def test_white_space_is_squeezed_as_a_whole(spark, text):
+    got = spark.createDataFrame([(text,)], "s string").select(t.squeeze("s").alias("a"), F.trim(F.regexp_replace("s", rf"{t.WS}+", " ")).alias("b")).first()
+    assert got.a == got.b
+
+
 def test_shared_evidence_asks_the_stated_queries(spark, tmp_path):
     rows = [(c, i, role, f"{role} line {c}") for c in range(45) for i, role in enumerate(["user", "assistant"])]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
