@@ -33,7 +33,12 @@ GAIN = 2e-3  # log likelihood per token that a turn must gain
 PRIOR = 10.0
 HELD_AT_ONCE = 1 << 21
 PARTS = 1024  # a word with more than one in so many tokens has its neighbours in several parts
-ROWS_AT_ONCE = 256
+PART_STEP = 7919
+PAIRS_AT_ONCE = 1 << 19  # of a word and a neighbour, in one shard
+TOKENS_AT_ONCE = 1 << 18
+TEXT_AT_ONCE = 2 << 20  # bytes
+SHARDS_SENT = 16
+ROWS_AT_ONCE = 512
 END = xxhash.xxh3_64_intdigest(b" ")  # no word has a space
 
 
@@ -168,95 +173,151 @@ def _binaries(values: np.ndarray, edges: np.ndarray) -> pa.Array:
 
 
 def _sides(sent):
-    """The neighbours of each unit and how often, a unit's parts apart; neighbours before it count from `units` on."""
+    """The neighbours of each unit and how often, many units to a shard; neighbours before it count from `units` on."""
     def run(batches: Iterator[pa.RecordBatch]):
-        own, parts = sent.value
-
-        def rows(code, n):
-            unit, side = code // (2 * own.units), code % (2 * own.units)
-            part = side % parts[unit]
-            if len(parts) and parts.max() > 1:
-                order = np.lexsort((part, unit))
-                unit, side, part, n = unit[order], side[order], part[order], n[order]
-            first = np.flatnonzero((np.diff(unit, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
-            edges, side, n = np.append(first, len(unit)), side.astype(np.int32), n.astype(np.int32)
-            for lo in range(0, len(first), 1 << 14):
-                at = first[lo: lo + (1 << 14)]
-                ends = edges[lo: lo + len(at) + 1]
-                own_ends = ends - ends[0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(unit[at]), pa.array(part[at]), _binaries(side[ends[0]: ends[-1]].copy(), own_ends),
-                     _binaries(n[ends[0]: ends[-1]].copy(), own_ends)], ["unit", "part", "sides", "times"])
+        own, parts, shards = sent.value
+        width = 2 * own.units
+
+        def codes(words):
+            out, last = np.empty(2 * len(words), np.int64), own.end_unit
+            for lo in range(0, len(words), TOKENS_AT_ONCE):
+                y, _ = own.units_of(words[lo: lo + TOKENS_AT_ONCE])
+                x, last = np.append(last, y[:-1]), y[-1]
+                for at, unit, side in ((lo, x, y), (len(words) + lo, y, own.units + x)):
+                    shard = (unit + side % parts[unit] * PART_STEP) % shards
+                    out[at: at + len(y)] = (shard * own.units + unit) * width + side
+            return out
 
         for batch in batches:
-            units, _ = own.units_of(_hashes(batch.column("text").to_pylist())[0])
-            if len(units):
-                x, y = np.append(own.end_unit, units[:-1]), units
-                yield from rows(*np.unique(np.concatenate([x * (2 * own.units) + y, y * (2 * own.units) + own.units + x]), return_counts=True))
+            code = codes(_hashes(batch.column("text").to_pylist())[0])
+            if not len(code):
+                continue
+            code.sort()
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            n, code = np.diff(np.append(first, len(code))).astype(np.int32), code[first]
+            unit, side = code // width, (code % width).astype(np.int32)
+            first = np.flatnonzero(np.diff(unit, prepend=-1))  # of each unit in each shard
+            many = np.diff(np.append(first, len(unit))).astype(np.int32)
+            unit = unit[first]
+            shard = unit // own.units
+            starts = np.flatnonzero(np.diff(shard, prepend=-1))
+            of_units, of_sides = np.append(starts, len(unit)), np.append(first[starts], len(side))
+            rows = pa.RecordBatch.from_arrays(
+                [pa.array(shard[starts]), _binaries((unit % own.units).astype(np.int32), of_units), _binaries(many, of_units),
+                 _binaries(side, of_sides), _binaries(n, of_sides)], ["shard", "unit", "many", "side", "n"])
+            for lo in range(0, len(starts), SHARDS_SENT):
+                yield rows.slice(lo, SHARDS_SENT)
     return run
 
 
+def _ints(column, kind) -> np.ndarray:
+    """The values of all rows of a binary column, one after the other."""
+    return np.concatenate([np.frombuffer(value.as_buffer(), kind) for value in column])
+
+
 def _chunks(sent):
-    """Many units to a row, each with its neighbours merged."""
-    def run(batches: Iterator[pa.RecordBatch]):
-        units, parts = sent.value
-        for batch in batches:
-            unit, lists = batch.column("unit").to_numpy(), batch.column("each")
-            if not len(unit):
-                continue
-            pieces = lists.flatten()
-            length = np.array([len(x) // 4 for x in pieces.field("sides").to_pylist()])
-            row = np.repeat(np.repeat(np.arange(len(unit)), np.diff(lists.offsets.to_numpy())), length)
-            side, n = (np.frombuffer(b"".join(pieces.field(c).to_pylist()), np.int32).astype(np.int64) for c in ("sides", "times"))
-            code = row * (2 * units) + side
-            order = np.argsort(code, kind="stable")
-            code, n = code[order], n[order]
-            first = np.flatnonzero(np.diff(code, prepend=-1))
-            code, n = code[first], np.add.reduceat(n, first)
-            columns = (unit.astype(np.int32), parts[unit].astype(np.int32), (code // (2 * units)).astype(np.int32),
-                       (code % (2 * units)).astype(np.int32), n)
-            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["unit", "parts", "row", "side", "n"])
+    """The units of a shard in one row, each with its neighbours merged: those of either half of the words, and the others."""
+    def run(shard: pa.Table) -> pa.Table:
+        units, exchange, parts = sent.value
+        unit, many, side, n = (_ints(shard.column(c), np.int32).astype(np.int64) for c in ("unit", "many", "side", "n"))
+        code = np.repeat(unit, many) * (2 * units) + side
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], n[order]
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        code, n = code[first], np.add.reduceat(n, first)
+        unit, side = code // (2 * units), (code % (2 * units)).astype(np.int32)
+        half = np.where(unit < exchange, unit % 2, OTHERS)
+        columns = {}
+        for h in (*HALVES, OTHERS):
+            of = unit[half == h]
+            at = np.flatnonzero(np.diff(of, prepend=-1))
+            for c, values in zip(Chunk._fields, (of[at].astype(np.int32), parts[of[at]].astype(np.int32), np.append(at, len(of)).astype(np.int32),
+                                                 side[half == h], n[half == h])):
+                columns[f"{c}_{h}"] = pa.array([values.tobytes()], pa.binary())
+        return pa.table(columns)
     return run
 
 
 class Chunk(NamedTuple):
     unit: np.ndarray
     parts: np.ndarray
-    row: np.ndarray
+    edges: np.ndarray  # where the neighbours of each unit begin, and where the last ones end
     side: np.ndarray
     n: np.ndarray
 
+    def rows(self, at_once: int) -> Iterator[Chunk]:
+        """A bounded number of units at a time."""
+        for lo in range(0, len(self.unit), at_once):
+            edges = self.edges[lo: lo + at_once + 1]
+            yield Chunk(self.unit[lo: lo + at_once], self.parts[lo: lo + at_once], edges - edges[0],
+                        self.side[edges[0]: edges[-1]], self.n[edges[0]: edges[-1]])
+
+
+HALVES, OTHERS = (0, 1), 2  # of the exchanged words, every other one; the units that stay where they are
+
+
+def _columns(*halves: int) -> list[str]:
+    return [f"{c}_{h}" for h in halves for c in Chunk._fields]
+
 
-def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+def _each_chunk(batches: Iterator[pa.RecordBatch], *halves: int) -> Iterator[Chunk]:
     for batch in batches:
         for i in range(batch.num_rows):
-            *ints, n = (batch.column(c)[i].as_py() for c in Chunk._fields)
-            yield Chunk(*(np.frombuffer(x, np.int32) for x in ints), np.frombuffer(n, np.int64))
+            for h in halves:
+                *ints, n = (batch.column(c)[i].as_buffer() for c in _columns(h))
+                yield Chunk(*(np.frombuffer(x, np.int32) for x in ints), np.frombuffer(n, np.int64))
 
 
 class Sides(NamedTuple):
     """What a task needs for a turn."""
     class_of: np.ndarray
     matrix: np.ndarray
-    movable: np.ndarray
 
 
-def _class_counts(chunk: Chunk, class_of: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts of the classes behind each unit, before it)"""
-    classes = np.append(class_of, class_of + n_classes)
-    n = np.bincount(chunk.row * (2 * n_classes) + classes[chunk.side], weights=chunk.n, minlength=len(chunk.unit) * 2 * n_classes)
+def _class_counts(chunk: Chunk, classes: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts of the classes behind each unit, before it); `classes` has one for each neighbour"""
+    row = np.repeat(np.arange(len(chunk.unit)) * (2 * n_classes), np.diff(chunk.edges))
+    n = np.bincount(row + classes[chunk.side], weights=chunk.n, minlength=len(chunk.unit) * 2 * n_classes)
     both = n.reshape(len(chunk.unit), 2 * n_classes)
     return both[:, :n_classes], both[:, n_classes:]
 
 
+def _one_matrix(out: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["matrix"])
+
+
 def _matrices(sent):
     """The class-bigram matrix of a task's units."""
     def run(batches: Iterator[pa.RecordBatch]):
         class_of, n_classes = sent.value
-        out = np.zeros((n_classes, n_classes))
-        for chunk in _each_chunk(batches):
-            np.add.at(out, class_of[chunk.unit], _class_counts(chunk, class_of, n_classes)[0])
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["matrix"])
+        out = np.zeros(n_classes * n_classes)
+        for chunk in _each_chunk(batches, *HALVES, OTHERS):
+            behind = chunk.side < len(class_of)
+            own = np.repeat(class_of[chunk.unit], np.diff(chunk.edges))[behind]
+            out += np.bincount(own * n_classes + class_of[chunk.side[behind]], weights=chunk.n[behind], minlength=len(out))
+        yield _one_matrix(out)
+    return run
+
+
+def _changes(sent, half: int):
+    """What the moves of units of one half change in the class-bigram matrix."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        class_of, tried, n_classes = sent.value
+        moved, units = class_of != tried, len(class_of)
+        out = np.zeros(n_classes * n_classes)
+        for chunk in _each_chunk(batches, half):
+            moves = np.repeat(moved[chunk.unit], np.diff(chunk.edges))
+            unit, side, n = np.repeat(chunk.unit, np.diff(chunk.edges))[moves], chunk.side[moves], chunk.n[moves]
+            behind = side < units
+            x, y, times = unit[behind], side[behind], n[behind]
+            for of, sign in ((tried, 1), (class_of, -1)):
+                out += np.bincount(of[x] * n_classes + of[y], weights=sign * times, minlength=len(out))
+            before = np.flatnonzero(~behind)
+            before = before[~moved[side[before] - units]]  # of a pair that moves as a whole, the first has counted it
+            x, y, times = side[before] - units, unit[before], n[before]
+            for of, sign in ((tried, 1), (class_of, -1)):
+                out += np.bincount(class_of[x] * n_classes + of[y], weights=sign * times, minlength=len(out))
+        yield _one_matrix(out)
     return run
 
 
@@ -264,6 +325,14 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def _each_once(of, *values: np.ndarray) -> np.ndarray:
+    """A row for each value, or number of a few and value, computed once for all that are equal."""
+    *few, n = values
+    code = n * (few[0].max() + 1) + few[0] if few else n
+    _, first, at = np.unique(code, return_index=True, return_inverse=True)
+    return of(*(v[first] for v in values))[at]
+
+
 def best_classes(matrix: np.ndarray, own: np.ndarray, behind: np.ndarray, before: np.ndarray, itself: np.ndarray,
                  targets: int) -> tuple[np.ndarray, np.ndarray]:
     """(class, gain in log likelihood over staying) of moving each word, and only it, to one of the first classes."""
@@ -275,15 +344,13 @@ def best_classes(matrix: np.ndarray, own: np.ndarray, behind: np.ndarray, before
         row, j = np.nonzero(far)
         if not len(row):
             continue
-        each, n, mine = np.arange(len(row)), far[row, j], j == own[row]
-        rest = m.T[j]  # what the classes have with class j without the word
-        rest[each, own[row]] -= n
-        rest[mine] -= near[row[mine]]
-        rest[each[mine], j[mine]] -= itself[row[mine]]
-        less = logs.T[j]
-        less[each, own[row]] = _xlogx(rest[each, own[row]])
-        less[mine] = _xlogx(rest[mine])
-        more = _xlogx(rest + n[:, None]) - less
+        each, n = np.arange(len(row)), far[row, j]
+        more = _each_once(lambda j, n: _xlogx(m.T[j] + n[:, None]) - logs.T[j], j, n)
+        mine = j == own[row]
+        rest = m[own[row], j] - n  # what the own class has with class j without the word
+        more[each, own[row]] = _xlogx(rest + n) - _xlogx(rest)
+        rest = m.T[j[mine]] - near[row[mine]]
+        more[mine] = _xlogx(rest + n[mine, None]) - _xlogx(rest)
         more[each, j] = 0
         first = np.flatnonzero(np.diff(row, prepend=-1))
         gain[row[first]] += np.add.reduceat(more, first, axis=0)
@@ -291,9 +358,10 @@ def best_classes(matrix: np.ndarray, own: np.ndarray, behind: np.ndarray, before
     corner[at, own] -= behind[at, own] + before[at, own] + itself
     gain += _xlogx(corner + behind + before + itself[:, None]) - _xlogx(corner)
     for margin, n in ((matrix.sum(1), behind.sum(1) + itself), (matrix.sum(0), before.sum(1) + itself)):
-        rest = np.tile(margin, (len(own), 1))
-        rest[at, own] -= n
-        gain -= _xlogx(rest + n[:, None]) - _xlogx(rest)
+        less = _each_once(lambda n: _xlogx(margin + n[:, None]) - _xlogx(margin), n)
+        rest = margin[own] - n
+        less[at, own] = _xlogx(rest + n) - _xlogx(rest)
+        gain -= less
     best = np.argmax(gain[:, :targets], axis=1)
     return best, gain[at, best] - gain[at, own]
 
@@ -304,25 +372,24 @@ def best_class(matrix: np.ndarray, own: int, behind: np.ndarray, before: np.ndar
     return int(best[0]), float(gain[0])
 
 
-def _proposals(sent, targets: int):
-    """Moves that gain; of units in parts, their counts instead."""
+def _proposals(sent, half: int, targets: int):
+    """Moves that gain, of units of one half; of units in parts, their counts instead."""
     def run(batches: Iterator[pa.RecordBatch]):
-        class_of, matrix, movable = sent.value
-        for chunk in _each_chunk(batches):
-            behind, before = _class_counts(chunk, class_of, len(matrix))
-            alike = chunk.side == chunk.unit[chunk.row]
-            itself = np.bincount(chunk.row[alike], weights=chunk.n[alike], minlength=len(chunk.unit))
-            whole = np.flatnonzero(movable[chunk.unit] & (chunk.parts == 1))
-            found = []
-            for lo in range(0, len(whole), ROWS_AT_ONCE):
-                at = whole[lo: lo + ROWS_AT_ONCE]
-                best, gain = best_classes(matrix, class_of[chunk.unit[at]], behind[at], before[at], itself[at], targets)
-                up = gain > 1e-6
-                found += zip(chunk.unit[at[up]].tolist(), best[up].tolist(), gain[up].tolist(), [None] * int(up.sum()))
-            for i in np.flatnonzero(movable[chunk.unit] & (chunk.parts > 1)):
-                found.append((int(chunk.unit[i]), -1, 0.0, np.concatenate([behind[i], before[i], itself[i: i + 1]]).tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], ["unit", "to", "gain", "counts"])
+        class_of, matrix = sent.value
+        classes = np.append(class_of, class_of + len(matrix))
+        for chunk in (rows for whole in _each_chunk(batches, half) for rows in whole.rows(ROWS_AT_ONCE)):
+            behind, before = _class_counts(chunk, classes, len(matrix))
+            row = np.repeat(np.arange(len(chunk.unit)), np.diff(chunk.edges))
+            alike = chunk.side == chunk.unit[row]
+            itself = np.bincount(row[alike], weights=chunk.n[alike], minlength=len(chunk.unit))
+            at, part = np.flatnonzero(chunk.parts == 1), np.flatnonzero(chunk.parts > 1)
+            best, gain = best_classes(matrix, class_of[chunk.unit[at]], behind[at], before[at], itself[at], targets)
+            up = gain > 1e-6
+            counts = [np.concatenate([behind[i], before[i], itself[i: i + 1]]).tobytes() for i in part]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(chunk.unit[at[up]], chunk.unit[part]).astype(np.int64)), pa.array(np.append(best[up], np.full(len(part), -1))),
+                 pa.array(np.append(gain[up], np.zeros(len(part)))), pa.array([None] * int(up.sum()) + counts, pa.binary())],
+                ["unit", "to", "gain", "counts"])
     return run
 
 
@@ -332,14 +399,16 @@ def likelihood(matrix: np.ndarray) -> float:
 
 def neighbours(rows: DataFrame, own: Vocabulary) -> DataFrame:
     """Chunks of all units with their neighbours; as many as there are different neighbours, so they grow with the texts."""
+    context = rows.sparkSession.sparkContext
     seen = np.bincount(own.unit_of_rank, weights=own.counts, minlength=own.units)
     seen[own.tail_unit], seen[own.end_unit] = own.tail_total, own.ends
     parts = np.maximum(1, np.ceil(seen * PARTS / max(1, own.total))).astype(np.int64)
-    sent = rows.sparkSession.sparkContext.broadcast((own, parts))
-    each = rows.mapInArrow(_sides(sent), "unit long, part long, sides binary, times binary")
-    grouped = each.groupBy("unit", "part").agg(F.collect_list(F.struct("sides", "times")).alias("each"))
-    sent = rows.sparkSession.sparkContext.broadcast((own.units, parts))
-    return common.written(grouped.mapInArrow(_chunks(sent), "unit binary, parts binary, row binary, side binary, n binary"), "class-pairs")
+    shards = min(max(1, -(-2 * own.total // PAIRS_AT_ONCE)), (1 << 62) // (2 * own.units ** 2))  # a code of 63 bits holds shard and pair
+    sent = context.broadcast((own, parts, shards))
+    each = rows.mapInArrow(_sides(sent), "shard long, unit binary, many binary, side binary, n binary")
+    sent = context.broadcast((own.units, own.exchange, parts))
+    kind = ", ".join(f"{c} binary" for c in _columns(*HALVES, OTHERS))
+    return common.written(each.groupBy("shard").applyInArrow(_chunks(sent), kind), "class-pairs")
 
 
 def exchange_classes(chunks: DataFrame, own: Vocabulary, classes: int, rounds: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -347,16 +416,15 @@ def exchange_classes(chunks: DataFrame, own: Vocabulary, classes: int, rounds: i
     context, n_classes = chunks.sparkSession.sparkContext, classes + own.bands + 2
     class_of = np.append(np.arange(own.exchange) % classes, np.arange(classes, n_classes))
 
-    def matrix_of(class_of: np.ndarray) -> np.ndarray:
-        sent = context.broadcast((class_of, n_classes))
-        found = chunks.mapInArrow(_matrices(sent), "matrix binary").collect()
+    def added_up(sent, of, *halves: int) -> np.ndarray:
+        found = chunks.select(*_columns(*halves)).mapInArrow(of, "matrix binary").collect()
         sent.destroy()
         return sum((np.frombuffer(r.matrix).reshape(n_classes, n_classes) for r in found), np.zeros((n_classes, n_classes)))
 
-    def moves_of(movable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def moves_of(half: int) -> tuple[np.ndarray, np.ndarray]:
         """(units, classes) of the moves that gain, the best first"""
-        sent = context.broadcast(Sides(class_of, matrix, movable))
-        found = chunks.mapInArrow(_proposals(sent, classes), "unit long, to long, gain double, counts binary").toArrow()
+        sent = context.broadcast(Sides(class_of, matrix))
+        found = chunks.select(*_columns(half)).mapInArrow(_proposals(sent, half, classes), "unit long, to long, gain double, counts binary").toArrow()
         sent.destroy()
         unit, to, gain = (found.column(c).to_numpy().copy() for c in ("unit", "to", "gain"))
         counts: dict[int, np.ndarray] = {}
@@ -370,16 +438,19 @@ def exchange_classes(chunks: DataFrame, own: Vocabulary, classes: int, rounds: i
         order = order[gain[order] > 1e-6]
         return unit[order], to[order]
 
-    matrix = matrix_of(class_of)
+    sent = context.broadcast((class_of, n_classes))
+    matrix = added_up(sent, _matrices(sent), *HALVES, OTHERS)
     still, turn = 0, 0
     while own.exchange and still < 2 and (rounds is None or turn < rounds):
-        unit, to = moves_of((np.arange(own.units) < own.exchange) & (np.arange(own.units) % 2 == turn % 2))
+        half = turn % 2
+        unit, to = moves_of(half)
         turn += 1
         still += 1
         while len(unit):
             tried = class_of.copy()
             tried[unit] = to
-            after = matrix_of(tried)
+            sent = context.broadcast((class_of, tried, n_classes))
+            after = matrix + added_up(sent, _changes(sent, half), half)
             gained = likelihood(after) - likelihood(matrix)
             if gained > 0:
                 class_of, matrix = tried, after
@@ -417,6 +488,13 @@ def train(docs: DataFrame, text: str = "text", dictionary: int = DICTIONARY, exc
     return Model(own, *exchange_classes(neighbours(rows, own), own, classes, rounds)), tail
 
 
+def _in_parts(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch of so many bytes, about TEXT_AT_ONCE at a time."""
+    step = max(1, batch.num_rows * TEXT_AT_ONCE // max(1, size))
+    for lo in range(0, batch.num_rows, step):
+        yield batch.slice(lo, step)
+
+
 SCORED = "_row {}, n_tokens long, in_dictionary long, base double, own double, words array<long>, times array<long>"
 
 
@@ -428,7 +506,7 @@ def _score(sent):
         emit, counted = np.append(emit, 0.0), np.append(np.log10(own.counts + 1), 0.0)
         end_counted = float(np.log10(own.ends + 1))
         end_unit = np.uint64(END)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _in_parts(whole, whole.column("_text").nbytes)):
             words, offsets = _hashes(batch.column("_text").to_pylist())
             units, rank = own.units_of(words)
             classes = model.class_of[units]

@@ -106,6 +106,57 @@ def test_class_lm_clusters_words_beyond_the_frequent_ones(spark, monkeypatch):
     assert again.matrix.sum() == own.total
 
 
+def test_class_lm_turn_reads_one_half_and_counts_its_moves_only(spark, monkeypatch):
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.6)) % 90}" for _ in range(60)) for _ in range(80)] + ["", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    whole, _ = class_lm.train(docs, classes=5)
+    monkeypatch.setattr(class_lm, "PAIRS_AT_ONCE", 64)  # many shards
+    monkeypatch.setattr(class_lm, "TOKENS_AT_ONCE", 7)
+    sharded, _ = class_lm.train(docs, classes=5)
+    assert np.array_equal(sharded.class_of, whole.class_of) and np.array_equal(sharded.matrix, whole.matrix)
+
+    own, n_classes = whole.vocabulary, len(whole.matrix)
+    chunks = class_lm.neighbours(docs, own)
+
+    def added_up(of, *halves):
+        found = of(iter(chunks.select(*class_lm._columns(*halves)).toArrow().to_batches()))
+        return sum(np.frombuffer(b.column("matrix")[0].as_py()) for b in found).reshape(n_classes, n_classes)
+
+    class Sent:
+        def __init__(self, *value):
+            self.value = value
+
+    def counted(class_of):
+        out = np.zeros((n_classes, n_classes))
+        for text in texts:
+            units = class_of[own.units_of(class_lm._hashes([text])[0])[0]]
+            np.add.at(out, (np.append(class_of[own.end_unit], units[:-1]), units), 1)
+        return out
+
+    class_of = np.append(np.arange(own.exchange) % 5, np.arange(5, n_classes))
+    assert own.exchange > 20 and chunks.count() > 5 and np.array_equal(added_up(class_lm._matrices(Sent(class_of, n_classes)), 0, 1, 2), counted(class_of))
+    for half in class_lm.HALVES:
+        tried, moved = class_of.copy(), np.arange(half, own.exchange, 2)[:-3]
+        tried[moved] = (tried[moved] + 1 + moved % 4) % 5
+        change = added_up(class_lm._changes(Sent(class_of, tried, n_classes), half), half)
+        assert change.any() and np.array_equal(change, counted(tried) - counted(class_of))
+
+
+def test_exchange_takes_the_logarithms_of_equal_counts_once(monkeypatch):
+    rnd = np.random.default_rng(2)
+    words, classes = 400, 20
+    matrix = rnd.integers(50, 900, (classes, classes)).astype(float)
+    own, itself = rnd.integers(0, classes, words), np.zeros(words)
+    behind, before = (rnd.integers(0, 3, (words, classes)).astype(float) for _ in range(2))
+    single = [class_lm.best_class(matrix, int(own[i]), behind[i], before[i], 0.0, classes) for i in range(words)]
+    taken, of = [], class_lm._xlogx
+    monkeypatch.setattr(class_lm, "_xlogx", lambda x: taken.append(x.size) or of(x))
+    best, gain = class_lm.best_classes(matrix, own, behind, before, itself, classes)
+    assert [(int(b), float(g)) for b, g in zip(best, gain)] == single
+    assert sum(taken) < 15 * words * classes  # a row of logarithms per neighbouring class took 60 times words x classes
+
+
 def test_language_id_held_out_accuracy_and_edges(spark):
     docs = documents(spark).select("doc_id", "text", "lang")
     model = language_id.train(docs.where(language_id.fold("doc_id", 3) != 1))
