@@ -10,7 +10,7 @@ from rolescope import schemas as S
 from rolescope.functions import text as t
 from rolescope.functions.batches import in_slices
 from rolescope.functions.query_kernel import MEMO_LIMIT, NOTHING, Limits, QuerySet
-from rolescope.operators import matching as m, normalize, query_index, query_match, structure
+from rolescope.operators import evidence_index, matching as m, normalize, query_index, query_match, structure
 from rolescope.sources import files as sources
 from workload import matching, normalizing, streams
 
@@ -130,6 +130,26 @@ def test_shared_evidence_asks_every_assistant_line(spark, tmp_path):
     assert len(got) == 45 * 5 and {r.evidence_ord >> 40 for r in got if r.ord >> 40 == 40} >= {40}
 
 
+@pytest.mark.parametrize("least, held", [(1 << 15, 1 << 16), (16, 40)])
+def test_shared_evidence_writes_no_pairs(spark, monkeypatch, least, held):
+    """A profile whose lines all share a token writes its bags and k items for each, whatever the blocks are."""
+    random.seed(5)
+    line = lambda: " ".join(["common", *(f"w{random.randint(0, 30)}" for _ in range(random.randint(0, 6)))])
+    items, asked = [("p", 10 * i, line(), "s") for i in range(400)] + [("p", None, "only", "s")], [("p", i, line()) for i in range(120)] + [("p", 200, "only")]
+    sizes, land = {}, evidence_index.land
+    monkeypatch.setattr(evidence_index, "land", lambda df, name: sizes.setdefault(name, (kept := land(df, name)).count()) and kept)
+    monkeypatch.setattr(evidence_index, "ASKED_LEAST", least, raising=False)
+    monkeypatch.setattr(evidence_index, "HELD_BLOCK", held, raising=False)
+    got = {}
+    for r in m.retrieve_evidence(spark.createDataFrame(asked, "profile_id string, ord int, requirement string"), spark.createDataFrame(
+            items, "profile_id string, ord long, text string, source_section string"), ["profile_id", "ord"], 4, direct=0).collect():
+        got.setdefault(r.ord, []).append((-round(r.similarity, 9), r.evidence_ord))
+    for _, o, x in asked:
+        a = set(x.split())
+        assert sorted(got[o]) == sorted((-round(len(a & set(y.split())) / len(a | set(y.split())), 9), i) for _, i, y, _ in items if i is not None)[:4]
+    assert max(sizes.values()) <= 400, sizes
+
+
 def test_pairs_of_an_index_meet_in_one_exchange(spark):
     queries = spark.createDataFrame([(i, f"alpha{i % 3} beta") for i in range(20)], "query_ord int, text string").withColumn(
         "terms", F.split("text", " ")).withColumn("title", F.lit("alpha1 beta")).withColumn("location", F.lit("de"))
