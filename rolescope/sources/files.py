@@ -8,6 +8,7 @@ from rolescope import schemas as S
 from rolescope.functions import text as t
 from rolescope.operators import normalize
 from rolescope.operators.structure import sections
+from rolescope.plans.spread import gather_input
 from rolescope.session import land
 
 CSV_TEXT = [
@@ -168,9 +169,9 @@ def read_posting_files(spark: SparkSession, path: str) -> DataFrame:
     """JSON postings (bare or under "listing"); anything else is read as labelled text.
 
     Both kinds are told apart by their content, so the texts are written together once: opening many small files
-    costs far more than their bytes.
+    costs far more than their bytes, and so does a task for every few of them.
     """
-    files = land(spark.read.text(path, wholetext=True).select(
+    files = land(gather_input(spark.read.text(path, wholetext=True)).select(
         F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\\A\\x{FEFF}", "").alias("text")), "posting-texts")
     is_json = F.lower("file").endswith(".json")
     v = F.when(is_json, F.try_parse_json("text"))

@@ -91,6 +91,25 @@ def test_posting_files_are_opened_once(spark, tmp_path):
     assert sorted(r.title for r in rows.collect()) == ["Cook", "Vet"]
 
 
+def test_small_files_are_written_by_row_and_read_in_few_tasks(spark, monkeypatch):
+    from rolescope.plans.spread import gather_input
+    from workload import landing
+    texts = [f"Title: t{i}\nDescription: d{i}" for i in range(149)] + [None]
+    path = landing.landed_each(spark.createDataFrame([(x,) for x in texts], "value string").repartition(5), "small")
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        scan = spark.read.text(path, wholetext=True)
+        assert scan.rdd.getNumPartitions() >= 100 and gather_input(scan).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        tasks = []
+        monkeypatch.setattr(sources, "land", lambda df, name: tasks.append(df.rdd.getNumPartitions()) or df)
+        titles = sorted(r.title for r in sources.read_posting_files(spark, path).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert titles == sorted([f"t{i}" for i in range(149)] + ["Selected role"]) and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r.value for r in spark.read.text(path, wholetext=True).collect()) == sorted(f"{x or ''}\n" for x in texts)
+
+
 def plan_of(rows):
     return rows._jdf.queryExecution().optimizedPlan().toString()
 
