@@ -146,3 +146,24 @@ def test_no_evidence_is_missing(spark):
     pairs = spark.createDataFrame([("me", "j")], "profile_id string, posting_id string")
     r = explain_matches(me, jobs, pairs).first()
     assert r.overall_score == 0.0 and r.assessments[0].status == "missing" and r.gaps
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_vectors_meet_in_blocks(spark, monkeypatch, block):
+    """The rows of comparing item by item, with ties, copies, opposite, missing, broken and short vectors; no row for a pair."""
+    from rolescope.operators import vector_blocks
+    monkeypatch.setattr(vector_blocks, "ASKED_BLOCK", block)
+    monkeypatch.setattr(vector_blocks, "HELD_BLOCK", block)
+    random.seed(3)
+    vector = lambda: [random.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)]
+    odd = [None, [], [1.0, None, 0.0, 0.0], [1.0, 2.0], [0.0] * 4, [float("nan"), 1.0, 0.0, 0.0]]
+    items = [("p", i, f"t{i}", "s", v) for i, v in enumerate([*(vector() for _ in range(60)), *odd])] + [("p", 7, "t7b", "s", vector()), ("q", 0, "x", "s", [1.0] * 4), ("p", None, "n", "s", [1.0] * 4)]
+    asked = [("p", i, "r", v) for i, v in enumerate([*(vector() for _ in range(12)), *odd])] + [("p", 3, "r", vector()), ("p", 90, " ", vector()), ("q", 1, "r", [1.0] * 4), ("z", 1, "r", [1.0] * 4)]
+    evidence = spark.createDataFrame(items, "profile_id string, ord long, text string, source_section string, vector array<double>")
+    reqs = spark.createDataFrame(asked, "profile_id string, ord int, requirement string, vector array<double>")
+    key, measure = ["profile_id", "ord"], m.by_vector("vector")
+    got = m.retrieve_evidence(reqs, evidence, key, 3, similarity=measure)
+    assert "Arrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    want = m._compare_items(reqs, evidence, key, 3, "requirement", 16, 8, measure)
+    rows = lambda df: sorted((r.profile_id, r.ord, r.evidence_ord, r.similarity) for r in df.collect())
+    assert rows(got) == rows(want) and got.columns == want.columns
