@@ -322,3 +322,22 @@ def test_manual_import_counts_and_notes(spark, tmp_path):
     assert len(rows) == 7 and rows[3, "5"].required_skills == ["python", "c++"] and not rows[3, "6"].query_match.matched
     none = import_files(spark, str(tmp_path / "in"), [], queries)
     assert none.postings is None and none.counts.count() == 0 and [r.note for r in none.notes.collect()] == ["no manual import files were configured"]
+
+
+def test_many_manual_files_are_read_by_folder(spark, tmp_path, monkeypatch):
+    """Names from a table, more files than are read by name, and files that are not listed: the same rows, counts and notes."""
+    from rolescope.sources import manual
+    job = lambda i: dict(id=str(i), source="m", source_url=f"https://x/{i}", title="Perception Engineer", company="Co", description="")
+    for i in range(4):
+        put(tmp_path, f"in/sub/{i}.{'JSON' if i == 2 else 'json'}", dict(job(i), source_url=None) if i == 1 else job(i))
+        put(tmp_path, f"in/{i}.csv", f"id,title,source_url\n{10 + i},Perception Engineer,https://x/{10 + i}\n")
+    put(tmp_path, "in/0unlisted.csv", "title,id\nx,99\n")
+    put(tmp_path, "in/unlisted.json", job(98))
+    queries = spark.createDataFrame([(0, "perception engineer", ["perception"])], "query_ord int, text string, terms array<string>")
+    names = ["sub/0.json", "sub/1.json", "sub/2.JSON", "sub/3.json", *(f"{i}.csv" for i in range(4)), "gone.json", "sub/0.json"]
+    seen = lambda got: (sorted((r.file_ord, r.id, r.title, r.query_match) for r in got.postings.collect()), sorted(got.counts.collect()), sorted(got.notes.collect()))
+    want = seen(import_files(spark, str(tmp_path / "in"), names, queries))
+    monkeypatch.setattr(manual, "NAMED", 2)
+    listed = spark.createDataFrame([(i, n) for i, n in enumerate(names)], manual.LISTED)
+    got = import_files(spark, str(tmp_path / "in"), listed, queries)
+    assert seen(got) == want and len(want[0]) == 8 and len(want[2]) == 3
